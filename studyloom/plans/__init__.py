@@ -4,4 +4,5 @@ from . import (  # noqa: F401
     sources_q,
     scalar_q,
     records_q,
+    metadata_q,
 )
