@@ -30,6 +30,12 @@ def parse_date(c: Column, validation: Column | str = "any") -> Column:
             .otherwise(first(*MDY, *DMY)))
 
 
+def short_year_date(c: Column, fmt: str = "dd-MMM-yy") -> Column:
+    """Dates with two-digit years; 69 to 99 belong to the last century."""
+    d = F.try_to_date(F.trim(c.cast("string")), fmt)
+    return F.when(F.year(d) > 2068, F.add_months(d, -1200)).otherwise(d)
+
+
 def calendar_features(month: Column, t: Column) -> list[Column]:
     """Trend index, month, quarter and two yearly harmonics."""
     angle = F.month(month) * F.lit(2 * math.pi / 12)

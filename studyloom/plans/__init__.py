@@ -5,4 +5,6 @@ from . import (  # noqa: F401
     scalar_q,
     records_q,
     metadata_q,
+    series_q,
+    quality_q,
 )

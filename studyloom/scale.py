@@ -165,6 +165,13 @@ def with_halo(df: DataFrame, at: str, width: float, before: float, after: float)
             .withColumn("is_core", F.col("bucket") == F.col("_home")).drop("_home"))
 
 
+def attach(df: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+    """Join per-key totals to rows; with no keys the single totals row is joined on a constant."""
+    if keys:
+        return df.join(totals, keys)
+    return df.withColumn("_one", F.lit(0)).join(totals.withColumn("_one", F.lit(0)), "_one").drop("_one")
+
+
 def bounded(df: DataFrame, max_rows: int) -> bool:
     """True when a table has at most ``max_rows`` rows; reads no more than needed to tell."""
     return df.limit(max_rows + 1).count() <= max_rows
