@@ -7,4 +7,7 @@ from . import (  # noqa: F401
     metadata_q,
     series_q,
     quality_q,
+    schedule_q,
+    audit_q,
+    stats_q,
 )

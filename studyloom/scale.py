@@ -29,22 +29,26 @@ def ordered_blocks(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
 def running(blocks: DataFrame, keys: list[str], order: list[Column], **specs: tuple) -> DataFrame:
     """Add running columns over (keys, order) to the output of :func:`ordered_blocks`.
 
-    A spec is one of ``("rows",)``, ``("sum", col)``, ``("max", col)``, ``("last", col)`` (last
+    A spec is one of ``("rows",)``, ``("sum", col)``, ``("max", col)``, ``("max_before", col)``
+    (without the row itself), ``("last", col)`` (last
     non-null up to and including the row), ``("lag", col)`` and ``("lead", col)``.
     """
     part = [BLOCK, *keys]
     w = Window.partitionBy(*part).orderBy(*order)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = blocks.withColumn("_rn", F.row_number().over(w)).withColumn(
-        "_n", F.count(F.lit(1)).over(Window.partitionBy(*part)))
+    local = blocks.withColumn("_row_in_blk", F.row_number().over(w)).withColumn(
+        "_rows_in_blk", F.count(F.lit(1)).over(Window.partitionBy(*part)))
     for name, spec in specs.items():
         kind = spec[0]
         if kind == "rows":
-            local = local.withColumn(name, F.col("_rn").cast("long"))
+            local = local.withColumn(name, F.col("_row_in_blk").cast("long"))
         elif kind == "sum":
             local = local.withColumn(name, F.sum(spec[1]).over(run))
         elif kind == "max":
             local = local.withColumn(name, F.max(spec[1]).over(run))
+        elif kind == "max_before":
+            local = local.withColumn(f"_v_{name}", F.max(spec[1]).over(run)).withColumn(
+                name, F.max(spec[1]).over(w.rowsBetween(Window.unboundedPreceding, -1)))
         elif kind == "last":
             local = local.withColumn(name, F.last(spec[1], ignorenulls=True).over(run))
         elif kind == "lag":
@@ -62,15 +66,15 @@ def running(blocks: DataFrame, keys: list[str], order: list[Column], **specs: tu
         edge_rows = local.join(edges, BLOCK).where((key == F.col("_lo")) | (key == F.col("_hi")))
     else:
         edge_rows = local
-    last_row = {n: F.max(F.when(F.col("_rn") == F.col("_n"), F.col(f"_v_{n}" if s[0] in ("lag", "lead") else n)))
+    last_row = {n: F.max(F.when(F.col("_row_in_blk") == F.col("_rows_in_blk"), F.col(f"_v_{n}" if s[0] in ("lag", "lead", "max_before") else n)))
                 for n, s in specs.items()}
-    first_row = {n: F.max(F.when(F.col("_rn") == 1, F.col(f"_v_{n}")))
+    first_row = {n: F.max(F.when(F.col("_row_in_blk") == 1, F.col(f"_v_{n}")))
                  for n, s in specs.items() if s[0] == "lead"}
-    summary = (edge_rows.where((F.col("_rn") == 1) | (F.col("_rn") == F.col("_n")))
+    summary = (edge_rows.where((F.col("_row_in_blk") == 1) | (F.col("_row_in_blk") == F.col("_rows_in_blk")))
                .groupBy(*part)
                .agg(*[c.alias(f"_e_{n}") for n, c in last_row.items()],
                     *[c.alias(f"_f_{n}") for n, c in first_row.items()],
-                    F.max("_n").alias("_e_n")))
+                    F.max("_rows_in_blk").alias("_e_n")))
     across = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(BLOCK)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
@@ -80,6 +84,7 @@ def running(blocks: DataFrame, keys: list[str], order: list[Column], **specs: tu
                 "rows": lambda n: F.sum(f"_e_{n}").over(before),
                 "sum": lambda n: F.sum(f"_e_{n}").over(before),
                 "max": lambda n: F.max(f"_e_{n}").over(before),
+                "max_before": lambda n: F.max(f"_e_{n}").over(before),
                 "last": lambda n: F.last(f"_e_{n}", ignorenulls=True).over(before),
                 "lag": lambda n: F.lag(f"_e_{n}").over(across),
                 "lead": lambda n: F.lead(f"_f_{n}").over(across),
@@ -93,16 +98,16 @@ def running(blocks: DataFrame, keys: list[str], order: list[Column], **specs: tu
         kind = spec[0]
         if kind in ("rows", "sum"):
             out = F.when(c.isNull(), v).when(v.isNull(), c).otherwise(c + v)
-        elif kind == "max":
+        elif kind in ("max", "max_before"):
             out = F.greatest(v, c)
         elif kind == "last":
             out = F.coalesce(v, c)
         elif kind == "lag":
-            out = F.when(F.col("_rn") == 1, c).otherwise(v)
+            out = F.when(F.col("_row_in_blk") == 1, c).otherwise(v)
         else:
-            out = F.when(F.col("_rn") == F.col("_n"), c).otherwise(v)
+            out = F.when(F.col("_row_in_blk") == F.col("_rows_in_blk"), c).otherwise(v)
         joined = joined.withColumn(name, out)
-    helpers = ["_rn", "_n"] + [f"_c_{n}" for n in specs] + [f"_v_{n}" for n in specs]
+    helpers = ["_row_in_blk", "_rows_in_blk"] + [f"_c_{n}" for n in specs] + [f"_v_{n}" for n in specs]
     return joined.drop(*helpers)
 
 
