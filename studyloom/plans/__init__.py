@@ -10,4 +10,7 @@ from . import (  # noqa: F401
     schedule_q,
     audit_q,
     stats_q,
+    assignment_q,
+    models_q,
+    streaming_q,
 )

@@ -73,8 +73,7 @@ def running(blocks: DataFrame, keys: list[str], order: list[Column], **specs: tu
     summary = (edge_rows.where((F.col("_row_in_blk") == 1) | (F.col("_row_in_blk") == F.col("_rows_in_blk")))
                .groupBy(*part)
                .agg(*[c.alias(f"_e_{n}") for n, c in last_row.items()],
-                    *[c.alias(f"_f_{n}") for n, c in first_row.items()],
-                    F.max("_rows_in_blk").alias("_e_n")))
+                    *[c.alias(f"_f_{n}") for n, c in first_row.items()]))
     across = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(BLOCK)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
