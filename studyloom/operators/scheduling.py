@@ -171,13 +171,13 @@ def best_pairs(people: DataFrame, group: str, staff: str, slots: DataFrame, k: i
         rest = [c for c in parts if c not in take]
         f = reduce(lambda a, b: a + b, [F.col(c) * w[c] for c in take], F.col("psi") * w["psi"] / 2)
         g = reduce(lambda a, b: a + b, [F.col(c) * w[c] for c in rest], F.col("psi") * w["psi"] / 2)
-        masks.append(F.struct(F.lit(m).alias("mask"), f.alias("f"), g.alias("g")))
+        masks.append(F.struct(F.lit(m).alias("_mask"), f.alias("_f"), g.alias("_g")))
     cols = [group, "slot", staff, *parts, "psi"]
     wide = here.select(*cols, F.explode(F.array(*masks)).alias("x")).select(*cols, "x.*")
-    by = [group, "slot", "mask"]
+    by = [group, "slot", "_mask"]
 
     def best(side):
-        order = Window.partitionBy(*by).orderBy(F.desc(side), staff)
+        order = Window.partitionBy(*by).orderBy(F.desc(f"_{side}"), staff)
         return wide.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1).select(
             *by, *[F.col(c).alias(f"{c}_{side}") for c in (staff, *parts, "psi")])
 
