@@ -15,6 +15,12 @@ def scale_to_100(x: Column, low: float, high: float, reverse: bool = False) -> C
     return (v - F.lit(float(low))) / F.lit(float(high - low)) * 100
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate a value once and hand it to ``body``; inside a lambda a plain column would be computed
+    again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def answered(a: Column) -> Column:
     return F.filter(a, lambda v: v.isNotNull() & ~F.isnan(v))
 
@@ -31,16 +37,21 @@ def row_mean(a: Column, minimum: int = 1) -> Column:
 
 def row_sd(a: Column) -> Column:
     """Sample standard deviation of the answered items."""
-    got = answered(a)
-    n = F.size(got)
-    mean = array_sum(got) / n
-    return F.when(n > 1, F.sqrt(F.aggregate(got, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / (n - 1)))
+    def of(got):
+        n = F.size(got)
+        spread = let(array_sum(got) / n, lambda m: F.aggregate(got, F.lit(0.0), lambda s, v: s + (v - m) * (v - m)))
+        return F.when(n > 1, F.sqrt(spread / (n - 1)))
+
+    return let(answered(a), of)
 
 
 def row_abs_deviation(a: Column, centre: Column) -> Column:
     """Mean absolute distance from a centre."""
-    got = answered(a)
-    return F.when(F.size(got) > 0, F.aggregate(got, F.lit(0.0), lambda s, v: s + F.abs(v - centre)) / F.size(got))
+    def of(got):
+        total = let(centre, lambda m: F.aggregate(got, F.lit(0.0), lambda s, v: s + F.abs(v - m)))
+        return F.when(F.size(got) > 0, total / F.size(got))
+
+    return let(answered(a), of)
 
 
 def row_statistics(a: Column) -> list[Column]:

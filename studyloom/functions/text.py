@@ -117,9 +117,13 @@ def choices(c: Column) -> Column:
         F.trim(F.substring_index(s, ",", 1)).alias("code"),
         F.trim(F.regexp_replace(F.substr(s, F.instr(s, ",") + 1), r"\s+", " ")).alias("label")))
     pairs = F.filter(pairs, lambda p: p["code"] != "")
-    last = F.transform(pairs, lambda p, i: F.struct(
-        p["code"].alias("code"), p["label"].alias("label"),
-        F.exists(F.slice(pairs, i + 2, F.size(pairs) + 1), lambda q: q["code"] == p["code"]).alias("again")))
+
+    def mark(all_pairs):
+        return F.transform(all_pairs, lambda p, i: F.struct(
+            p["code"].alias("code"), p["label"].alias("label"),
+            F.exists(F.slice(all_pairs, i + 2, F.size(all_pairs) + 1), lambda q: q["code"] == p["code"]).alias("again")))
+
+    last = F.get(F.transform(F.array(pairs), mark), F.lit(0))
     return F.transform(F.filter(last, lambda p: ~p["again"]),
                        lambda p: F.struct(p["code"].alias("code"), p["label"].alias("label")))
 

@@ -91,21 +91,26 @@ def collapse(records: DataFrame, rules: StudyRules) -> DataFrame:
 
     Reads ``participant_id, race, status_code, eth, eth2, exclude_flag, review_flag, visit_date`` as text.
     """
-    race, status = X.string_code(F.col("race")), X.string_code(F.col("status_code"))
-    return records.groupBy("participant_id").agg(
+    codes = ("race", "status_code", "eth", "eth2", "exclude_flag", "review_flag")
+    d = D.parse_date(F.col("visit_date"), rules.validation)
+    # codes and dates are read once per row, before the grouping
+    clean = records.select("participant_id", *[X.string_code(F.col(c)).alias(c) for c in codes], d.alias("_date"),
+                           (X.is_filled(F.col("visit_date")) & d.isNull()).alias("_bad_date"))
+    race, status = F.col("race"), F.col("status_code")
+    return clean.groupBy("participant_id").agg(
         F.count(F.lit(1)).alias("records"),
         code_list(race).alias("raw_race"), code_list(status).alias("raw_status"),
         ever_coded(race, list(rules.minority)).alias("minority"),
         ever_coded(race, list(rules.other_race)).alias("race_other"),
         ever(race.isNotNull() & ~race.isin(*rules.known_race)).alias("race_unexpected"),
-        F.count_distinct(race).alias("n_races"),
+        F.size(F.collect_set(race)).cast("long").alias("n_races"),
         stable(status).alias("status"), conflicting(status).alias("status_conflict"),
         ever(status.isNotNull() & ~status.isin(*rules.known_status)).alias("status_invalid"),
-        ever(X.string_code(F.col("exclude_flag")) == "1").alias("excluded_flag"),
-        ever(X.string_code(F.col("review_flag")) == "1").alias("review_flag"),
-        *tri_state([(X.string_code(F.col("eth")), {"positive": ["1"], "negative": ["2"], "unknown": ["9"]}),
-                    (X.string_code(F.col("eth2")), {"positive": ["1"], "negative": ["0"]})]),
-        *date_summary(F.col("visit_date"), rules.validation))
+        ever(F.col("exclude_flag") == "1").alias("excluded_flag"), ever(F.col("review_flag") == "1").alias("review_flag"),
+        *tri_state([(F.col("eth"), {"positive": ["1"], "negative": ["2"], "unknown": ["9"]}),
+                    (F.col("eth2"), {"positive": ["1"], "negative": ["0"]})]),
+        F.min("_date").alias("first_date"), ever(F.col("_bad_date")).alias("invalid_date"),
+        F.coalesce(F.min("_date") != F.max("_date"), F.lit(False)).alias("multiple_dates"))
 
 
 def decide(collapsed: DataFrame, rules: StudyRules) -> DataFrame:

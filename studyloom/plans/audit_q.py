@@ -8,6 +8,7 @@ from ..functions import scoring as S
 from ..operators import audit as A
 from ..operators import scheduling as G
 from ..operators.candidates import line_components
+from ..session import checkpoint_dir
 from .registry import query
 from .series_q import r
 
@@ -28,7 +29,9 @@ def ranked(t):
     out = G.rank_candidates(df, "run_id", "final_score", "staff_id", ["cand"])
     top = df.groupBy("run_id").agg(F.max("final_score").alias("_top"))
     tied = df.join(top, "run_id").where("final_score = _top").groupBy("run_id").agg((F.count(F.lit(1)) > 1).alias("is_tied"))
-    return out.join(tied, "run_id")
+    # the ranked pool is what a scoring run stores; pinning it keeps the readers below from ranking again
+    checkpoint_dir(t.spark)
+    return out.join(tied, "run_id").checkpoint()
 
 
 def runs(t):
@@ -155,12 +158,26 @@ def x37b(t):
     return r(A.waterfall(rk, outcomes(t, rk)))
 
 
-@query("h05_selection_stability")
+def _draws(n):
+    return ", ".join("(" + ", ".join([str(i), *(f"{v!r}::double" for v in w)]) + ")" for i, w in enumerate(A.weight_draws(S.DEFAULT, n)))
+
+
+_WINS = """
+, dr as (select * from (values {d}) v(i, w1, w2, w3, w4)),
+ wn as (select run_id, i, arg_max(staff_id, (0.0::double + phi * w1 + omega * w2 + psi * w3 + p * w4, -staff_id)) staff_id from {t} cross join dr group by 1, 2), st as (select run_id, staff_id, count(*) / {n}.0::double stability from wn group by 1, 2)
+"""
+
+
+@query("h05_selection_stability", _SC + _WINS.format(d=_draws(64), t="sc", n=64) + "select run_id, staff_id, round(stability, 6) as stability from st")
 def h05(t):
-    return A.selection_stability(scored(t))
+    return r(A.selection_stability(scored(t)))
 
 
-@query("h06_band_calibration")
+@query("h06_band_calibration", _RK + _WINS.format(d=_draws(32), t="rk", n=32) + """
+, de as (select gap, 1 - coalesce(stability, 0) flip from rk left join st on st.run_id = rk.run_id and st.staff_id = rk.staff_id where rn = 1 and gap is not null), e as (select unnest([0.02, 0.03, 0.04, 0.05, 0.07, 0.10, 0.15, 0.20])::double e),
+ g as (select e, count(*) filter (gap >= e) outside, avg(flip) filter (gap >= e) mean_flip from de cross join e group by 1)
+select coalesce((select min(e) from g where mean_flip <= 0.1), 0.2) as chosen, e as epsilon, outside, round(mean_flip, 6) as mean_flip from g
+""")
 def h06(t):
     rk = ranked(t)
     return r(A.calibrate_band(rk, A.selection_stability(rk, 32)))

@@ -217,7 +217,9 @@ def x15(t):
     return t.events.select("event_id", X.hhmmss((F.col("value") - 200) * 40).alias("shown"))
 
 
-@query("x16_path_identity")
+@query("x16_path_identity", """
+select lpad(cast(user_id as varchar), 5, '0') as participant_id, case when event_type = 'view' then 9 else 12 end as age_months, count(*) as n from events group by 1, 2
+""")
 def x16(t):
     files = t.events.select("user_id", "event_type", F.col("_metadata.file_path").alias("path"))
     made = F.concat(F.regexp_replace("path", r"[^/]*$", ""), F.lit("s"), F.lpad(F.col("user_id").cast("string"), 5, "0"),

@@ -43,7 +43,7 @@ def s02(t):
     return out.select("block", "key", F.concat_ws("/", "cells").alias("cells"))
 
 
-@query("s03_verified_cache")
+@query("s03_verified_cache", "select o_orderstatus, count(*) as n from orders group by 1")
 def s03(t):
     paths = [t.path("orders"), t.path("customer")]
     side = scratch_dir(t.spark, "sidecar")
@@ -119,7 +119,11 @@ def s08(t):
     return K.read_safe_csv(t.spark, path, "doc_id bigint, api_token string, cell string, note string")
 
 
-@query("s08_safe_csv_documents")
+@query("s08_safe_csv_documents", """
+with r as (select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '((?:api[\\s_-]*token|access[\\s_-]*token|password|secret)\\s*[:=]\\s*)([^\\s,;]+)', '\\1[REDACTED]', 'gi'),
+   '\\bBearer\\s+[A-Za-z0-9._~+/=-]{12,}', '[REDACTED]', 'gi'), '\\b[0-9A-Fa-f]{32,64}\\b', '[REDACTED]', 'g') x from documents)
+select doc_id, true as same, cast(length(x) + cast(regexp_matches(x, '^[ \\t\\r\\n]*[=+@-]') as integer) as integer) as n_chars from r
+""")
 def s08b(t):
     path = scratch_dir(t.spark, "csv")
     safe = K.write_safe_csv(t.documents.select("doc_id", "text"), path)

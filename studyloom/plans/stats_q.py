@@ -107,7 +107,10 @@ def a44(t):
     return r(S.cronbach_alpha(_dims(t), _DIM))
 
 
-@query("a44_item_total")
+@query("a44_item_total", "with e as (select " + ", ".join(f"round(cast(embedding[{i}] as double), 6) d{i}" for i in range(1, 4)) + " from embeddings), f as (select *, " + ", ".join(
+    f"round(0.0::double + d1 + d2 + d3 - d{i}, 9) r{i}" for i in range(1, 4)) + " from e), k as (select " + ", ".join(
+    f"rank() over (order by {c}{i}) + (count(*) over (partition by {c}{i}) - 1) / 2.0 {c}k{i}" for i in range(1, 4) for c in "dr") + " from f) " + " union all ".join(
+    f"select 'd{i}' as item, round(corr(dk{i}, rk{i}), 6) as rho from k" for i in range(1, 4)))
 def a44b(t):
     return r(S.item_total(_dims(t), _DIM[:3], "vec_id"))
 

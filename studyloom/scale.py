@@ -23,7 +23,10 @@ def ordered_blocks(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
     """
     checkpoint_dir(df.sparkSession)
     spread = df.repartitionByRange(*[F.col(k) for k in keys], *order)
-    return spread.withColumn(BLOCK, F.spark_partition_id()).checkpoint()
+    out = spread.withColumn(BLOCK, F.spark_partition_id()).checkpoint()
+    # small inputs end up in one block, which needs nothing carried into it
+    out._one_block = out.rdd.getNumPartitions() == 1
+    return out
 
 
 def running(blocks: DataFrame, keys: list[str], order: list[Column], **specs: tuple) -> DataFrame:
@@ -60,6 +63,11 @@ def running(blocks: DataFrame, keys: list[str], order: list[Column], **specs: tu
         else:
             raise ValueError(f"unknown running spec {kind}")
 
+    names = list(specs)
+    if getattr(blocks, "_one_block", False):
+        done = local.drop("_row_in_blk", "_rows_in_blk", *[f"_v_{n}" for n in names])
+        done._one_block = True
+        return done
     if keys:
         key = F.struct(*keys)
         edges = F.broadcast(blocks.groupBy(BLOCK).agg(F.min(key).alias("_lo"), F.max(key).alias("_hi")))
