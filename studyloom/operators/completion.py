@@ -68,14 +68,15 @@ def orphans(instruments: DataFrame, mapping: DataFrame, key: str, mapped: str) -
 def key_gaps(df: DataFrame, key: str, group: str) -> DataFrame:
     """Whole-number keys missing between the smallest and the largest of each group.
 
-    The keys are compared inside fixed-width slices, so no task holds the whole range.
+    The range is cut into slices about as wide as there are slices, so no row or task holds all of it.
     """
-    width = 10_000
     present = df.groupBy(group, key).agg(F.lit(1).alias("_"))
     bounds = present.groupBy(group).agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    slices = bounds.select(group, "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))).alias("s"))
+    width = F.greatest(F.lit(10_000), F.ceil(F.sqrt(F.col("hi") - F.col("lo"))))
+    bounds = bounds.withColumn("w", width.cast("long"))
+    slices = bounds.select(group, "lo", "hi", "w", F.explode(F.sequence(F.floor(F.col("lo") / F.col("w")), F.floor(F.col("hi") / F.col("w")))).alias("s"))
     full = slices.repartition(group, "s").select(group, F.explode(F.sequence(
-        F.greatest("lo", F.col("s") * width), F.least("hi", (F.col("s") + 1) * width - 1))).alias(key))
+        F.greatest("lo", F.col("s") * F.col("w")), F.least("hi", (F.col("s") + 1) * F.col("w") - 1))).alias(key))
     return full.join(present.select(group, key), [group, key], "left_anti")
 
 

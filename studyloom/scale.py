@@ -136,15 +136,8 @@ def average_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolated quantiles per key without holding a group's values in one task."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_cnt"))
-    blocks = ordered_blocks(counts, keys, [F.col(value)])
-    upto = running(blocks, keys, [F.col(value)], _upto=("sum", F.col("_cnt")))
-    join_keys = keys or ["_all"]
-    if not keys:
-        upto = upto.withColumn("_all", F.lit(0))
-        counts = counts.withColumn("_all", F.lit(0))
-    totals = counts.groupBy(*join_keys).agg(F.sum("_cnt").alias("_total"))
-    # one total per key; Spark broadcasts it only under its own size limit
-    ranked = upto.join(totals, join_keys)
+    upto = running_over(counts, keys, [F.col(value)], _upto=("sum", F.col("_cnt")))
+    ranked = attach(upto, counts.groupBy(*keys).agg(F.sum("_cnt").alias("_total")), keys)
     aggs = []
     for name, p in probs.items():
         pos = F.lit(float(p)) * (F.col("_total") - 1)
@@ -152,10 +145,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         first, last = F.col("_upto") - F.col("_cnt"), F.col("_upto") - 1
         lo = F.max(F.when((first <= lo_at) & (last >= lo_at), F.col(value)))
         hi = F.max(F.when((first <= hi_at) & (last >= hi_at), F.col(value)))
-        frac = F.max(pos - lo_at)
-        aggs.append((lo + (hi - lo) * frac).alias(name))
-    out = ranked.groupBy(*join_keys).agg(*aggs)
-    return out if keys else out.drop("_all")
+        aggs.append((lo + (hi - lo) * F.max(pos - lo_at)).alias(name))
+    return ranked.groupBy(*keys).agg(*aggs)
 
 
 def with_halo(df: DataFrame, at: str, width: float, before: float, after: float) -> DataFrame:
@@ -178,10 +169,11 @@ def with_halo(df: DataFrame, at: str, width: float, before: float, after: float)
 
 
 def attach(df: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
-    """Join per-key totals to rows; with no keys the single totals row is joined on a constant."""
+    """Join per-key totals to rows. With no keys ``totals`` is an aggregate without grouping, so it has
+    exactly one row and is sent to every task; a shuffle on a constant would put all rows in one."""
     if keys:
         return df.join(totals, keys)
-    return df.withColumn("_one", F.lit(0)).join(totals.withColumn("_one", F.lit(0)), "_one").drop("_one")
+    return df.withColumn("_one", F.lit(0)).join(F.broadcast(totals.withColumn("_one", F.lit(0))), "_one").drop("_one")
 
 
 def bounded(df: DataFrame, max_rows: int) -> bool:

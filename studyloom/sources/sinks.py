@@ -52,7 +52,8 @@ def publish_snapshot(df: DataFrame, base: str, date_column: str, source: str, re
     if present != required:
         raise ValueError(f"nothing published, sources missing: {sorted(required - present)}")
     spark = df.sparkSession
-    (df.repartition(date_column).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    # rebalance groups rows by date for few files, and splits a date that holds very many
+    (df.hint("rebalance", date_column).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(date_column).parquet(f"{base}/dated"))
     dated = spark.read.parquet(f"{base}/dated")
     newest = dated.agg(F.max(date_column).alias("d")).collect()[0]["d"]
@@ -78,7 +79,7 @@ def run_manifest(counts: DataFrame, project: str, policies: dict[str, str]) -> D
 def append_facts(base: str, runs: DataFrame, candidates: DataFrame, outcomes: DataFrame, date_column: str = "run_date") -> None:
     """Append the three decision tables, partitioned by run date so a period reads few files."""
     for name, df in (("run", runs), ("candidate", candidates), ("outcome", outcomes)):
-        df.repartition(date_column).write.mode("append").partitionBy(date_column).parquet(f"{base}/{name}")
+        df.hint("rebalance", date_column).write.mode("append").partitionBy(date_column).parquet(f"{base}/{name}")
 
 
 def code_table(df: DataFrame, column: str) -> DataFrame:
