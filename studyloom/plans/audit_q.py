@@ -27,8 +27,8 @@ def ranked(t):
     """Feasible candidates (two of three return flags) ranked within their run."""
     df = scored(t).where("l_returnflag <> 'R'").drop("l_returnflag")
     out = G.rank_candidates(df, "run_id", "final_score", "staff_id", ["cand"])
-    top = df.groupBy("run_id").agg(F.max("final_score").alias("_top"))
-    tied = df.join(top, "run_id").where("final_score = _top").groupBy("run_id").agg((F.count(F.lit(1)) > 1).alias("is_tied"))
+    # equal scores stand next to each other, so the first gap tells whether the top is shared
+    tied = out.where("rank_position = 1").select("run_id", F.coalesce(F.col("gap_to_next") == 0, F.lit(False)).alias("is_tied"))
     # the ranked pool is what a scoring run stores; pinning it keeps the readers below from ranking again
     checkpoint_dir(t.spark)
     return out.join(tied, "run_id").checkpoint()
