@@ -105,7 +105,7 @@ def j19(t):
     return I.evidence(_half(blocks(t, ["view"])), blocks(t, ["signup"]), snap, ["user_id"], "event_id", (tod >= 28800) & (tod + 1800 <= 61200))
 
 
-@query("f10_resource_checks", f"with {_BL}, {_MERGE.format(n=0, w='event_type = ' + repr('click'))}, {_MERGE.format(n=1, w='event_type = ' + repr('error') + ' and event_id % 2 = 0')}" + """
+@query("f10_resource_checks", f"with {_BL}, {_MERGE.format(n=0, w='event_type = ' + repr('click'))}, {_MERGE.format(n=1, w='event_type = ' + repr('error'))}" + """
 , v as (select user_id, event_id, s, s + 1200 e from bl where event_type = 'view')
 select user_id, event_id, case when not exists (select 1 from u0 where u0.user_id = v.user_id) then 'not_applicable' when exists (select 1 from u0 where u0.user_id = v.user_id and u0.s <= v.s and v.e <= u0.e) then 'pass' else 'fail' end as offered_times,
   case when event_id % 3 <> 0 or not exists (select 1 from u1 where u1.user_id = v.user_id) then 'not_applicable' when exists (select 1 from u1 where u1.user_id = v.user_id and u1.s <= v.s and v.e <= u1.e) then 'pass' else 'fail' end as clinician_shift,
@@ -115,7 +115,7 @@ select user_id, event_id, case when not exists (select 1 from u0 where u0.user_i
 def f10(t):
     v = _half(blocks(t, ["view"]), 1200).withColumn("needs_shift", F.col("event_id") % 3 == 0).withColumn("in_lab", F.col("event_id") % 2 == 0)
     offered = I.merge_intervals(blocks(t, ["click"]), ["user_id"], "event_id")
-    shifts = I.merge_intervals(blocks(t, ["error"]).where("event_id % 2 = 0"), ["user_id"], "event_id")
+    shifts = I.merge_intervals(blocks(t, ["error"]), ["user_id"], "event_id")
     lab = I.merge_intervals(blocks(t, ["signup"]), ["user_id"], "event_id")
     return I.resource_checks(v, offered, shifts, lab, "user_id", "event_id")
 
