@@ -33,7 +33,10 @@ def x01(t):
     return t.orders.select("o_orderkey", X.safe_text(p).alias("priority_text"), X.is_filled(p).alias("filled"))
 
 
-@query("x02_plain_text")
+@query("x02_plain_text", """
+with d as (select page_id, regexp_replace(replace(replace(replace(html, '&quot;', chr(34)), '&middot;', '·'), '&copy;', '©'), '&amp;?', '&', 'g') h from pages)
+select page_id, trim(regexp_replace(replace(regexp_replace(h, '<[^>]*>', ' ', 'g'), chr(160), ' '), '\\s+', ' ', 'g')) as plain from d
+""")
 def x02(t):
     return t.pages.select("page_id", X.plain_text(F.col("html")).alias("plain"))
 
