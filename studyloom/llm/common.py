@@ -24,6 +24,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     checkpoint_dir(spark)
     path = scratch_dir(spark, label)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of what has just been written
     return spark.read.schema(df.schema).parquet(path)
 
 

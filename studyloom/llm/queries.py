@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, rules, warc
+from . import jaccard, language, packing, pii, rules, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,22 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+@query("op4_language")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(~held_out()))
+    return language.predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
+
+
+@query("op6_near_copies")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_copies(table(spark, sf_dir, "documents"))
+
+
 #: Words, lines and windows of op8, then its base rules and the cascade's.
 OP8_SQL = r"""
 with d as (select doc_id, coalesce(text, '') t, row_number() over () r from documents),
@@ -49,7 +65,7 @@ f as (select doc_id, ws, ls, t, len(ws)::bigint n_words, coalesce(list_sum(list_
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from f)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not (base_failed or n_symbols > n_words or word_chars < 2 * n_words or word_chars > 20 * n_words or (len(ls) >= 4 and 100 * n_dup_lines > 50 * len(ls))
-    or 100 * len(list_filter(ws, lambda x: regexp_matches(x, '\p{L}'))) < 30 * n_words or length(regexp_replace(t, '[^!]+', '', 'g')) > n_words
+    or 100 * length(regexp_replace(t, '[^\p{L}]+', '', 'g')) < 30 * word_chars or length(regexp_replace(t, '[^!]+', '', 'g')) > n_words
     or 100 * len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*\z'))) > 60 * len(ls)) kept
 from b
 """
