@@ -14,12 +14,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space between words, and the symbols counted.
+BLANKS = " \t\n\x0b\x0c\r"
 SPACE = r"[\x20\x09-\x0D]+"
-SYMBOLS = r"[^#*$%&|<>]+"
+SYMBOLS = "#*$%&|<>"
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+    inner = F.btrim(text, F.lit(BLANKS))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE))
+
+
+def without(text: Column, characters: str) -> Column:
+    for c in characters:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
 
 
 def measures(df: DataFrame, text: str = "text", window: int = 3) -> DataFrame:
@@ -29,21 +37,19 @@ def measures(df: DataFrame, text: str = "text", window: int = 3) -> DataFrame:
     position) brings equal ones together, and each position found adds the words that the next one does not cover.
     """
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    long = lambda c: c.cast("long")
-    df = df.withColumn("_text", body).withColumn("_words", words_of(F.col("_text")))
-    df = df.withColumn("_lines", F.filter(F.split(F.col("_text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    df = df.withColumn("_text", body)
+    df = df.withColumns({"_words": words_of(F.col("_text")), "_lines": F.filter(F.split(F.col("_text"), "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""), "_chars": F.char_length("_text")})
+    words = F.col("_words")
+    keys = F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + d) for d in range(1, window)]))
     df = df.withColumns({
-        "n_words": long(F.size("_words")),
-        "word_chars": long(F.char_length(F.regexp_replace("_text", SPACE, ""))),
-        "n_symbols": long(F.char_length(F.regexp_replace("_text", SYMBOLS, ""))),
-        "n_dup_lines": long(F.size("_lines") - F.size(F.array_distinct("_lines"))),
-        "_h": F.transform("_words", lambda w: F.xxhash64(w)),
+        "n_words": F.size("_words").cast("long"),
+        "word_chars": F.char_length(without(F.col("_text"), BLANKS)).cast("long"),
+        "n_symbols": (F.col("_chars") - F.char_length(without(F.col("_text"), SYMBOLS))).cast("long"),
+        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "_k": F.when(F.size(words) > window, F.slice(keys, F.lit(1), F.size(words) - (window - 1))),
     })
-    h = F.col("_h")
-    keys = F.transform(F.sequence(F.lit(0), F.size(h) - window), lambda i: F.xxhash64(*[F.get(h, i + d) for d in range(window)]))
-    df = df.withColumn("_k", F.when(F.size(h) > window, keys))
-    # most texts repeat few windows: a distinct count is cheap and spares the others the sort
-    df = df.withColumn("_p", F.when(F.size(F.array_distinct("_k")) < F.size("_k"), F.array_sort(F.transform("_k", lambda k, i: F.struct(k.alias("k"), i.alias("i"))))))
+    # a distinct count is cheap, and spares texts without a repeat the sort
+    df = df.withColumn("_p", F.when(F.size(F.array_distinct("_k")) < F.size("_k"), F.sort_array(F.transform("_k", lambda k, i: F.struct(k.alias("k"), i.alias("i"))))))
     p = F.col("_p")
     twice = F.filter(p, lambda e, j: (e["k"] == F.get(p, j - 1)["k"]) | (e["k"] == F.get(p, j + 1)["k"]))
     df = df.withColumn("_at", F.sort_array(F.transform(twice, lambda e: e["i"])))
@@ -67,28 +73,28 @@ def base_rules() -> list[Rule]:
 def default_rules() -> list[Rule]:
     """Rules beyond the base ones. Thresholds are lenient, so that plain prose, lists and tables pass."""
     n = F.col("n_words")
-    lettered = F.size(F.filter("_words", lambda w: w.rlike(r"\p{L}")))
+    letters = F.char_length(F.regexp_replace("_text", r"[^\p{L}]+", ""))
     return [
         Rule("symbols", F.col("n_symbols") > n),
         Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 20 * n)),
         Rule("duplicate_lines", (F.size("_lines") >= 4) & (100 * F.col("n_dup_lines") > 50 * F.size("_lines"))),
-        Rule("few_letters", 100 * lettered < 30 * n),
-        Rule("exclamations", F.char_length(F.regexp_replace("_text", "[^!]+", "")) > n),
+        Rule("few_letters", 100 * letters < 30 * F.col("word_chars")),
+        Rule("exclamations", F.col("_chars") - F.char_length(without(F.col("_text"), "!")) > n),
         Rule("cut_off_lines", 100 * F.size(F.filter("_lines", lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*\z"))) > 60 * F.size("_lines")),
     ]
 
 
-def ordered(measured: DataFrame, rules: list[Rule], sample_rows: int = 1000, seed: int = 1) -> list[Rule]:
+def ordered(docs: DataFrame, rules: list[Rule], sample_rows: int = 1000, seed: int = 1) -> list[Rule]:
     """Rules by rejected share per second on a sample of at most about ``sample_rows`` rows, best first; ties keep the order given.
 
-    The sample only sets the order. It is drawn over the whole table and cut from its lineage, so each rule is timed by itself.
+    The sample only sets the order. It is drawn over the whole table, measured and cut from its lineage, so each rule is timed by itself.
     """
-    total = measured.count()
+    total = docs.count()
     if total == 0 or len(rules) < 2:
         return rules
     from .common import written
 
-    sample = written(measured.sample(min(1.0, sample_rows / total), seed), "rules-sample")
+    sample = written(measures(docs.sample(min(1.0, sample_rows / total), seed)), "rules-sample")
     n = max(1, sample.count())
     gain = {}
     for rule in rules:
@@ -105,8 +111,9 @@ def cascade(docs: DataFrame, rules: list[Rule] | None = None, doc_id: str = "doc
     Equal rows get equal verdicts; an empty table gives none. Only the id and text are read, so other columns cannot clash.
     """
     rules = default_rules() if rules is None else rules
-    measured = measures(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")))
-    rules = [*base_rules(), *ordered(measured, rules, sample_rows)]
+    docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    rules = [*base_rules(), *ordered(docs, rules, sample_rows)]
+    measured = measures(docs)
     verdict = F.lit(None).cast("string")
     for rule in reversed(rules):
         verdict = F.when(rule.rejects, rule.name).otherwise(verdict)
