@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, packing, pii, rules, warc
+from . import decontam, html_text, importance, jaccard, language, licenses, packing, pii, rules, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
+@query("op3_licenses")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(table(spark, sf_dir, "documents"))
+
+
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
@@ -46,11 +51,21 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
 
 
+@query("op5_main_text")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 @query("op6_near_copies")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_copies(table(spark, sf_dir, "documents"))
 
 
+@query("op7_importance")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("gumbel_key")
+
+
 #: Words, lines and windows of op8, then its base rules and the cascade's.
 OP8_SQL = r"""
 with d as (select doc_id, coalesce(text, '') t, row_number() over () r from documents),
@@ -64,7 +79,7 @@ f as (select doc_id, ws, ls, t, len(ws)::bigint n_words, coalesce(list_sum(list_
   from w left join m using (r)),
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from f)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not (base_failed or n_symbols > n_words or word_chars < 2 * n_words or word_chars > 20 * n_words or (len(ls) >= 4 and 100 * n_dup_lines > 50 * len(ls))
+  not (base_failed or 100 * n_symbols > 30 * n_words or word_chars < 2 * n_words or word_chars > 20 * n_words or (len(ls) >= 4 and 100 * n_dup_lines > 50 * len(ls))
     or 100 * length(regexp_replace(t, '[^\p{L}]+', '', 'g')) < 30 * word_chars or length(regexp_replace(t, '[^!]+', '', 'g')) > n_words
     or 100 * len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*\z'))) > 60 * len(ls)) kept
 from b
@@ -80,3 +95,28 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
+
+
+#: Question and answer of each item, windows of each document, and the share of both that a window holds.
+OP10_SQL = r"""
+with b as (select item_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) t from benchmark where text is not null),
+cut as (select *, case when contains(t, chr(10)) then chr(10) else '. ' end mark from b),
+qa as (select item_id, case when pos > 0 then left(t, (length(t) - pos - length(mark) + 1)::int) else t end q, case when pos > 0 then right(t, (pos - 1)::int) else '' end a
+  from (select *, instr(reverse(t), reverse(mark)) pos from cut)),
+qw as (select item_id, regexp_extract_all(lower(q), '[\p{L}\p{N}_]+') w, list_distinct(regexp_extract_all(lower(a), '[\p{L}\p{N}_]+')) a from qa),
+qg as (select item_id, a, list_distinct(list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(w[i:i+4], ' '))) g from qw where len(w) > 0),
+big as (select greatest(1024, 2 * max(len(regexp_extract_all(lower(t), '[\p{L}\p{N}_]+')))) w from b),
+d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') w, big.w size from documents, big where text is not null),
+p as (select doc_id, unnest(range(0, greatest(1, len(w) - size // 2), size // 2)) s, w, size from d),
+pw as (select doc_id, s, w[s+1:s+size] w from p),
+pg as (select distinct doc_id, s, unnest(list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(w[i:i+4], ' '))) g from pw),
+ig as (select item_id, len(g) n, unnest(g) g from qg),
+h as (select doc_id, s, item_id, count(*) / any_value(n) q from pg join ig using (g) group by all having 100 * count(*) >= 75 * any_value(n)),
+v as (select doc_id, item_id, q, case when len(a) = 0 then 1.0::double else len(list_intersect(a, pw.w)) / len(a) end a from h join pw using (doc_id, s) join qg using (item_id))
+select doc_id, item_id, max(struct_pack(q := q, a := a)).q question_overlap, max(struct_pack(q := q, a := a)).a answer_overlap from v where 100 * a >= 75 group by doc_id, item_id
+"""
+
+
+@query("op10_benchmark_leaks", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("score")

@@ -75,7 +75,7 @@ def default_rules() -> list[Rule]:
     n = F.col("n_words")
     letters = F.char_length(F.regexp_replace("_text", r"[^\p{L}]+", ""))
     return [
-        Rule("symbols", F.col("n_symbols") > n),
+        Rule("symbols", 100 * F.col("n_symbols") > 30 * n),
         Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 20 * n)),
         Rule("duplicate_lines", (F.size("_lines") >= 4) & (100 * F.col("n_dup_lines") > 50 * F.size("_lines"))),
         Rule("few_letters", 100 * letters < 30 * F.col("word_chars")),
