@@ -1,17 +1,55 @@
-"""The corpus pipeline: stages that each read what the one before has kept."""
+"""The corpus pipeline: stages that each read what the one before has kept, written as Parquet in between.
+
+1. ``language`` fits the classifier on a bounded sample of the labelled rows and drops texts it can't place: no letter, or a score below ``MIN_SCORE``.
+2. ``near_copies`` keeps one document of each group of near copies, the one with the least id.
+3. ``decontamination`` drops documents that repeat a benchmark item.
+4. ``personal_data`` replaces personal data in the texts and sets n_chars anew.
+5. ``packing`` packs the texts' tokens into sequences, one row per piece.
+
+Nulls: a null text has no letter, so stage 1 drops it; a null doc_id passes all stages. Empty tables pass as such.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from studyloom.llm import decontam, jaccard, packing, pii
+from studyloom.llm import language as lang
 from studyloom.llm.common import table, written
 
-STAGES: list = []
+#: Below the chance of guessing both the family and the language of a pair.
+MIN_SCORE = 0.25
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = lang.predict(docs, lang.fit(docs))
+    return found.where((F.col("lang_pred") != lang.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [("language", language), ("near_copies", near_copies), ("decontamination", decontamination), ("personal_data", personal_data), ("packing", pack)]
+#: Trained language models and tokens can't be written in SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import rows, written
 from .links import components
@@ -331,15 +332,9 @@ def _rare_first(docs: DataFrame, hot: DataFrame, buckets: int) -> DataFrame:
     return first.select(F.pmod("e.h", F.lit(buckets)).cast("int").alias("bucket"), F.col("e.h").alias("tile"), "cls", "n")
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, the least doc_id that links lead to.
-
-    Words are split at ASCII white space, A-Z counts as a-z. Null, empty or blank texts have no n-grams and no link: they are
-    their own component. Repeated rows and equal texts are one class. Rows with a null doc_id take part; ids they have not, so
-    a component of such rows alone has a null id. ``tile`` changes the work, not the result. Only the id and the text are read.
-    """
+def grouped(docs: DataFrame, tile: int = TILE) -> DataFrame:
+    """Rows (doc_id, n, cls, group) for rows (doc_id, text): the set's size and class, and the least class that links lead to; null without words."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     both = written(_profiles(docs, buckets), "jaccard-profiles")
     profiles = both.where("bucket is null").select("doc_id", "n", "cls", "bits")
@@ -362,9 +357,37 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", til
         again = written(labelled(_rare_first(docs, hot, buckets)), "jaccard-rare")
         pairs = pairs.unionByName(_across(again.join(mixed(again), ["bucket", "tile"], "left_semi"))).distinct()
     more = _linked(docs, pairs, classes)
-    groups = components(links.unionByName(more))
-    roots = classes.select("cls", "rep").join(groups.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
-    least = roots.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = roots.join(least, "component").select("cls", "component_id")
-    out = profiles.select("doc_id", "n", "cls").join(named, "cls", "left")
+    groups = components(links.unionByName(more)).select(F.col("node").alias("cls"), "component")
+    named = classes.select("cls").join(groups, "cls", "left").select("cls", F.coalesce("component", "cls").alias("group"))
+    return profiles.select("doc_id", "n", "cls").join(named, "cls", "left").select("doc_id", "n", "cls", "group")
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, the least doc_id that links lead to.
+
+    Words are split at ASCII white space, A-Z counts as a-z. Null, empty or blank texts have no n-grams and no link: they are
+    their own component. Repeated rows and equal texts are one class. Rows with a null doc_id take part; ids they have not, so
+    a component of such rows alone has a null id. ``tile`` changes the work, not the result. Only the id and the text are read.
+    """
+    rows_ = written(grouped(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")), tile), "jaccard-groups")
+    least = rows_.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    out = rows_.join(least, "group", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("cls").isNull(), F.col("doc_id"))).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
+    """Whole rows, one of each group of near copies: that with the least doc_id, null last, then the least class. Texts without words all stay."""
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    blank = F.btrim(body, F.lit(" \t\n\x0b\x0c\r")) == ""
+    spoken = docs.where(~blank)
+    rows_ = grouped(spoken.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")), tile)
+    best = rows_.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "cls")).alias("b")).select(F.col("b.doc_id").alias("_best_id"), F.col("b.cls").alias("_best"))
+    at = spoken.columns.index(text)
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([class_of(ngram_set(t.as_py())) for t in b.column(at)], pa.int64())], names=[*b.schema.names, "_class"])
+
+    tagged = spoken.mapInArrow(tag, T.StructType([*spoken.schema.fields, T.StructField("_class", T.LongType())]))
+    kept = tagged.join(best, (tagged["_class"] == F.col("_best")) & tagged[doc_id].cast("long").eqNullSafe(F.col("_best_id")), "left_semi")
+    return kept.dropDuplicates(["_class"]).drop("_class").unionByName(docs.where(blank))

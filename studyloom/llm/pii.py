@@ -151,3 +151,16 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
     counts = [count(k) for k in KINDS]
     return out.select("doc_id", *counts, "base_sha256", "spans", "span_text", *(["masked"] if with_text else []))
+
+
+def redact(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows with every span in the text replaced by its kind, as :func:`masked` does; other columns and null texts stay."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors = automaton()
+        for b in batches:
+            texts = [t if t is None else masked(t, find_spans(t, anchors)) for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
