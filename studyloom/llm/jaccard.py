@@ -5,8 +5,9 @@ one of their first few members in any order fixed for all, so classes meet only
 their first, near in size. Then
 
 1. in each tile and size band every class is compared with the band's first; links found so far become components;
-2. tiles whose classes are in one component are done. In the others, pairs across components are compared. A tile
-   with more classes than a bound is not paired up: its n-gram is frequent, so its classes are put in tiles anew by an order that
+2. tiles whose classes are in one component are done. In the larger of the others, each with a first drawn by its own n-gram, this is
+   repeated, so that a class meets as many firsts as it has tiles; that joins near copies which differ too much from one first;
+3. in tiles still open, pairs across components are compared. A tile with more classes than a bound is not paired up: its n-gram is frequent, so its classes are put in tiles anew by an order that
    starts with their rarest n-grams, where a frequent one counts only for texts made of little else.
 
 A comparison looks at hashed bitmaps first: bits set in one and not in the other bound the overlap from above. Only pairs
@@ -29,8 +30,7 @@ from .links import components
 #: N-gram length, and the threshold 100 * intersection >= 75 * union.
 NGRAM, NUM, DEN = 5, 75, 100
 #: Tiles with more classes than this go to the rare-first order.
-TILE = 200
-BITS = 2048
+TILE = 1000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -80,9 +80,9 @@ def class_of(members: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def bitmap(members: np.ndarray, bits: int = BITS) -> bytes:
-    """The set hashed into a bitmap at least twice its size, up to ``bits``."""
-    size = min(bits, max(64, 1 << int(2 * len(members) - 1).bit_length()))
+def bitmap(members: np.ndarray) -> bytes:
+    """The set hashed into a bitmap of at least twice its size, a thirtieth or so of its bytes."""
+    size = max(64, 1 << int(2 * len(members) - 1).bit_length())
     flags = np.zeros(size, np.uint8)
     flags[(members & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little").tobytes()
@@ -90,11 +90,16 @@ def bitmap(members: np.ndarray, bits: int = BITS) -> bytes:
 
 def overlap_bound(a: bytes, b: bytes, na: int, nb: int) -> int:
     """The overlap is at most each set's size less the bits it sets alone; the larger bitmap is folded onto the smaller."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    size = min(len(x), len(y))
-    x = np.bitwise_or.reduce(x.reshape(-1, size), axis=0)
-    y = np.bitwise_or.reduce(y.reshape(-1, size), axis=0)
-    return min(na - int(np.bitwise_count(x & ~y).sum()), nb - int(np.bitwise_count(y & ~x).sum()))
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    p, q = 8 * len(a), 8 * len(b)
+    while p > q:
+        p //= 2
+        x = (x >> p) | (x & ((1 << p) - 1))
+    while q > p:
+        q //= 2
+        y = (y >> q) | (y & ((1 << q) - 1))
+    both = (x & y).bit_count()
+    return min(na - x.bit_count() + both, nb - y.bit_count() + both)
 
 
 # ---------------------------------------------------------------------------------------------- texts to sets
@@ -103,11 +108,40 @@ PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64
                      ("classes", pa.binary()), ("sizes", pa.binary())])
 
 
-def _profiles(docs: DataFrame, buckets: int, hold: int = 1 << 20) -> DataFrame:
+def _frequent(docs: DataFrame, sample: int = 6000, least: int = 5, seed: int = 3) -> np.ndarray:
+    """N-grams that ``least`` or more of about ``sample`` texts hold, sorted: at most sample / least times the mean set size.
+
+    They are put last in the order of members, which keeps common passages out of prefixes. Any order gives the same links, so the
+    sample decides on work alone.
+    """
+    total = docs.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(ngram_set(text.as_py()).view(np.int64))], ["h"])
+
+    some = docs.select("text").sample(min(1.0, sample / max(1, total)), seed).mapInArrow(run, "h long")
+    often = some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("h").toPandas()
+    return np.sort(often["h"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def prefix(members: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The first members by hash, those in ``last`` behind all others."""
+    if len(last):
+        at = np.minimum(np.searchsorted(last, members), len(last) - 1)
+        late = last[at] == members
+        members = np.concatenate([members[~late], members[late]])
+    return members[:prefix_length(len(members))]
+
+
+def _profiles(docs: DataFrame, buckets: int, last: np.ndarray, hold: int = 1 << 20) -> DataFrame:
     """Rows of two kinds. bucket null: a document with its set's size, class and bitmap. Else: a block of prefix members, each with
     the number of its class in ``classes`` and ``sizes``. A task names a class once, however many copies it has.
     """
 
+    held = docs.sparkSession.sparkContext.broadcast(last)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         hs: list[np.ndarray] = []
@@ -139,7 +173,7 @@ def _profiles(docs: DataFrame, buckets: int, hold: int = 1 << 20) -> DataFrame:
                     c.append(v)
                 if new:
                     seen.add(cls)
-                    hs.append(s[:prefix_length(len(s))])
+                    hs.append(prefix(s, held.value))
                     cs.append(cls)
                     ns.append(len(s))
                     size += len(hs[-1])
@@ -152,6 +186,16 @@ def _profiles(docs: DataFrame, buckets: int, hold: int = 1 << 20) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, cls long, bits binary, bucket int, hashes binary, owner binary, classes binary, sizes binary")
 
 
+def _bands(tile: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Slices of rows sorted by tile and size: one tile each, with sizes up to DEN / NUM of the smallest."""
+    cuts = np.flatnonzero(tile[1:] != tile[:-1]) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(tile)]):
+        while a < b:
+            e = a + int(np.searchsorted(n[a:b], n[a] * DEN // NUM, "right"))
+            yield a, e
+            a = e
+
+
 def _tiles(blocks: DataFrame) -> DataFrame:
     """Rows (bucket, tile, cls, n, first) of n-grams that several classes hold: first is the class each is compared with first."""
     schema = pa.schema([("bucket", pa.int32()), ("tile", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("first", pa.int64())])
@@ -177,11 +221,8 @@ def _tiles(blocks: DataFrame) -> DataFrame:
         h, c, n = h[keep], c[keep], n[keep]
         cuts = np.flatnonzero(h[1:] != h[:-1]) + 1
         first = np.zeros(len(h), np.int64)
-        for a, b in zip([0, *cuts], [*cuts, len(h)]):
-            while a < b:  # a band: sizes up to DEN / NUM of its smallest
-                e = a + int(np.searchsorted(n[a:b], n[a] * DEN // NUM, "right"))
-                first[a:e] = c[a:e].min()
-                a = e
+        for a, e in _bands(h, n):
+            first[a:e] = c[a:e].min()
         several = np.ones(len(h), bool)
         if len(h):
             sizes = np.diff(np.r_[0, cuts, len(h)])
@@ -282,30 +323,71 @@ def _linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, salts: int =
     return written(tiles.groupBy("a", "s").applyInArrow(run, "a long, b long"), "jaccard-links")
 
 
-def _across(tiles: DataFrame) -> DataFrame:
-    """Pairs (a < b) in one tile, of different components and near in size. Pairs are merged tile by tile inside a bucket."""
+def _across(tiles: DataFrame, classes: DataFrame, most: int = 256) -> DataFrame:
+    """Pairs (a < b) in one tile, of different components, near in size, and allowed by bitmaps folded to ``most`` bytes."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
         tile, cls, n, comp = (t.column(c).to_numpy() for c in ("tile", "cls", "n", "comp"))
         order = np.lexsort((n, tile))
         tile, cls, n, comp = tile[order], cls[order], n[order], comp[order]
+        names, at = np.unique(cls, return_index=True)
+        raw = t.column("bits").take(pa.array(order[at])).to_pylist()
+        own = np.searchsorted(names, cls)
+        size = np.array([min(most, len(x)) for x in raw])
+        folded: dict[int, np.ndarray] = {}  # bitmaps of every class folded to a size, for classes of that size or more
+
+        def bitmaps(width: int) -> np.ndarray:
+            if width not in folded:
+                m = np.zeros((len(names), width // 8), np.uint64)
+                for k in np.flatnonzero(size >= width):
+                    m[k] = np.bitwise_or.reduce(np.frombuffer(raw[k], np.uint64).reshape(-1, width // 8), axis=0)
+                folded[width] = m
+            return folded[width]
+
         end = np.searchsorted(tile, tile, "right")
         found = np.zeros((0, 2), np.int64)
         held: list[np.ndarray] = []
-        size = 0
+        waiting = 0
         for i in range(len(tile)):
             e = i + 1 + int(np.searchsorted(n[i + 1:end[i]], n[i] * DEN // NUM, "right"))
-            other = cls[i + 1:e][comp[i + 1:e] != comp[i]]
-            if len(other):
+            j = i + 1 + np.flatnonzero(comp[i + 1:e] != comp[i])
+            if len(j):
+                m = bitmaps(int(size[own[i]]))
+                x, y = m[own[i]], m[own[j]]
+                both = np.bitwise_count(x & y).sum(axis=1, dtype=np.int64)
+                bound = np.minimum(n[i] - int(np.bitwise_count(x).sum()) + both, n[j] - np.bitwise_count(y).sum(axis=1, dtype=np.int64) + both)
+                other = cls[j[bound >= needed(n[i] + n[j])]]
                 held.append(np.stack([np.minimum(cls[i], other), np.maximum(cls[i], other)], axis=1))
-                size += len(other)
-                if size >= 1 << 18:
-                    found, held, size = np.unique(np.concatenate([found, *held]), axis=0), [], 0
+                waiting += len(other)
+                if waiting >= 1 << 18:
+                    found, held, waiting = np.unique(np.concatenate([found, *held]), axis=0), [], 0
         found = np.unique(np.concatenate([found, *held]), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
-    return tiles.select("bucket", "tile", "cls", "n", "comp").groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+    small = classes.select("cls", "bits")
+    return tiles.select("bucket", "tile", "cls", "n", "comp").join(small, "cls").groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+
+
+def _drawn(tiles: DataFrame, draw: int) -> DataFrame:
+    """Pairs (a, b) of a band's first, drawn by tile and ``draw``, with the classes of other components in the band."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        tile, cls, n, comp = (t.column(c).to_numpy() for c in ("tile", "cls", "n", "comp"))
+        order = np.lexsort((n, tile))
+        tile, cls, n, comp = tile[order], cls[order], n[order], comp[order]
+        lot = mix(cls.view(np.uint64) ^ mix(tile.view(np.uint64) + np.uint64(draw)))
+        held = [np.zeros((0, 2), np.int64)]
+        for a, e in _bands(tile, n):
+            k = a + int(lot[a:e].argmin())
+            other = cls[a:e][comp[a:e] != comp[k]]
+            held.append(np.stack([np.full(len(other), cls[k]), other], axis=1))
+        found = np.unique(np.concatenate(held), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    pairs = tiles.select("bucket", "tile", "cls", "n", "comp").groupBy("bucket").applyInArrow(run, "a long, b long")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _rare_first(docs: DataFrame, hot: DataFrame, buckets: int) -> DataFrame:
@@ -332,11 +414,11 @@ def _rare_first(docs: DataFrame, hot: DataFrame, buckets: int) -> DataFrame:
     return first.select(F.pmod("e.h", F.lit(buckets)).cast("int").alias("bucket"), F.col("e.h").alias("tile"), "cls", "n")
 
 
-def grouped(docs: DataFrame, tile: int = TILE) -> DataFrame:
+def grouped(docs: DataFrame, tile: int = TILE, small: int = 32, draws: int = 2) -> DataFrame:
     """Rows (doc_id, n, cls, group) for rows (doc_id, text): the set's size and class, and the least class that links lead to; null without words."""
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = written(_profiles(docs, buckets), "jaccard-profiles")
+    both = written(_profiles(docs, buckets, _frequent(docs)), "jaccard-profiles")
     profiles = both.where("bucket is null").select("doc_id", "n", "cls", "bits")
     classes = written(profiles.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.max("bits").alias("bits")), "jaccard-classes")
     tiles = written(_tiles(both.where("bucket is not null").select("bucket", "hashes", "owner", "classes", "sizes")), "jaccard-tiles")
@@ -346,16 +428,24 @@ def grouped(docs: DataFrame, tile: int = TILE) -> DataFrame:
     def labelled(t: DataFrame) -> DataFrame:
         return t.join(so_far.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
 
-    def mixed(t: DataFrame) -> DataFrame:
-        return t.groupBy("bucket", "tile").agg(F.count("*").alias("held"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "tile", "held")
-
-    open_tiles = written(labelled(tiles.drop("first")), "jaccard-open")
-    open_tiles = written(open_tiles.join(mixed(open_tiles), ["bucket", "tile"]), "jaccard-open")
+    def still_open(t: DataFrame, label: str) -> DataFrame:
+        """Rows of tiles whose classes are in several components, with the number of rows."""
+        t = written(labelled(t), label)
+        several = t.groupBy("bucket", "tile").agg(F.count("*").alias("held"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "tile", "held")
+        return written(t.join(several, ["bucket", "tile"]), label)
+
+    open_tiles = still_open(tiles.drop("first"), "jaccard-open")
+    for draw in range(draws):
+        large = open_tiles.where(F.col("held") > small)
+        if not large.take(1):
+            break
+        links = written(links.unionByName(_linked(docs, _drawn(large, draw), classes)), "jaccard-links")
+        so_far = components(links)
+        open_tiles = still_open(open_tiles.drop("comp", "held"), "jaccard-open")
     hot = written(open_tiles.where(F.col("held") > tile).select("cls").distinct().join(classes.select("cls", "rep"), "cls"), "jaccard-hot")
-    pairs = _across(open_tiles.where(F.col("held") <= tile))
+    pairs = _across(open_tiles.where(F.col("held") <= tile), classes)
     if hot.take(1):
-        again = written(labelled(_rare_first(docs, hot, buckets)), "jaccard-rare")
-        pairs = pairs.unionByName(_across(again.join(mixed(again), ["bucket", "tile"], "left_semi"))).distinct()
+        pairs = pairs.unionByName(_across(still_open(_rare_first(docs, hot, buckets), "jaccard-rare"), classes)).distinct()
     more = _linked(docs, pairs, classes)
     groups = components(links.unionByName(more)).select(F.col("node").alias("cls"), "component")
     named = classes.select("cls").join(groups, "cls", "left").select("cls", F.coalesce("component", "cls").alias("group"))
