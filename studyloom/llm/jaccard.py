@@ -41,20 +41,27 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def ngram_hashes(words: list[bytes], n: int = NGRAM) -> np.ndarray:
-    """64-bit hashes of the n-grams in order; fewer words are one n-gram, none give none."""
+def word_hashes(words: list[bytes]) -> np.ndarray:
     from xxhash import xxh3_64_intdigest
 
-    a = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
-    if not len(a):
-        return a
-    k = min(n, len(a))
-    h = np.full(len(a) - k + 1, k, np.uint64)
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def ngrams(words: np.ndarray, n: int = NGRAM) -> np.ndarray:
+    """64-bit hashes of the n-grams of hashed words in order; fewer words are one n-gram, none give none."""
+    if not len(words):
+        return words
+    k = min(n, len(words))
+    h = np.full(len(words) - k + 1, k, np.uint64)
     for i in range(k):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + a[i:len(a) - k + 1 + i]
+        h = h * np.uint64(0x9E3779B97F4A7C15) + words[i:len(words) - k + 1 + i]
     return mix(h)
 
 
+def ngram_hashes(words: list[bytes], n: int = NGRAM) -> np.ndarray:
+    return ngrams(word_hashes(words), n)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words between ASCII white space, A-Z in lower case."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()

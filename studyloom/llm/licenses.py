@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import rows
-from .jaccard import mix, ngram_hashes
+from .jaccard import mix, ngram_hashes, ngrams, word_hashes
 
 #: Shingle length, containment, and the notices looked for (public license texts and their usual short forms).
 NGRAM, NUM, DEN = 5, 75, 100
@@ -54,7 +54,7 @@ def bands_needed(similarity: float, miss: float) -> int:
 
 @dataclass
 class Group:
-    """Templates of like length: shingle length, window and step in shingles, band seeds, and the templates by band value."""
+    """Templates of like length: shingle length, window and step in shingles, a seed per band, and each template's minima by band."""
 
     gram: int
     window: int
@@ -62,8 +62,7 @@ class Group:
     seeds: np.ndarray
     names: list[str]
     shingles: list[np.ndarray]
-    values: np.ndarray  # all band values of templates, sorted
-    owners: list[set[int]]  # the templates behind each
+    minima: np.ndarray
 
 
 def groups_of(templates: dict[str, str], miss: float = 1e-4) -> list[Group]:
@@ -82,39 +81,42 @@ def groups_of(templates: dict[str, str], miss: float = 1e-4) -> list[Group]:
         # three quarters of the shortest template, alone in a full window
         least = (NUM * shortest / DEN) / (window + (DEN - NUM) * shortest / DEN)
         seeds = mix(np.arange(1, bands_needed(least, miss) + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
-        owners: dict[int, set[int]] = {}
-        for t, s in enumerate(shingles):
-            for b, seed in enumerate(seeds):
-                owners.setdefault(int(mix(np.array([int(mix(s * seed).min()) ^ b], np.uint64))[0]), set()).add(t)
-        values = np.array(sorted(owners), np.uint64)
-        out.append(Group(gram, window, step, seeds, names, shingles, values, [owners[int(v)] for v in values]))
+        minima = np.array([[(s * seed).min() for s in shingles] for seed in seeds], np.uint64)
+        out.append(Group(gram, window, step, seeds, names, shingles, minima))
     return out
 
 
-def scan(text: str | None, groups: list[Group]) -> dict[str, tuple[float, int]]:
-    """Templates found: the best containment, and the number of the first word of its window."""
-    words = words_of(text)
-    found: dict[str, tuple[float, int]] = {}
+def scan(texts: list[str | None], groups: list[Group]) -> list[dict[str, tuple[float, int]]]:
+    """For each text, the templates found: the best containment, and the number of the first word of its window, the first of equals.
+
+    Texts stand end to end, each padded to whole steps with its last shingle, so that windows start at the same places of a text whatever stands beside it.
+    """
+    hashed = [word_hashes(words_of(t)) for t in texts]
+    found: list[dict[str, tuple[float, int]]] = [{} for _ in texts]
     for g in groups:
-        if len(words) < g.gram:
+        own = [ngrams(h, g.gram) if len(h) >= g.gram else h[:0] for h in hashed]
+        padded = [np.concatenate([h, np.repeat(h[-1:], -len(h) % g.step)]) for h in own]
+        begins = np.cumsum([0, *map(len, padded)])
+        everything = np.concatenate(padded) if padded else np.zeros(0, np.uint64)
+        if not len(everything):
             continue
-        h = ngram_hashes(words, g.gram)
-        starts = np.arange(0, len(h), g.step)
-        candidates: set[tuple[int, int]] = set()
-        for b, seed in enumerate(g.seeds):
-            part = np.minimum.reduceat(mix(h * seed), starts)  # per step, then joined to windows
+        steps = -(-g.window // g.step)
+        near: set[tuple[int, int]] = set()
+        for seed, minima in zip(g.seeds, g.minima):
+            part = (everything * seed).reshape(-1, g.step).min(axis=1) if g.step > 1 else everything * seed
             least = part.copy()
-            for k in range(1, -(-g.window // g.step)):
-                least[:len(part) - k] = np.minimum(least[:len(part) - k], part[k:]) if k < len(part) else least[:len(part) - k]
-            value = mix(least ^ np.uint64(b))
-            at = np.searchsorted(g.values, value)
-            hit = np.flatnonzero((at < len(g.values)) & (g.values[np.minimum(at, len(g.values) - 1)] == value))
-            candidates.update((int(i), t) for i in hit for t in g.owners[at[i]])
-        for i, t in sorted(candidates):
-            inside = h[starts[i]:starts[i] + -(-g.window // g.step) * g.step]
+            for k in range(1, min(steps, len(part))):
+                np.minimum(least[:-k], part[k:], out=least[:-k])
+            for t, m in enumerate(minima):
+                near.update((int(i), t) for i in np.flatnonzero(least == m))
+        for i, t in sorted(near):
+            at = i * g.step
+            d = int(np.searchsorted(begins, at, "right")) - 1
+            first = at - int(begins[d])
+            inside = own[d][first:first + steps * g.step]
             share = float(np.isin(g.shingles[t], inside).sum() / len(g.shingles[t]))
-            if share * DEN >= NUM and share > found.get(g.names[t], (0.0, 0))[0]:
-                found[g.names[t]] = (share, int(starts[i]))
+            if share * DEN >= NUM and share > found[d].get(g.names[t], (0.0, 0))[0]:
+                found[d][g.names[t]] = (share, first)
     return found
 
 
@@ -128,8 +130,8 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in rows(batches):
             out: list[list] = [[], [], [], []]
-            for r in some:
-                for name, (share, word) in sorted(scan(r["text"], held.value).items()):
+            for r, found in zip(some, scan([r["text"] for r in some], held.value)):
+                for name, (share, word) in sorted(found.items()):
                     for c, v in zip(out, (r["doc_id"], name, share, word)):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.float64(), pa.int64()))], ["doc_id", "license", "containment", "word"])

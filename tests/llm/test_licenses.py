@@ -23,8 +23,8 @@ def test_templates_are_found_anywhere():
         for _ in range(20):
             words = rng.choices(vocab, k=rng.randint(0, 300))
             at = rng.randint(0, len(words))
-            assert name in L.scan(" ".join([*words[:at], text.upper() if rng.random() < 0.5 else text, *words[at:]]), groups), name
-    assert L.scan(" ".join(rng.choices(vocab, k=5000)), groups) == {}
+            assert name in L.scan([None, " ".join([*words[:at], text.upper() if rng.random() < 0.5 else text, *words[at:]]), "x"], groups)[1], name
+    assert L.scan([" ".join(rng.choices(vocab, k=5000))], groups) == [{}]
 
 
 def test_changed_templates():
@@ -33,8 +33,8 @@ def test_changed_templates():
     words = L.TEMPLATES["bsd"].split()
     grams = len(words) - 4
     need = math.ceil(0.75 * grams) + 4
-    assert L.scan(" ".join(["x"] * 30 + words[:need] + ["y"] * 30), groups)["bsd"][0] >= 0.75
-    assert "bsd" not in L.scan(" ".join(["x"] * 30 + words[:need - 1] + ["y"] * 30), groups)
+    assert L.scan([" ".join(["x"] * 30 + words[:need] + ["y"] * 30)], groups)[0]["bsd"][0] >= 0.75
+    assert "bsd" not in L.scan([" ".join(["x"] * 30 + words[:need - 1] + ["y"] * 30)], groups)[0]
 
 
 def test_rows(spark, texts):
