@@ -57,7 +57,8 @@ def plain_text(c: Column, all_entities: bool = True) -> Column:
     """
     text = safe_text(c)
     if all_entities:
-        text = _decode_entities(text)
+        # only texts with an ampersand leave the JVM's hands changed; the others are sent as null
+        text = F.when(text.contains("&"), _decode_entities(F.when(text.contains("&"), text))).otherwise(text)
     else:
         for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
                            ("&nbsp;", " "), ("&amp;", "&")):
@@ -67,8 +68,8 @@ def plain_text(c: Column, all_entities: bool = True) -> Column:
 
 
 def comparison_key(c: Column) -> Column:
-    """Plain text in lower case for exact comparison."""
-    return F.lower(plain_text(c, all_entities=False))
+    """Plain text in lower case for exact comparison, every entity decoded."""
+    return F.lower(plain_text(c))
 
 
 def field_key(c: Column) -> Column:

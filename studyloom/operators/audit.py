@@ -53,10 +53,10 @@ def uniform(*parts) -> Column:
 
 
 def poisson_one(u: Column) -> Column:
-    """Poisson(1) draw from a uniform number."""
-    cdf, pmf, out = 0.0, float(np.exp(-1.0)), F.lit(12)
+    """Poisson(1) draw from a uniform number of 53 bits, to the last value such a number can tell apart (18)."""
+    cdf, pmf, out = 0.0, float(np.exp(-1.0)), F.lit(18)
     steps = []
-    for k in range(12):
+    for k in range(18):
         cdf += pmf
         steps.append((cdf, k))
         pmf /= k + 1

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, RandomForestRegressor
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import calendar_features
-from ..scale import attach, exact_quantiles, running_over
+from ..scale import attach, average_ranks, exact_quantiles, running_over
 from .alignment import adjusted_rand
 from .audit import uniform
 
@@ -191,8 +191,12 @@ def out_of_fold(df: DataFrame, ident: str, y: str, columns: list[str], folds: in
 
 
 def auc(scored: DataFrame) -> float:
-    """Area under the curve of scores, ties included; bins bound what reaches the driver."""
-    return float(BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", numBins=10_000).evaluate(scored))
+    """Exact area under the curve from tie-averaged ranks; 0.5 if one label is missing."""
+    counts = scored.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("_pos"))
+    ranks = average_ranks(scored, [], "score").join(counts, "score")
+    row = ranks.agg(F.sum("n").alias("n"), F.sum("_pos").alias("p"), F.sum(F.col("_pos") * F.col("avg_rank")).alias("s")).first()
+    n, p = row["n"] or 0, row["p"] or 0
+    return 0.5 if p in (0, n) else float((row["s"] - p * (p + 1) / 2) / (p * (n - p)))
 
 
 def negative_control(df: DataFrame, ident: str, columns: list[str], seed: int = 99, **kw) -> float:

@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import is_filled
-from ..scale import attach, require_empty, running_over
+from ..scale import attach, null_safe_join, require_empty, running_over
 
 
 def roster_audit(roster: DataFrame, ident: str, raw_date: Column, parsed: Column, low: str, high: str) -> DataFrame:
@@ -42,7 +45,7 @@ def repeated(df: DataFrame, keys: list[str], name: str = "is_repeated") -> DataF
     window partition; AQE can split it in the join.
     """
     many = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys, F.lit(True).alias(name))
-    return df.join(many, keys, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return null_safe_join(df, many, keys, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def row_flags(roster: DataFrame, ident: str, raw_date: Column, parsed: Column, label_ok: Column) -> DataFrame:
@@ -57,7 +60,7 @@ def monthly(df: DataFrame, on: str, keys: list[str]) -> DataFrame:
     n = df.where(F.col(on).isNotNull()).groupBy(*keys, F.trunc(on, "month").alias("month")).agg(F.count(F.lit(1)).alias("n"))
     months = F.sequence(F.min("month"), F.max("month"), F.expr("interval 1 month"))
     grid = n.groupBy(*keys).agg(months.alias("m")).select(*keys, F.explode("m").alias("month"))
-    return grid.join(n, [*keys, "month"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return null_safe_join(grid, n, [*keys, "month"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def month_year_totals(series: DataFrame) -> DataFrame:
@@ -262,31 +265,35 @@ def annual_totals(plan: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def poisson_quantile(rate: Column, p: float) -> Column:
-    """Smallest count whose Poisson cumulative probability reaches p.
+    """Smallest count whose Poisson cumulative probability reaches p; null for a null or negative rate.
 
-    Probabilities are built up from the count before; beyond a rate of 500 the normal approximation
-    with its continuity step is used.
+    One rule for every rate: probabilities start in log space thirteen deviations under the rate, where less than any double can tell
+    is left out, and are added up from there. It runs in Arrow batches; apply it to a table of rates, not to the rows behind them.
     """
-    from statistics import NormalDist
+    from math import lgamma, log, sqrt
 
-    top = F.ceil(rate + 12 * F.sqrt(rate) + 12).cast("int")
-    zero = F.struct(F.exp(-rate).alias("pmf"), F.exp(-rate).alias("cdf"), F.lit(0).alias("q"))
+    @F.pandas_udf(T.IntegerType())
+    def quantile(rates: pd.Series) -> pd.Series:
+        def one(x):
+            if x is None or not x >= 0:
+                return None
+            if x == 0:
+                return 0
+            lo, hi = max(0, int(x - 13 * sqrt(x) - 13)), int(x + 13 * sqrt(x) + 13)
+            k = np.arange(lo + 1, hi + 1)
+            logs = np.concatenate([[lo * log(x) - x - lgamma(lo + 1)], np.log(x / k)]).cumsum()
+            return lo + int(np.searchsorted(np.exp(logs).cumsum(), p))
 
-    def step(s, k):
-        pmf = s["pmf"] * rate / k
-        open_ = s["cdf"] < F.lit(p)
-        return F.struct(pmf.alias("pmf"), F.when(open_, s["cdf"] + pmf).otherwise(s["cdf"]).alias("cdf"), F.when(open_, k).otherwise(s["q"]).alias("q"))
+        return rates.map(one, na_action="ignore").astype("Int32")
 
-    exact = F.aggregate(F.sequence(F.lit(1), F.when(rate <= 500, top).otherwise(F.lit(1))), zero, step, lambda s: s["q"])
-    approx = F.ceil(rate + F.lit(NormalDist().inv_cdf(p)) * F.sqrt(rate) - 0.5).cast("int")
-    return F.when(rate <= 500, exact).otherwise(approx)
+    return quantile(rate.cast("double"))
 
 
 def cumulative_share(df: DataFrame, keys: list[str], order: list[Column], value: str) -> DataFrame:
     """Running total and running share within a group, block by block so a large group is spread."""
     out = running_over(df, keys, order, running_total=("sum", F.col(value)))
     total = df.groupBy(*keys).agg(F.sum(value).alias("_total"))
-    return out.join(total, keys).withColumn("running_share", F.try_divide("running_total", "_total")).drop("_total")
+    return null_safe_join(out, total, keys).withColumn("running_share", F.try_divide("running_total", "_total")).drop("_total")
 
 
 def is_monotonic(series: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:

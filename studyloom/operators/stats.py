@@ -199,17 +199,19 @@ def assert_gate(checks: DataFrame) -> None:
     require_empty(checks.where(~F.col("passed")), "result differs from its expected value")
 
 
-def tipping_point(counts: DataFrame, keys: list[str], steps: int = 20) -> DataFrame:
-    """Rate gap for a row of splits of the left-out cases between success and failure.
+def tipping_point(counts: DataFrame, keys: list[str], slice_rows: int = 10_000) -> DataFrame:
+    """Rate gap for every split of the left-out cases without success over the two groups.
 
-    Reads ``success_a, total_a, success_b, total_b, excluded_a``. The split runs over ``steps`` equal
-    shares of the left-out cases, or every case when there are fewer.
+    Reads ``success_a, total_a, success_b, total_b, excluded``. For each number from 0 to ``excluded``, that many join group A's
+    denominator and the rest group B's; successes stay. Splits are laid out slice by slice, so no row holds a long list.
     """
-    k = F.least(F.col("excluded_a"), F.lit(steps))
-    x = counts.withColumn("_i", F.explode(F.sequence(F.lit(0), k.cast("int")))).withColumn(
-        "added", F.when(k > 0, F.floor(F.col("excluded_a") * F.col("_i") / k)).otherwise(0))
-    gap = (F.col("success_a") + F.col("added")) * 100.0 / (F.col("total_a") + F.col("excluded_a")) - F.col("success_b") * 100.0 / F.col("total_b")
-    return x.select(*keys, "added", gap.alias("gap"), (gap <= 0).alias("reversed"))
+    starts = F.sequence(F.lit(0).cast("long"), F.col("excluded").cast("long"), F.lit(slice_rows).cast("long"))
+    x = counts.withColumn("_s", F.explode(starts))
+    x = x.repartition("_s", *keys) if keys else x.repartition("_s")
+    x = x.withColumn("added_a", F.explode(F.sequence("_s", F.least(F.col("excluded").cast("long"), F.col("_s") + (slice_rows - 1)))))
+    x = x.withColumn("added_b", F.col("excluded").cast("long") - F.col("added_a"))
+    gap = F.try_divide(F.col("success_a") * 100.0, F.col("total_a") + F.col("added_a")) - F.try_divide(F.col("success_b") * 100.0, F.col("total_b") + F.col("added_b"))
+    return x.select(*keys, "added_a", "added_b", gap.alias("gap"), (gap <= 0).alias("reversed"))
 
 
 def detectable_difference(counts: DataFrame, keys: list[str], z_alpha: float = 1.959963984540054, z_power: float = 0.8416212335729143) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import scratch_dir
+from ..session import TABLES, scratch_dir
 from ..sources import readers as R
 from ..sources import sinks as K
 from .registry import query
@@ -43,19 +43,25 @@ def s02(t):
     return out.select("block", "key", F.concat_ws("/", "cells").alias("cells"))
 
 
-@query("s03_verified_cache", "select o_orderstatus, count(*) as n from orders group by 1")
+@query("s03_verified_cache", "select o_orderstatus as value, count(*) as n from orders group by 1 union all select c_mktsegment, count(*) from customer group by 1")
 def s03(t):
     paths = [t.path("orders"), t.path("customer")]
     side = scratch_dir(t.spark, "sidecar")
-    R.file_checksums(t.spark, paths).select(F.substring_index("path", "/", -1).alias("file"), "sha256").write.parquet(side)
-    df = R.verified_parquet(t.spark, [paths[0]], t.spark.read.parquet(side).where(F.col("file") == "orders.parquet"))
-    return df.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    R.parquet_fingerprints(t.spark, paths).write.parquet(side)
+    said = t.spark.read.parquet(side)
+    out = None
+    for path, key in zip(paths, ("o_orderstatus", "c_mktsegment")):
+        df = R.verified_parquet(t.spark, [path], said.where(R.file_key("path").startswith(R.file_key(F.lit(path)))))
+        one = df.groupBy(F.col(key).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-@query("s04_file_inventory")
+@query("s04_file_inventory", " union all ".join(f"select '{n}' as \"table\", count(*) as n_rows, (select count(*)::integer from (describe {n})) as n_columns from {n}" for n in TABLES))
 def s04(t):
-    names = ("customer", "supplier", "part", "orders", "lineitem", "events", "labels")
-    return R.file_inventory(t.spark, [t.path(n) for n in names]).drop("modified")
+    """Every file is fingerprinted; the result adds them up per table, since the number of files and their hashes are not in the tables' content."""
+    files = R.file_inventory(t.spark, [t.path(n) for n in TABLES]).withColumn("table", F.regexp_extract("path", r"/([a-z]+)\.parquet(?:/[^/]*)?$", 1))
+    return files.where("row_hash rlike '^[0-9]+$'").groupBy("table").agg(F.sum("rows").alias("n_rows"), F.max("columns").alias("n_columns"))
 
 
 @query("s05_namespaced_union", """

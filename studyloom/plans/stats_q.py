@@ -146,12 +146,12 @@ with c as (select s_nationkey nation, count(*) filter (l_returnflag = 'A' and l_
 def _tip(t):
     f, s = F.col("l_returnflag"), F.col("l_linestatus") == "F"
     return t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("s_nationkey").alias("nation")).agg(
-        F.count_if((f == "A") & s).alias("success_a"), F.count_if(f == "A").alias("total_a"), F.count_if((f == "R") & s).alias("success_b"), F.count_if(f == "R").alias("total_b"), F.count_if(f == "N").alias("excluded_a"))
+        F.count_if((f == "A") & s).alias("success_a"), F.count_if(f == "A").alias("total_a"), F.count_if((f == "R") & s).alias("success_b"), F.count_if(f == "R").alias("total_b"), F.count_if(f == "N").alias("excluded"))
 
 
 @query("a67_tipping_point", _TIP + """
-, x as (select *, least(ex, 20) k, unnest(generate_series(0, least(ex, 20))) i from c)
-select nation, cast(ex * i // k as bigint) as added, round((sa + ex * i // k) * 100.0 / (ta + ex) - sb * 100.0 / tb, 6) as gap, (sa + ex * i // k) * 100.0 / (ta + ex) - sb * 100.0 / tb <= 0 as reversed from x
+, x as (select *, unnest(generate_series(0, ex)) added_a from c)
+select nation, added_a, ex - added_a as added_b, round(sa * 100.0 / (ta + added_a) - sb * 100.0 / (tb + ex - added_a), 6) as gap, sa * 100.0 / (ta + added_a) - sb * 100.0 / (tb + ex - added_a) <= 0 as reversed from x
 """)
 def a67(t):
     return r(S.tipping_point(_tip(t), ["nation"]))

@@ -9,14 +9,9 @@ from ..streaming import jobs as J
 from .registry import query
 
 
-def _stream(t, df, label):
-    path = scratch_dir(t.spark, label)
-    df.write.parquet(path)
-    return J.file_stream(t.spark, path, df.schema)
-
-
 def _events(t):
-    return t.events.withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "user_id", "event_type", "ts", "value")
+    e = J.file_stream(t.spark, t.glob("events"), t.events.schema)
+    return e.withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "user_id", "event_type", "ts", "value")
 
 
 def _run(t, out, label):
@@ -25,11 +20,12 @@ def _run(t, out, label):
     return t.spark.read.schema(out.schema).parquet(path)
 
 
-@query("t1_streaming_inbox", "select count(*) as files, count(distinct content_hash) as hashes from (select distinct sha256(text) content_hash from documents)")
+@query("t1_streaming_inbox", "select min(doc_id) as doc_id, sha256(text) as content_hash from documents where text is not null group by 2")
 def t1(t):
-    d = t.documents.select("doc_id", "text").withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") % 600))
-    out = J.ingest_unseen(_stream(t, d, "inbox"), "at", F.col("text")).select("doc_id", "content_hash")
-    return _run(t, out, "inbox-out").agg(F.count(F.lit(1)).alias("files"), F.count_distinct("content_hash").alias("hashes"))
+    d = J.file_stream(t.spark, t.glob("documents"), t.documents.schema).select("doc_id", "text")
+    store = scratch_dir(t.spark, "inbox")
+    J.ingest_unseen(d, F.col("text"), store, scratch_dir(t.spark, "inbox-state"), "doc_id")
+    return J.stored(t.spark, store, d.withColumn("content_hash", F.lit("")).schema).select("doc_id", "content_hash")
 
 
 @query("t2_windowed_volume", """
@@ -37,7 +33,7 @@ with w as (select time_bucket(interval 1 hour, ts) s, event_type, count(*) n fro
 select epoch_us(s) as window_start_us, event_type, n from w where s + interval 1 hour <= (select date_trunc('millisecond', max(ts)) - interval 10 minute from events)
 """)
 def t2(t):
-    out = _run(t, J.windowed_volume(_stream(t, _events(t), "events"), "ts", ["event_type"], "1 hour"), "volume")
+    out = _run(t, J.windowed_volume(_events(t), "ts", ["event_type"], "1 hour"), "volume")
     return out.select(F.unix_micros("window_start").alias("window_start_us"), "event_type", "n")
 
 
@@ -46,7 +42,7 @@ with w as (select time_bucket(interval 1 hour, ts) - k * interval 1 hour s, coun
 select epoch_us(s) as window_start_us, n from w where s + interval 6 hour <= (select date_trunc('millisecond', max(ts)) - interval 10 minute from events)
 """)
 def t2b(t):
-    out = _run(t, J.windowed_volume(_stream(t, _events(t), "events"), "ts", [], "6 hours", "1 hour"), "sliding")
+    out = _run(t, J.windowed_volume(_events(t), "ts", [], "6 hours", "1 hour"), "sliding")
     return out.select(F.unix_micros("window_start").alias("window_start_us"), "n")
 
 
@@ -56,17 +52,14 @@ with g as (select user_id, ts, case when ts < lag(ts) over w + interval 2 hour t
 select user_id, epoch_us(a) as session_start_us, epoch_us(b) + 7200000000 as session_end_us, n from s where n >= 2 and b + interval 2 hour <= (select date_trunc('millisecond', max(ts)) - interval 10 minute from events)
 """)
 def t3(t):
-    out = _run(t, J.session_bursts(_stream(t, _events(t), "events"), "ts", ["user_id"], "2 hours", 2), "sessions")
+    out = _run(t, J.session_bursts(_events(t), "ts", ["user_id"], "2 hours", 2), "sessions")
     return out.select("user_id", F.unix_micros("session_start").alias("session_start_us"), F.unix_micros("session_end").alias("session_end_us"), "n")
 
 
 @query("t4_streaming_tally", "select event_type, user_id % 4 as status, count(*) as n from events group by 1, 2")
 def t4(t):
-    e = _events(t).withColumn("status", F.col("user_id") % 4)
-    path = scratch_dir(t.spark, "tally-in")
-    e.repartition(4).write.parquet(path)
     out = scratch_dir(t.spark, "tally")
-    J.tally_upserts(J.file_stream(t.spark, path, e.schema, 2), ["event_type", "status"], out, scratch_dir(t.spark, "tally-state"))
+    J.tally_upserts(_events(t).withColumn("status", F.col("user_id") % 4), ["event_type", "status"], out, scratch_dir(t.spark, "tally-state"))
     return J.latest_tally(t.spark, out, ["event_type", "status"])
 
 
@@ -77,7 +70,7 @@ def t5(t):
     before = spark.conf.get(key)
     spark.conf.set(key, J.ROCKSDB)
     try:
-        out = _run(t, J.freshness_monitor(_stream(t, _events(t), "events"), "user_id", "ts"), "freshness")
+        out = _run(t, J.freshness_monitor(_events(t), "user_id", "ts"), "freshness")
     finally:
         spark.conf.set(key, before)
     return out.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("sources"))

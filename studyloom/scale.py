@@ -71,7 +71,7 @@ def running(blocks: DataFrame, keys: list[str], order: list[Column], **specs: tu
     if keys:
         key = F.struct(*keys)
         edges = F.broadcast(blocks.groupBy(BLOCK).agg(F.min(key).alias("_lo"), F.max(key).alias("_hi")))
-        edge_rows = local.join(edges, BLOCK).where((key == F.col("_lo")) | (key == F.col("_hi")))
+        edge_rows = local.join(edges, BLOCK).where(key.eqNullSafe(F.col("_lo")) | key.eqNullSafe(F.col("_hi")))
     else:
         edge_rows = local
     last_row = {n: F.max(F.when(F.col("_row_in_blk") == F.col("_rows_in_blk"), F.col(f"_v_{n}" if s[0] in ("lag", "lead", "max_before") else n)))
@@ -99,7 +99,7 @@ def running(blocks: DataFrame, keys: list[str], order: list[Column], **specs: tu
             for name, spec in specs.items()
         ],
     )
-    joined = local.join(F.broadcast(carry), part, "left")
+    joined = null_safe_join(local, F.broadcast(carry), part, "left")
     for name, spec in specs.items():
         c, v = F.col(f"_c_{name}"), F.col(name)
         kind = spec[0]
@@ -168,11 +168,20 @@ def with_halo(df: DataFrame, at: str, width: float, before: float, after: float)
             .withColumn("is_core", F.col("bucket") == F.col("_home")).drop("_home"))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; the left side's key columns stay. ``how`` is inner or left."""
+    named = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(named, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def attach(df: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
     """Join per-key totals to rows. With no keys ``totals`` is an aggregate without grouping, so it has
     exactly one row and is sent to every task; a shuffle on a constant would put all rows in one."""
     if keys:
-        return df.join(totals, keys)
+        return null_safe_join(df, totals, keys)
     return df.withColumn("_one", F.lit(0)).join(F.broadcast(totals.withColumn("_one", F.lit(0))), "_one").drop("_one")
 
 

@@ -75,6 +75,10 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}.parquet"
 
+    def glob(self, name: str) -> str:
+        """The table's path as a pattern, which a stream takes for a file and for a folder."""
+        return f"{self.root}/{{{name}.parquet}}"
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)

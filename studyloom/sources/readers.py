@@ -11,10 +11,6 @@ from pyspark.sql import types as T
 from ..functions import text as X
 from ..scale import require_empty
 
-# Files above this size are fingerprinted by rows instead of bytes: one binary cell holds at most 2 GB.
-MAX_BINARY = 1 << 30
-
-
 def headerless_csv(spark: SparkSession, path: str, width: int) -> DataFrame:
     """Every cell as text in columns c0.., malformed lines kept in ``_bad``."""
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)] + [T.StructField("_bad", T.StringType())])
@@ -36,38 +32,58 @@ def split_blocks(sheet: DataFrame, blocks: dict[str, list[int]], headers: set[st
     return sheet.select(F.explode(F.array_compact(F.array(*made))).alias("b")).select("b.block", "b.key", "b.cells")
 
 
-def file_checksums(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """SHA-256 of files small enough for one cell; larger ones have no row here."""
-    files = spark.read.format("binaryFile").load(paths).where(F.col("length") <= MAX_BINARY)
-    return files.select("path", "length", "modificationTime", F.sha2("content", 256).alias("sha256"))
-
-
 def row_fingerprints(df: DataFrame) -> DataFrame:
-    """Rows and an order-free content hash per file, for files of any size."""
+    """Rows and an order-free content hash per file. Every file is read by rows, split over tasks, whatever its size.
+
+    Row hashes are added modulo 2^64, so equal rows do not cancel out.
+    """
+    # the sum of unsigned halves stays exact far beyond any row count
     body = F.xxhash64(*[F.col(c) for c in df.columns])
-    return df.select(F.col("_metadata.file_path").alias("path"), body.alias("h")).groupBy("path").agg(
-        F.count(F.lit(1)).alias("rows"), F.expr("bit_xor(h)").alias("row_hash"))
+    halves = df.select(F.col("_metadata.file_path").alias("path"), F.shiftrightunsigned(body, 32).alias("hi"), body.bitwiseAND(F.lit(0xFFFFFFFF)).alias("lo"))
+    sums = halves.groupBy("path").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("hi").cast("decimal(20,0)")).alias("hi"), F.sum(F.col("lo").cast("decimal(20,0)")).alias("lo"))
+    total = F.col("hi") * F.lit(1 << 32).cast("decimal(20,0)") + F.col("lo")
+    return sums.select("path", "rows", F.pmod(total, F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string").alias("row_hash"))
 
 
-def file_inventory(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Path, size, time, checksum prefix, rows and columns of each file."""
-    bytes_part = file_checksums(spark, paths).withColumn("file", F.substring_index("path", "/", -1))
-    rows = None
+def file_listing(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Path, size and time of every file under the paths; contents are not read."""
+    return spark.read.format("binaryFile").load(paths).select("path", "length", "modificationTime")
+
+
+def file_key(path: str | Column) -> Column:
+    """A file's path without its scheme, percent signs decoded, so that names from different sources compare."""
+    return F.regexp_replace(F.url_decode(F.replace(F.col(path) if isinstance(path, str) else path, F.lit("+"), F.lit("%2B"))), "^[a-z]+:/+", "/")
+
+
+def parquet_fingerprints(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Path, rows, columns and row hash of every Parquet file; a file without rows has hash 0."""
+    out = None
     for p in paths:
         df = spark.read.parquet(p)
-        one = row_fingerprints(df).withColumn("columns", F.lit(len(df.columns)))
-        rows = one if rows is None else rows.unionByName(one)
-    rows = rows.withColumn("file", F.substring_index("path", "/", -1)).drop("path")
-    return rows.join(bytes_part, "file", "left").select(
-        "file", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"),
-        F.substring("sha256", 1, 16).alias("sha256_prefix"), "rows", "columns", "row_hash")
+        there = file_listing(spark, [p]).select(file_key("path").alias("path"))
+        one = there.join(row_fingerprints(df).withColumn("path", file_key("path")), "path", "left")
+        one = one.select("path", F.coalesce("rows", F.lit(0).cast("long")).alias("rows"), F.lit(len(df.columns)).alias("columns"), F.coalesce("row_hash", F.lit("0")).alias("row_hash"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def file_inventory(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Path, size, time, rows, columns and row hash of each file."""
+    listed = file_listing(spark, paths).withColumn("path", file_key("path"))
+    return listed.join(parquet_fingerprints(spark, paths), "path").select(
+        F.substring_index("path", "/", -1).alias("file"), "path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), "rows", "columns", "row_hash")
 
 
 def verified_parquet(spark: SparkSession, paths: list[str], sidecar: DataFrame) -> DataFrame:
-    """Read cached files only when every checksum equals the sidecar's (file, sha256)."""
-    now = file_checksums(spark, paths).select(F.substring_index("path", "/", -1).alias("file"), "sha256")
-    bad = now.join(sidecar, ["file", "sha256"], "left_anti").unionByName(sidecar.select("file", "sha256").join(now, ["file", "sha256"], "left_anti"))
-    require_empty(bad, "cached file does not match its checksum")
+    """Read cached files only when each has one row in the sidecar (path, rows, row_hash) that agrees with its content.
+
+    A file without a sidecar row, a sidecar row without a file, a repeated row and a difference all stop the read.
+    """
+    now = parquet_fingerprints(spark, paths).select("path", "rows", "row_hash", F.lit(1).alias("_there"))
+    said = sidecar.select("path", F.col("rows").alias("_rows"), F.col("row_hash").alias("_hash"))
+    said = said.groupBy("path").agg(F.count(F.lit(1)).alias("_n"), F.first("_rows").alias("_rows"), F.first("_hash").alias("_hash"))
+    ok = (F.col("_there") == 1) & (F.col("_n") == 1) & (F.col("rows") == F.col("_rows")) & (F.col("row_hash") == F.col("_hash"))
+    require_empty(now.join(said, "path", "full").where(~F.coalesce(ok, F.lit(False))).select("path"), "cached file does not match its checksum")
     return spark.read.parquet(*paths)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -29,14 +30,32 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
     return q
 
 
-def ingest_unseen(stream: DataFrame, at: str, content: Column, delay: str = "1 day") -> DataFrame:
-    """First file per content hash within the watermark; unreadable rows are left out.
+def ingest_unseen(stream: DataFrame, content: Column, store: str, checkpoint: str, ident: str) -> StreamingQuery:
+    """Keep the first row of every content hash ever seen, however late it comes; rows without content are left out.
 
-    The watermark bounds the state. For memory beyond it, pair with ``sources.readers.unseen`` against
-    the stored hashes.
+    ``store`` holds one folder per batch with the new rows and their hashes. A batch is compared with the batches before it, and written over
+    under its own number, so a batch repeated after a failure, and a restart, add nothing twice. In a batch the least ``ident`` wins.
     """
-    s = stream.where(content.isNotNull()).withColumn("content_hash", F.sha2(content, 256))
-    return s.withWatermark(at, delay).dropDuplicatesWithinWatermark(["content_hash"])
+    spark = stream.sparkSession
+    rows = stream.where(content.isNotNull()).withColumn("content_hash", F.sha2(content, 256))
+    schema = rows.schema
+
+    def add(batch: DataFrame, number: int) -> None:
+        cols = batch.columns
+        first = batch.groupBy("content_hash").agg(F.min_by(F.struct(*cols), ident).alias("r")).select("r.*")
+        if number:
+            known = stored(spark, store, schema).where(F.col("batch") < number).select("content_hash")
+            first = first.join(known, "content_hash", "left_anti").select(*cols)
+        first.write.mode("overwrite").parquet(f"{store}/batch={number}")
+
+    q = rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
+def stored(spark: SparkSession, store: str, schema) -> DataFrame:
+    """Rows of an inbox store with their batch number."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).option("basePath", store).parquet(store)
 
 
 def windowed_volume(stream: DataFrame, at: str, keys: list[str], size: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:

@@ -70,3 +70,28 @@ def test_bounded_and_gate(spark):
         assert "found" in str(e)
     else:
         raise AssertionError
+
+
+def test_null_keys_are_a_group_at_every_size(many_blocks):
+    """One block and many give the same running values, ranks and quantiles, a null key included."""
+    spark = many_blocks
+    rows = [(None if i % 3 else f"k{i % 4}", i, float(i % 7)) for i in range(400)]
+    got = []
+    for parts in (1, 8):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        df = spark.createDataFrame(rows, "k string, i long, v double")
+        run = S.running_over(df, ["k"], [F.col("i")], n=("rows",), total=("sum", F.col("v")), before=("lag", F.col("i")), after=("lead", F.col("i")))
+        got.append((sorted(map(str, run.collect())), sorted(map(str, S.average_ranks(df, ["k"], "v").collect())), sorted(map(str, S.exact_quantiles(df, ["k"], "v", {"m": 0.5}).collect()))))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert got[0] == got[1]
+    assert run.where("k is null").agg(F.max("n")).first()[0] == sum(r[0] is None for r in rows)
+
+
+def test_null_keys_repeat_and_keep_their_months(spark):
+    import datetime as dt
+
+    from studyloom.operators import series
+
+    df = spark.createDataFrame([(None, dt.date(2024, 1, 5)), (None, dt.date(2024, 3, 1)), ("a", dt.date(2024, 2, 1))], "k string, d date")
+    assert sorted(r.is_repeated for r in series.repeated(df, ["k"]).collect()) == [False, True, True]
+    assert {(r.k, r.month.month): r.n for r in series.monthly(df, "d", ["k"]).collect()} == {(None, 1): 1, (None, 2): 0, (None, 3): 1, ("a", 2): 1}

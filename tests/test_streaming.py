@@ -30,17 +30,20 @@ def test_late_rows_do_not_reopen_closed_windows(spark):
 
 
 def test_restart_does_not_ingest_twice(spark):
-    src, out, state = (scratch_dir(spark, n) for n in ("in", "out", "state"))
+    """Known content stays out over restarts, late content that was never seen comes in."""
+    src, store, state = (scratch_dir(spark, n) for n in ("in", "out", "state"))
     schema = "id long, k string, ts timestamp, body string"
 
     def step():
-        J.run_once(J.ingest_unseen(J.file_stream(spark, src, schema), "ts", F.col("body")), out, state)
+        J.ingest_unseen(J.file_stream(spark, src, schema), F.col("body"), store, state, "id")
 
     _write(spark, src, [(1, "a", T0, "same"), (2, "a", T0, "same"), (3, "a", T0, None)])
     step()
-    _write(spark, src, [(4, "a", T0 + dt.timedelta(minutes=1), "same"), (5, "a", T0 + dt.timedelta(minutes=1), "new")])
+    _write(spark, src, [(4, "a", T0 + dt.timedelta(days=90), "same"), (5, "a", T0 + dt.timedelta(days=90), "new")])
     step()
-    assert sorted(r["body"] for r in spark.read.parquet(out).collect()) == ["new", "same"]
+    _write(spark, src, [(6, "a", T0 - dt.timedelta(days=900), "late"), (7, "a", T0 + dt.timedelta(days=900), "same")])
+    step()
+    assert sorted((r["id"], r["body"]) for r in spark.read.parquet(store).collect()) == [(1, "same"), (5, "new"), (6, "late")]
 
 
 def test_freshness_timers(spark):
