@@ -37,11 +37,11 @@ def redact_frame(df: DataFrame) -> DataFrame:
     out = []
     for name, kind in df.dtypes:
         if is_sensitive_name(name):
-            value = F.when(safe_text(F.col(name)) == "", "").otherwise(REDACTED)
+            value = F.when(safe_text(F.col(f"`{name}`")) == "", "").otherwise(REDACTED)
         elif kind == "string":
-            value = F.when(F.col(name).isNotNull(), redact_text(F.col(name)))
+            value = F.when(F.col(f"`{name}`").isNotNull(), redact_text(F.col(f"`{name}`")))
         else:
-            value = F.col(name)
+            value = F.col(f"`{name}`")
         out.append(value.alias(name))
     return df.select(*out)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hhmmss
-from ..scale import attach, exact_quantiles, running_over, with_halo
+from ..scale import attach, exact_quantiles, require_empty, running_over, with_halo
 
 
 def nearest_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, left_id: str, right_id: str, tolerance: float) -> DataFrame:
@@ -62,6 +62,26 @@ def coverage(aligned: DataFrame, left: DataFrame, right: DataFrame, keys: list[s
     return j.withColumn("left_pct", F.try_divide(F.col("aligned") * 100.0, "n_left")).withColumn("right_pct", F.try_divide(F.col("right_used") * 100.0, "n_right"))
 
 
+def assert_unique_times(stream: DataFrame, keys: list[str], at: str) -> None:
+    """Stop when a coder has two rows at one time, or a row without a time."""
+    require_empty(stream.where(F.col(at).isNull()).select(*keys), "coder row without a time")
+    require_empty(stream.groupBy(*keys, at).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "coder rows share a time")
+
+
+def assert_overlap(left: DataFrame, right: DataFrame, keys: list[str], at: str) -> None:
+    """Stop when the two coders' time ranges of a recording do not meet, or one coder has none."""
+    span = lambda df, s: df.groupBy(*keys).agg(F.min(at).alias(f"lo_{s}"), F.max(at).alias(f"hi_{s}"))
+    both = span(left, "a").join(span(right, "b"), keys, "full")
+    meets = (F.col("lo_a") <= F.col("hi_b")) & (F.col("lo_b") <= F.col("hi_a"))
+    require_empty(both.where(~F.coalesce(meets, F.lit(False))), "coder time ranges do not overlap")
+
+
+def assert_coverage(covered: DataFrame, minimum_pct: float = 90.0) -> None:
+    """Stop when less than the minimum of either stream of a recording is aligned."""
+    low = F.least(F.coalesce("left_pct", F.lit(0.0)), F.coalesce("right_pct", F.lit(0.0))) < minimum_pct
+    require_empty(covered.where(low), f"less than {minimum_pct:g} % of a stream is aligned")
+
+
 def agreement(pairs: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
     """Observed and expected agreement and kappa of two coders, per key.
 

@@ -159,11 +159,12 @@ def assignment_checks(cases: DataFrame, trace: DataFrame, assigned: DataFrame, c
     return out
 
 
-def greedy_plan(options: DataFrame, group: list[str]) -> DataFrame:
+def greedy_plan(options: DataFrame, group: list[str], visits: DataFrame | None = None) -> DataFrame:
     """Hardest visit first; each takes its best option that fits capacity and overlaps nothing booked.
 
     ``options`` holds ``visit_id, staff_id, score, start, end, capacity``. The state of a group is its
-    booked slots, never its options. Unplaced visits come back with a null member.
+    booked slots, never its options. Unplaced visits come back with a null member, and so do those of ``visits`` (group, ``visit_id``)
+    that have no option at all.
     """
     sizes = options.groupBy(*group, "visit_id").agg(F.count_distinct("staff_id").alias("_pool"))
     cols = [*group, "visit_id", "staff_id", "score", "start", "end", "capacity", "_pool"]
@@ -194,14 +195,18 @@ def greedy_plan(options: DataFrame, group: list[str]) -> DataFrame:
 
     kinds = dict(df.dtypes)
     schema = ", ".join([f"{g} {kinds[g]}" for g in group] + [f"visit_id {kinds['visit_id']}", f"staff_id {kinds['staff_id']}", "score double"])
-    return ordered_fold(df, group, order, schema, new_state, step, lambda s, key: open_visit(s, key))
+    plan = ordered_fold(df, group, order, schema, new_state, step, lambda s, key: open_visit(s, key))
+    if visits is None:
+        return plan
+    bare = visits.select(*group, "visit_id").distinct().join(options.select(*group, "visit_id").distinct(), [*group, "visit_id"], "left_anti")
+    return plan.unionByName(bare.select(*group, "visit_id", F.lit(None).cast(kinds["staff_id"]).alias("staff_id"), F.lit(0.0).alias("score")))
 
 
 def regret_report(options: DataFrame, plan: DataFrame, group: list[str], threshold: float = 0.03) -> DataFrame:
-    """Greedy total against the sum of every visit's best option, an upper bound of any plan."""
-    best = options.groupBy(*group, "visit_id").agg(F.max("score").alias("b")).groupBy(*group).agg(F.sum("b").alias("bound"), F.count(F.lit(1)).alias("visits"))
-    got = plan.groupBy(*group).agg(F.sum("score").alias("greedy"), F.count_if(F.col("staff_id").isNull()).alias("unfilled"))
-    j = best.join(got, group)
+    """Greedy total against the sum of every visit's best option, an upper bound of any plan. Visits are those of the plan."""
+    best = options.groupBy(*group, "visit_id").agg(F.max("score").alias("b")).groupBy(*group).agg(F.sum("b").alias("bound"))
+    got = plan.groupBy(*group).agg(F.sum("score").alias("greedy"), F.count(F.lit(1)).alias("visits"), F.count_if(F.col("staff_id").isNull()).alias("unfilled"))
+    j = got.join(best, group, "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
     regret = (F.col("bound") - F.col("greedy")) / F.when(F.col("bound") > 0, F.col("bound")).otherwise(1.0)
     return j.withColumn("regret", regret).withColumn("escalate", (F.col("regret") > threshold) | (F.col("unfilled") >= 1))
 

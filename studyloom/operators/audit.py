@@ -35,7 +35,8 @@ def stability_index(df: DataFrame, group: str, baseline, value: str, bins: int =
         F.count(F.lit(1)).alias("n"), *[F.count_if(inside & (b == i)).alias(f"b{i}") for i in range(bins)])
     share = F.array(*[F.greatest(F.col(f"b{i}") / F.col("n"), F.lit(1e-4)) for i in range(bins)])
     g = g.select(group, "n", share.alias("share"))
-    base = g.where(F.col(group) == F.lit(baseline)).select(F.col("n").alias("n_base"), F.col("share").alias("base"))
+    # an aggregate without keys has one row, so an absent baseline counts as one of no rows
+    base = g.where(F.col(group) == F.lit(baseline)).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n_base"), F.max("share").alias("base"))
     j = attach(g, base, [])
     terms = F.zip_with("share", "base", lambda c, p: (c - p) * F.log(c / p))
     return j.select(group, "n", F.when((F.col("n") < 2) | (F.col("n_base") < 2), 0.0).otherwise(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)).alias("psi"))
@@ -66,7 +67,7 @@ def poisson_one(u: Column) -> Column:
 
 
 def bootstrap_gini(df: DataFrame, keys: list[str], ident: str, value: str, draws: int, seed: int, alpha: float = 0.05) -> DataFrame:
-    """Percentile interval of the Gini over Poisson resamples.
+    """The Gini with a percentile interval over Poisson resamples; fewer than three values give the interval from 0 to 1.
 
     Every row draws its own weight from a hash, so resamples need no shuffle of rows and a rerun after
     a lost executor gives the same numbers. Weights of equal values are added before the ordered pass.
@@ -83,7 +84,11 @@ def bootstrap_gini(df: DataFrame, keys: list[str], ident: str, value: str, draws
     s = g.groupBy(*keys).agg(F.sort_array(F.collect_list("gini")).alias("a"), F.count(F.lit(1)).alias("k"))
     lo = F.element_at("a", (F.floor(F.col("k") * (alpha / 2)) + 1).cast("int"))
     hi = F.element_at("a", F.least(F.col("k"), F.floor(F.col("k") * (1 - alpha / 2)) + 1).cast("int"))
-    return s.select(*keys, lo.alias("low"), hi.alias("high"), F.col("k").alias("draws"))
+    point = inequality(df.where(F.col(value) >= 0), keys, value).select(*keys, "gini")
+    sizes = df.where(F.col(value) >= 0).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    out = attach(attach(sizes, point, keys), s.select(*keys, lo.alias("low"), hi.alias("high"), F.col("k").alias("draws")), keys)
+    few = F.col("_n") < 3
+    return out.select(*keys, "gini", F.when(few, 0.0).otherwise(F.col("low")).alias("low"), F.when(few, 1.0).otherwise(F.col("high")).alias("high"), "draws")
 
 
 def permutation_cv(candidates: DataFrame, chosen: DataFrame, keys: list[str], run: str, staff: str, iterations: int, seed: int) -> DataFrame:

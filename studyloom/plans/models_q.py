@@ -9,11 +9,20 @@ from ..operators import series as S
 from .registry import query
 from .series_q import K, r, series
 
-DIMS = [f"d{i}" for i in range(1, 7)]
+#: Domain scores: means of eight neighbouring values each, so that every query reads the whole vector.
+DIMS = [f"d{i}" for i in range(1, 9)]
+
+
+def domain(i: int):
+    return F.aggregate(F.slice("embedding", 8 * i - 7, 8), F.lit(0.0), lambda a, v: a + v.cast("double")) / 8
+
+
+def domain_sql(i: int) -> str:
+    return f"list_sum(list_transform(embedding[{8 * i - 7}:{8 * i}], lambda v: cast(v as double))) / 8"
 
 
 def dims(t):
-    return t.embeddings.select("vec_id", "label", *[F.element_at("embedding", i).cast("double").alias(f"d{i}") for i in range(1, 7)])
+    return t.embeddings.select("vec_id", "label", *[domain(i).alias(f"d{i}") for i in range(1, 9)])
 
 
 def table(t, rows, names):
@@ -22,20 +31,20 @@ def table(t, rows, names):
     return r(t.spark.range(1).select(F.inline(made)), 4)
 
 
-_Z = "with e as (select vec_id, label, " + ", ".join(f"case when (vec_id + {i}) % 17 = 0 then null else round(cast(embedding[{i}] as double), 6) end d{i}" for i in range(1, 7)) + " from embeddings), m as (select " + ", ".join(
-    f"quantile_cont(d{i}, 0.5) m{i}" for i in range(1, 7)) + " from e where label < 5), f as (select vec_id, label, " + ", ".join(f"coalesce(d{i}, m{i}) d{i}" for i in range(1, 7)) + " from e, m), s as (select " + ", ".join(
-    f"avg(d{i}) a{i}, stddev_pop(d{i}) s{i}" for i in range(1, 7)) + " from f where label < 5) select vec_id, " + ", ".join(f"round((d{i} - a{i}) / s{i}, 5) as d{i}" for i in range(1, 7)) + " from f, s"
+_Z = "with e as (select vec_id, label, " + ", ".join(f"case when (vec_id + {i}) % 17 = 0 then null else round({domain_sql(i)}, 6) end d{i}" for i in range(1, 9)) + " from embeddings), m as (select " + ", ".join(
+    f"quantile_cont(d{i}, 0.5) m{i}" for i in range(1, 9)) + " from e where label < 5), f as (select vec_id, label, " + ", ".join(f"coalesce(d{i}, m{i}) d{i}" for i in range(1, 9)) + " from e, m), s as (select " + ", ".join(
+    f"avg(d{i}) a{i}, stddev_pop(d{i}) s{i}" for i in range(1, 9)) + " from f where label < 5) select vec_id, " + ", ".join(f"round((d{i} - a{i}) / s{i}, 5) as d{i}" for i in range(1, 9)) + " from f, s"
 
 
 @query("m01_standardise", _Z)
 def m01(t):
-    df = t.embeddings.select("vec_id", "label", *[F.when((F.col("vec_id") + i) % 17 != 0, F.round(F.element_at("embedding", i).cast("double"), 6)).alias(f"d{i}") for i in range(1, 7)])
+    df = t.embeddings.select("vec_id", "label", *[F.when((F.col("vec_id") + i) % 17 != 0, F.round(domain(i), 6)).alias(f"d{i}") for i in range(1, 9)])
     return r(M.standardise(df, "vec_id", DIMS, F.col("label") < 5), 5)
 
 
 @query("m02_named_kmeans")
 def m02(t):
-    return r(M.cluster_profile(M.named_kmeans(dims(t), DIMS, 3, "d1"), DIMS[:2]), 4)
+    return r(M.cluster_profile(M.named_kmeans(dims(t), DIMS, 3, "d1"), DIMS), 4)
 
 
 @query("m03_cluster_validation")
@@ -50,14 +59,14 @@ def m04(t):
 
 @query("m05_mixture_grid")
 def m05(t):
-    return table(t, M.mixture_grid(dims(t), DIMS[:3]), ["k", "log_likelihood", "aic", "bic", "entropy", "top_posterior"])
+    return table(t, M.mixture_grid(dims(t), DIMS), ["k", "log_likelihood", "aic", "bic", "entropy", "top_posterior"])
 
 
 @query("m06_corrected_outcome")
 def m06(t):
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.functions import vector_to_array
-    x = M.with_features(dims(t), DIMS[:3])
+    x = M.with_features(dims(t), DIMS)
     post = GaussianMixture(k=2, seed=7).fit(x).transform(x).withColumn("post", vector_to_array("probability"))
     return table(t, M.corrected_outcome(post, "post", "label", 2), ["class", "size", "mean"])
 
@@ -103,8 +112,8 @@ def m11(t):
     return r(M.mahalanobis(dims(t), "vec_id", DIMS, F.col("label") < 5), 5)
 
 
-@query("m12_density_outlier", "with e as (select vec_id, label, " + ", ".join(f"cast(embedding[{i}] as double) d{i}" for i in range(1, 7)) + """ from embeddings),
- p as (select a.vec_id, a.label, sqrt(""" + " + ".join(f"(a.d{i} - b.d{i}) * (a.d{i} - b.d{i})" for i in range(1, 7)) + """) d from e a join e b on a.vec_id <> b.vec_id and b.label < 5),
+@query("m12_density_outlier", "with e as (select vec_id, label, " + ", ".join(f"{domain_sql(i)} d{i}" for i in range(1, 9)) + """ from embeddings),
+ p as (select a.vec_id, a.label, sqrt(""" + " + ".join(f"(a.d{i} - b.d{i}) * (a.d{i} - b.d{i})" for i in range(1, 9)) + """) d from e a join e b on a.vec_id <> b.vec_id and b.label < 5),
  k as (select *, row_number() over (partition by vec_id order by d) rn from p), m as (select vec_id, any_value(label) label, avg(d) md from k where rn <= 10 group by 1)
 select vec_id, round(md, 5) as mean_distance, round(md / (select avg(md) from m where label < 5), 5) as density_ratio from m
 """)

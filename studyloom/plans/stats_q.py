@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import stats as S
+from .models_q import domain, domain_sql
 from .registry import query
 from .series_q import r
 
@@ -93,26 +94,26 @@ def a43b(t):
     return r(S.rate_gap(_rates(t), ["ln"], "g", "A", "R"))
 
 
-_DIM = [f"d{i}" for i in range(1, 7)]
+_DIM = [f"d{i}" for i in range(1, 9)]
 
 
 def _dims(t):
-    return t.embeddings.select("vec_id", *[F.round(F.element_at("embedding", i).cast("double"), 6).alias(f"d{i}") for i in range(1, 7)])
+    return t.embeddings.select("vec_id", *[F.round(domain(i), 6).alias(f"d{i}") for i in range(1, 9)])
 
 
-@query("a44_scale_reliability", "with e as (select " + ", ".join(f"round(cast(embedding[{i}] as double), 6) d{i}" for i in range(1, 7)) + """ from embeddings)
-select count(*) as n, 6 as items, round(6.0 / 5 * (1 - (var_samp(d1) + var_samp(d2) + var_samp(d3) + var_samp(d4) + var_samp(d5) + var_samp(d6)) / var_samp(d1 + d2 + d3 + d4 + d5 + d6)), 6) as alpha from e
+@query("a44_scale_reliability", "with e as (select " + ", ".join(f"round({domain_sql(i)}, 6) d{i}" for i in range(1, 9)) + """ from embeddings)
+select count(*) as n, 8 as items, round(8.0 / 7 * (1 - (var_samp(d1) + var_samp(d2) + var_samp(d3) + var_samp(d4) + var_samp(d5) + var_samp(d6) + var_samp(d7) + var_samp(d8)) / var_samp(d1 + d2 + d3 + d4 + d5 + d6 + d7 + d8)), 6) as alpha from e
 """)
 def a44(t):
     return r(S.cronbach_alpha(_dims(t), _DIM))
 
 
-@query("a44_item_total", "with e as (select " + ", ".join(f"round(cast(embedding[{i}] as double), 6) d{i}" for i in range(1, 4)) + " from embeddings), f as (select *, " + ", ".join(
-    f"round(0.0::double + d1 + d2 + d3 - d{i}, 9) r{i}" for i in range(1, 4)) + " from e), k as (select " + ", ".join(
-    f"rank() over (order by {c}{i}) + (count(*) over (partition by {c}{i}) - 1) / 2.0 {c}k{i}" for i in range(1, 4) for c in "dr") + " from f) " + " union all ".join(
-    f"select 'd{i}' as item, round(corr(dk{i}, rk{i}), 6) as rho from k" for i in range(1, 4)))
+@query("a44_item_total", "with e as (select " + ", ".join(f"round({domain_sql(i)}, 6) d{i}" for i in range(1, 9)) + " from embeddings), f as (select *, " + ", ".join(
+    f"round(0.0::double + d1 + d2 + d3 + d4 + d5 + d6 + d7 + d8 - d{i}, 9) r{i}" for i in range(1, 9)) + " from e), k as (select " + ", ".join(
+    f"rank() over (order by {c}{i}) + (count(*) over (partition by {c}{i}) - 1) / 2.0 {c}k{i}" for i in range(1, 9) for c in "dr") + " from f) " + " union all ".join(
+    f"select 'd{i}' as item, round(corr(dk{i}, rk{i}), 6) as rho from k" for i in range(1, 9)))
 def a44b(t):
-    return r(S.item_total(_dims(t), _DIM[:3], "vec_id"))
+    return r(S.item_total(_dims(t), _DIM, "vec_id"))
 
 
 @query("a45_spearman_matrix", """

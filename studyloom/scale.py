@@ -39,39 +39,22 @@ def running(blocks: DataFrame, keys: list[str], order: list[Column], **specs: tu
     part = [BLOCK, *keys]
     w = Window.partitionBy(*part).orderBy(*order)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = blocks.withColumn("_row_in_blk", F.row_number().over(w)).withColumn(
-        "_rows_in_blk", F.count(F.lit(1)).over(Window.partitionBy(*part)))
-    for name, spec in specs.items():
-        kind = spec[0]
-        if kind == "rows":
-            local = local.withColumn(name, F.col("_row_in_blk").cast("long"))
-        elif kind == "sum":
-            local = local.withColumn(name, F.sum(spec[1]).over(run))
-        elif kind == "max":
-            local = local.withColumn(name, F.max(spec[1]).over(run))
-        elif kind == "max_before":
-            local = local.withColumn(f"_v_{name}", F.max(spec[1]).over(run)).withColumn(
-                name, F.max(spec[1]).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-        elif kind == "last":
-            local = local.withColumn(name, F.last(spec[1], ignorenulls=True).over(run))
-        elif kind == "lag":
-            local = local.withColumn(f"_v_{name}", spec[1]).withColumn(
-                name, F.lag(f"_v_{name}").over(w))
-        elif kind == "lead":
-            local = local.withColumn(f"_v_{name}", spec[1]).withColumn(
-                name, F.lead(f"_v_{name}").over(w))
-        else:
-            raise ValueError(f"unknown running spec {kind}")
 
+    def within(df: DataFrame) -> DataFrame:
+        local = df.withColumn("_row_in_blk", F.row_number().over(w)).withColumn("_rows_in_blk", F.count(F.lit(1)).over(Window.partitionBy(*part)))
+        return _within(local, specs, w, run)
+
+    local = within(blocks)
     names = list(specs)
     if getattr(blocks, "_one_block", False):
         done = local.drop("_row_in_blk", "_rows_in_blk", *[f"_v_{n}" for n in names])
         done._one_block = True
         return done
     if keys:
+        # at most two keys of a block cross its edges; only their rows go through the windows again
         key = F.struct(*keys)
         edges = F.broadcast(blocks.groupBy(BLOCK).agg(F.min(key).alias("_lo"), F.max(key).alias("_hi")))
-        edge_rows = local.join(edges, BLOCK).where(key.eqNullSafe(F.col("_lo")) | key.eqNullSafe(F.col("_hi")))
+        edge_rows = within(blocks.join(edges, BLOCK).where(key.eqNullSafe(F.col("_lo")) | key.eqNullSafe(F.col("_hi"))).drop("_lo", "_hi"))
     else:
         edge_rows = local
     last_row = {n: F.max(F.when(F.col("_row_in_blk") == F.col("_rows_in_blk"), F.col(f"_v_{n}" if s[0] in ("lag", "lead", "max_before") else n)))
@@ -118,6 +101,32 @@ def running(blocks: DataFrame, keys: list[str], order: list[Column], **specs: tu
     return joined.drop(*helpers)
 
 
+def _within(local: DataFrame, specs: dict[str, tuple], w, run) -> DataFrame:
+    """The running columns of :func:`running` inside each block."""
+    for name, spec in specs.items():
+        kind = spec[0]
+        if kind == "rows":
+            local = local.withColumn(name, F.col("_row_in_blk").cast("long"))
+        elif kind == "sum":
+            local = local.withColumn(name, F.sum(spec[1]).over(run))
+        elif kind == "max":
+            local = local.withColumn(name, F.max(spec[1]).over(run))
+        elif kind == "max_before":
+            local = local.withColumn(f"_v_{name}", F.max(spec[1]).over(run)).withColumn(
+                name, F.max(spec[1]).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        elif kind == "last":
+            local = local.withColumn(name, F.last(spec[1], ignorenulls=True).over(run))
+        elif kind == "lag":
+            local = local.withColumn(f"_v_{name}", spec[1]).withColumn(
+                name, F.lag(f"_v_{name}").over(w))
+        elif kind == "lead":
+            local = local.withColumn(f"_v_{name}", spec[1]).withColumn(
+                name, F.lead(f"_v_{name}").over(w))
+        else:
+            raise ValueError(f"unknown running spec {kind}")
+    return local
+
+
 def running_over(df: DataFrame, keys: list[str], order: list[Column], **specs: tuple) -> DataFrame:
     """:func:`ordered_blocks` followed by :func:`running`, without the block column."""
     return running(ordered_blocks(df, keys, order), keys, order, **specs).drop(BLOCK)

@@ -10,9 +10,19 @@ from ..scale import running_over
 
 
 def write_safe_csv(df: DataFrame, path: str) -> DataFrame:
-    """Redacted, formula-safe UTF-8 CSV."""
+    """Redacted, formula-safe UTF-8 CSV. Column names are redacted and made formula-safe like cells; names that become equal get a number.
+
+    Spark writes a header per part file and no byte-order mark.
+    """
     safe = P.redact_frame(df)
-    cells = [P.spreadsheet_safe(F.col(c)).alias(c) if k == "string" else F.col(c) for c, k in safe.dtypes]
+    # names are values of one row here, so the same expressions treat them
+    names = df.sparkSession.range(1).select(*[P.spreadsheet_safe(P.redact_text(F.lit(c))).alias(str(i)) for i, c in enumerate(safe.columns)]).first()
+    taken: dict[str, int] = {}
+    cells = []
+    for (c, k), name in zip(safe.dtypes, names):
+        taken[name] = taken.get(name, 0) + 1
+        cell = P.spreadsheet_safe(F.col(f"`{c}`")) if k == "string" else F.col(f"`{c}`")
+        cells.append(cell.alias(name if taken[name] == 1 else f"{name}_{taken[name]}"))
     safe = safe.select(*cells)
     (safe.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").option("quoteAll", True)
      .option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))

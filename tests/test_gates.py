@@ -76,3 +76,51 @@ def test_poisson_draws_reach_the_tail(spark):
     cdf = [sum(exp(-1) / factorial(j) for j in range(k + 1)) for k in range(16)]
     df = spark.createDataFrame([(c - 1e-15 if k < 15 else 1 - 1e-15, k) for k, c in enumerate(cdf) if k < 14], "u double, k int")
     assert all(r.d == r.k for r in df.select("k", poisson_one(F.col("u")).alias("d")).collect())
+
+
+def test_alignment_gates(spark):
+    from studyloom.operators import alignment as A
+
+    a = spark.createDataFrame([("r", 0, 1), ("r", 40, 2), ("r", 80, 3)], "k string, at long, i long")
+    b = a.select("k", (F.col("at") + 1).alias("at"), F.col("i").alias("j"))
+    A.assert_unique_times(a, ["k"], "at")
+    A.assert_overlap(a, b, ["k"], "at")
+    for twice in (a.unionByName(a.limit(1)), a.withColumn("at", F.when(F.col("i") > 1, F.col("at")))):
+        with pytest.raises(ValueError):
+            A.assert_unique_times(twice, ["k"], "at")
+    for other in (b.withColumn("at", F.col("at") + 1000), b.where("false")):
+        with pytest.raises(ValueError):
+            A.assert_overlap(a, other, ["k"], "at")
+    whole = A.coverage(A.nearest_join(a, b, ["k"], "at", "i", "j", 5), a, b, ["k"], "j")
+    A.assert_coverage(whole)
+    with pytest.raises(ValueError):
+        A.assert_coverage(A.coverage(A.nearest_join(a, b.where("j < 3"), ["k"], "at", "i", "j", 5), a, b.where("j < 3"), ["k"], "j"))
+
+
+def test_safe_csv_treats_names_like_cells(spark, tmp_path):
+    from studyloom.sources import sinks
+
+    df = spark.createDataFrame([("x", "y", "z", 1)], "`=SUM(A1)` string, `API Token` string, `Bearer abcdefghijklmnop` string, `plain` int")
+    sinks.write_safe_csv(df, f"{tmp_path}/csv")
+    head = next((tmp_path / "csv").glob("part-*.csv")).read_text().splitlines()[0]
+    assert head == "\"'=SUM(A1)\",\"API Token\",\"[REDACTED]\",\"plain\""
+
+
+def test_visits_without_options_are_unfilled(spark):
+    from studyloom.operators import assignment as H
+
+    options = spark.createDataFrame([("s", 1, "a", 0.9, 0, 2, 1), ("s", 2, "a", 0.8, 1, 3, 2)], "site string, visit_id long, staff_id string, score double, start long, end long, capacity int")
+    visits = spark.createDataFrame([("s", 1), ("s", 2), ("s", 3), ("t", 9)], "site string, visit_id long")
+    plan = H.greedy_plan(options, ["site"], visits)
+    assert {(r.site, r.visit_id): r.staff_id for r in plan.collect()} == {("s", 1): "a", ("s", 2): None, ("s", 3): None, ("t", 9): None}
+    report = {r.site: r for r in H.regret_report(options, plan, ["site"]).collect()}
+    assert (report["s"].visits, report["s"].unfilled, report["t"].unfilled, report["t"].escalate) == (3, 2, 1, True)
+
+
+def test_absent_baseline_and_few_values(spark):
+    from studyloom.operators import audit
+
+    df = spark.createDataFrame([("a", 1, 0.2), ("a", 2, 0.7), ("b", 3, 0.5), ("b", 4, 0.6), ("b", 5, 0.1)], "g string, i long, v double")
+    assert [r.psi for r in audit.stability_index(df, "g", "none", "v").collect()] == [0.0, 0.0]
+    got = {r.g: r for r in audit.bootstrap_gini(df, ["g"], "i", "v", 50, 3).collect()}
+    assert (got["a"].low, got["a"].high) == (0.0, 1.0) and got["b"].low <= got["b"].gini <= 1 and got["b"].high < 1
