@@ -241,11 +241,11 @@ def mahalanobis(df: DataFrame, ident: str, columns: list[str], reference: Column
     return attach(out, cut, []).select(ident, "distance", (F.col("distance") > F.col("cut")).alias("is_outlier"))
 
 
-def nearest_distances(df: DataFrame, ident: str, columns: list[str], reference: Column, k: int, chunk: int = 2_000) -> DataFrame:
-    """The k smallest distances of every row to other reference rows, exact.
+def nearest_rows(df: DataFrame, ident: str, columns: list[str], reference: Column, k: int, chunk: int = 2_000) -> DataFrame:
+    """The k nearest other reference rows of every row as (d, id), exact; equal distances go by id.
 
     Rows and reference rows are cut into chunks of bounded size; a task holds one of each and returns k
-    numbers per row, which are then merged. No pair of rows leaves a task.
+    rows per row, which are then merged. No pair of rows leaves a task.
     """
     x = df.select(F.col(ident).alias("_id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("v"), reference.alias("_ref"))
     n = x.agg(F.count(F.lit(1)).alias("n"), F.count_if("_ref").alias("m")).collect()[0]
@@ -256,25 +256,37 @@ def nearest_distances(df: DataFrame, ident: str, columns: list[str], reference:
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         q, r = pdf[~pdf["_ref"]], pdf[pdf["_ref"]]
         if q.empty or r.empty:
-            return pd.DataFrame({"_id": pd.Series(dtype="int64"), "d": pd.Series(dtype=object)})
-        a, b = np.vstack(q["v"].to_numpy()), np.vstack(r["v"].to_numpy())
-        d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-        d2[q["_id"].to_numpy()[:, None] == r["_id"].to_numpy()[None, :]] = np.inf
-        d = np.sqrt(np.maximum(np.sort(d2, axis=1)[:, :k], 0))
-        return pd.DataFrame({"_id": q["_id"].to_numpy(), "d": [[float(v) for v in row if np.isfinite(v)] for row in d]})
-
-    part = rows.select("_id", "v", "a", F.col("b").cast("int").alias("b"), "_ref").unionByName(refs).groupBy("a", "b").applyInPandas(compare, "_id long, d array<double>")
-    # at most k numbers per chunk of the reference
-    best = part.groupBy("_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("d"))), 1, k).alias("d"))
-    return best.select(F.col("_id").alias(ident), "d")
+            return pd.DataFrame({"_id": pd.Series(dtype="int64"), "d": pd.Series(dtype=object), "o": pd.Series(dtype=object)})
+        r = r.sort_values("_id")
+        a, b, ids = np.vstack(q["v"].to_numpy()), np.vstack(r["v"].to_numpy()), r["_id"].to_numpy()
+        d2 = ((a[:, None, :] - b[None, :, :]) ** 2).sum(2) if len(a) * len(b) * a.shape[1] < 1e6 else np.vstack([((b - row) ** 2).sum(1) for row in a])
+        d2[q["_id"].to_numpy()[:, None] == ids[None, :]] = np.inf
+        near = np.argsort(d2, axis=1, kind="stable")[:, :k]
+        d = np.sqrt(np.take_along_axis(d2, near, axis=1))
+        return pd.DataFrame({"_id": q["_id"].to_numpy(), "d": [[float(v) for v in row if np.isfinite(v)] for row in d], "o": [[int(ids[j]) for j, v in zip(n, row) if np.isfinite(v)] for n, row in zip(near, d)]})
+
+    part = rows.select("_id", "v", "a", F.col("b").cast("int").alias("b"), "_ref").unionByName(refs).groupBy("a", "b").applyInPandas(compare, "_id long, d array<double>, o array<long>")
+    # at most k rows per chunk of the reference
+    pairs = F.arrays_zip("d", "o")
+    best = part.groupBy("_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list(pairs))), 1, k).alias("near"))
+    return best.select(F.col("_id").alias(ident), "near")
 
 
 def density_outlier(df: DataFrame, ident: str, columns: list[str], reference: Column, k: int = 10) -> DataFrame:
-    """Mean distance to the k nearest reference rows over its typical value there."""
-    d = nearest_distances(df, ident, columns, reference, k)
-    m = d.select(ident, (F.aggregate("d", F.lit(0.0), lambda s, v: s + v) / F.size("d")).alias("mean_distance"))
-    typical = m.join(df.where(reference).select(ident), ident).agg(F.avg("mean_distance").alias("_t"))
-    return attach(m, typical, []).select(ident, "mean_distance", (F.col("mean_distance") / F.col("_t")).alias("density_ratio"))
+    """Local outlier factor against the reference rows: the mean density around a row's neighbours over the density around the row.
+
+    The density of a row is one over the mean reachability of its k nearest reference rows; a neighbour is reached from no nearer
+    than its own k-th neighbour. Values near 1 are usual, larger ones lie in thinner surroundings than their neighbours.
+    """
+    from ..session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    near = nearest_rows(df, ident, columns, reference, k).checkpoint()
+    own = near.join(df.where(reference).select(ident), ident, "left_semi").select(F.col(ident).alias("_o"), F.element_at("near", -1)["d"].alias("_kd"))
+    pairs = near.select(F.col(ident).alias("_i"), F.explode("near").alias("e")).select("_i", F.col("e.o").alias("_o"), F.col("e.d").alias("_d")).join(own, "_o")
+    density = pairs.groupBy("_i").agg((1 / (F.avg(F.greatest("_d", "_kd")) + 1e-10)).alias("_lrd"), F.avg("_d").alias("mean_distance")).checkpoint()
+    around = pairs.join(density.select(F.col("_i").alias("_o"), F.col("_lrd").alias("_lrd_o")), "_o").groupBy("_i").agg(F.avg("_lrd_o").alias("_around"))
+    return density.join(around, "_i").select(F.col("_i").alias(ident), "mean_distance", (F.col("_around") / F.col("_lrd")).alias("local_outlier_factor"))
 
 
 def permutation_importance(df: DataFrame, ident: str, y: str, columns: list[str], seed: int = 7) -> list[tuple]:

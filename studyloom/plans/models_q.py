@@ -113,9 +113,10 @@ def m11(t):
 
 
 @query("m12_density_outlier", "with e as (select vec_id, label, " + ", ".join(f"{domain_sql(i)} d{i}" for i in range(1, 9)) + """ from embeddings),
- p as (select a.vec_id, a.label, sqrt(""" + " + ".join(f"(a.d{i} - b.d{i}) * (a.d{i} - b.d{i})" for i in range(1, 9)) + """) d from e a join e b on a.vec_id <> b.vec_id and b.label < 5),
- k as (select *, row_number() over (partition by vec_id order by d) rn from p), m as (select vec_id, any_value(label) label, avg(d) md from k where rn <= 10 group by 1)
-select vec_id, round(md, 5) as mean_distance, round(md / (select avg(md) from m where label < 5), 5) as density_ratio from m
+ p as (select a.vec_id, b.vec_id o, a.label, sqrt(""" + " + ".join(f"(a.d{i} - b.d{i}) * (a.d{i} - b.d{i})" for i in range(1, 9)) + """) d from e a join e b on a.vec_id <> b.vec_id and b.label < 5),
+ k as (select * from (select *, row_number() over (partition by vec_id order by d, o) rn from p) where rn <= 10), kd as (select vec_id o, max(d) kd from k where label < 5 group by 1),
+ l as (select vec_id, avg(d) md, 1 / (avg(greatest(d, kd)) + 1e-10) lrd from k join kd using (o) group by 1)
+select k.vec_id, round(any_value(l.md), 5) as mean_distance, round(avg(n.lrd) / any_value(l.lrd), 5) as local_outlier_factor from k join l on l.vec_id = k.vec_id join l n on n.vec_id = k.o group by 1
 """)
 def m12(t):
     return r(M.density_outlier(dims(t), "vec_id", DIMS, F.col("label") < 5), 5)
