@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import calendar_features
 from ..scale import attach, average_ranks, exact_quantiles, running_over
+from ..session import checkpoint_dir
 from .alignment import adjusted_rand
 from .audit import uniform
 
@@ -70,7 +71,8 @@ def stability(df: DataFrame, ident: str, columns: list[str], k: int, repeats: in
 
     Both come from contingency counts, so no pair of rows is ever formed.
     """
-    x = with_features(df, columns).persist()
+    checkpoint_dir(df.sparkSession)
+    x = with_features(df, columns).checkpoint()
     full = KMeans(k=k, seed=seed, predictionCol="full").fit(x).transform(x).select(ident, "features", "full")
     out = None
     for b in range(repeats):
@@ -180,8 +182,14 @@ def penalised_logistic(df: DataFrame, y: str, columns: list[str], steps: int = 2
 
 
 def out_of_fold(df: DataFrame, ident: str, y: str, columns: list[str], folds: int = 5, seed: int = 7, depth: int = 3, rounds: int = 10) -> DataFrame:
-    """Each row's score from a tree ensemble that never saw its fold; folds come from a hash."""
-    x = with_features(df, columns).withColumn("label", F.col(y).cast("double")).withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(ident)), F.lit(folds)).cast("int")).persist()
+    """Each row's score from a tree ensemble that never saw its fold.
+
+    Folds are stratified: the rows of a label are dealt out in a hash order, so every fold has its share of each label.
+    """
+    checkpoint_dir(df.sparkSession)
+    dealt = df.withColumn("label", F.col(y).cast("double")).withColumn("_lot", F.xxhash64(F.lit(seed), F.col(ident)))
+    dealt = running_over(dealt, ["label"], [F.col("_lot"), F.col(ident)], _nth=("rows",)).withColumn("fold", ((F.col("_nth") - 1) % folds).cast("int"))
+    x = with_features(dealt.drop("_lot", "_nth"), columns).checkpoint()
     out = None
     for f in range(folds):
         m = GBTClassifier(maxDepth=depth, maxIter=rounds, seed=seed).fit(x.where(F.col("fold") != f))
@@ -199,16 +207,25 @@ def auc(scored: DataFrame) -> float:
     return 0.5 if p in (0, n) else float((row["s"] - p * (p + 1) / 2) / (p * (n - p)))
 
 
-def negative_control(df: DataFrame, ident: str, columns: list[str], seed: int = 99, **kw) -> float:
-    """The same classifier on labels drawn from a hash should be no better than chance."""
-    fake = df.withColumn("_fake", (uniform(F.lit(seed), F.col(ident)) < 0.5).cast("double"))
-    return auc(out_of_fold(fake, ident, "_fake", columns, **kw))
+def negative_control(df: DataFrame, ident: str, trusted: Column, columns: list[str], seed: int = 99, **kw) -> float:
+    """The same classifier on labels that a hash gives exactly half of the trusted rows should be no better than chance."""
+    clean = df.where(trusted).withColumn("_lot", F.xxhash64(F.lit(seed), F.col(ident)))
+    half = clean.count() // 2
+    fake = running_over(clean, [], [F.col("_lot"), F.col(ident)], _nth=("rows",)).withColumn("_fake", (F.col("_nth") <= half).cast("double"))
+    return auc(out_of_fold(fake.drop("_lot", "_nth"), ident, "_fake", columns, **kw))
+
 
+def unlabelled_share(scored: DataFrame, ident: str, trusted: Column | None = None, quantile: float = 0.975) -> DataFrame:
+    """Chance that a row is not like the trusted ones, ``1 - clip(p / c)``, and a flag above the trusted rows' quantile.
 
-def unlabelled_share(scored: DataFrame, ident: str) -> DataFrame:
-    """Chance that a row of the other source is not like the trusted one: ``1 - clip(p / c)``."""
-    c = scored.where("label = 1").agg(F.avg("score").alias("c"))
-    return attach(scored, c, []).select(ident, "label", (1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score") / F.col("c")))).alias("contaminated"))
+    ``c`` is the mean score of the trusted rows; without a condition those are the rows with label 1.
+    """
+    trusted = F.col("label") == 1 if trusted is None else trusted
+    marked = scored.withColumn("_ok", trusted)
+    c = marked.where("_ok").agg(F.avg("score").alias("c"))
+    out = attach(marked, c, []).withColumn("contaminated", 1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score") / F.col("c"))))
+    cut = exact_quantiles(out.where("_ok"), [], "contaminated", {"cut": quantile})
+    return attach(out, cut, []).select(ident, "label", "contaminated", (F.col("contaminated") > F.col("cut")).alias("flagged"))
 
 
 def bootstrap_mean(df: DataFrame, ident: str, value: str, draws: int = 50, seed: int = 7) -> DataFrame:
@@ -278,8 +295,6 @@ def density_outlier(df: DataFrame, ident: str, columns: list[str], reference: Co
     The density of a row is one over the mean reachability of its k nearest reference rows; a neighbour is reached from no nearer
     than its own k-th neighbour. Values near 1 are usual, larger ones lie in thinner surroundings than their neighbours.
     """
-    from ..session import checkpoint_dir
-
     checkpoint_dir(df.sparkSession)
     near = nearest_rows(df, ident, columns, reference, k).checkpoint()
     own = near.join(df.where(reference).select(ident), ident, "left_semi").select(F.col(ident).alias("_o"), F.element_at("near", -1)["d"].alias("_kd"))

@@ -98,7 +98,7 @@ UF = ["n", "mean_value", "sd_value", "error_share"]
 @query("m09_source_classifier")
 def m09(t):
     s = M.out_of_fold(_users(t), "user_id", "y", UF, folds=3, rounds=5)
-    return table(t, [("source", M.auc(s)), ("negative_control", M.negative_control(_users(t), "user_id", UF, folds=3, rounds=5))], ["target", "auc"])
+    return table(t, [("source", M.auc(s)), ("negative_control", M.negative_control(_users(t), "user_id", F.col("y") == 1, UF, folds=3, rounds=5))], ["target", "auc"])
 
 
 @query("m10_unlabelled_share")
