@@ -28,6 +28,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most: int = 1000) -> None:
+    """Bound the rows Spark sends a Python worker at a time, for workers that hold whole texts beside a JVM; a lower setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= most:
+        spark.conf.set(key, str(most))
+
+
 def rows(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[list[dict]]:
     """The rows of Arrow batches as lists of dicts, a bounded number at a time."""
     for batch in batches:

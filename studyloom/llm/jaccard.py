@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows, written
+from .common import rows, small_batches, written
 from .links import components
 
 #: N-gram length, and the threshold 100 * intersection >= 75 * union.
 NGRAM, NUM, DEN = 5, 75, 100
 #: Tiles with more classes than this go to the rare-first order.
 TILE = 1000
+#: Bytes of the bitmaps that travel to tiles; pairs they let pass are held against the whole ones.
+SHORT = 128
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -95,6 +97,13 @@ def bitmap(members: np.ndarray) -> bytes:
     return np.packbits(flags, bitorder="little").tobytes()
 
 
+def fold(bits: bytes, most: int) -> bytes:
+    """A bitmap folded by halves until it has at most ``most`` bytes."""
+    if len(bits) <= most:
+        return bits
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint8).reshape(-1, most), axis=0).tobytes()
+
+
 def overlap_bound(a: bytes, b: bytes, na: int, nb: int) -> int:
     """The overlap is at most each set's size less the bits it sets alone; the larger bitmap is folded onto the smaller."""
     x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
@@ -111,22 +120,23 @@ def overlap_bound(a: bytes, b: bytes, na: int, nb: int) -> int:
 
 # ---------------------------------------------------------------------------------------------- texts to sets
 
-PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("bits", pa.binary()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("owner", pa.binary()),
+PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("bits", pa.binary()), ("short", pa.binary()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("owner", pa.binary()),
                      ("classes", pa.binary()), ("sizes", pa.binary())])
 
 
-def _frequent(docs: DataFrame, sample: int = 6000, least: int = 5, seed: int = 3) -> np.ndarray:
+def _frequent(docs: DataFrame, sample: int = 16_000, least: int = 4, seed: int = 3) -> np.ndarray:
     """N-grams that ``least`` or more of about ``sample`` texts hold, sorted: at most sample / least times the mean set size.
 
-    They are put last in the order of members, which keeps common passages out of prefixes. Any order gives the same links, so the
-    sample decides on work alone.
+    They are put last in the order of members, which keeps common passages out of prefixes. Only the lower half of hashes is counted, since prefixes
+    take the least hashes. Any order gives the same links, so the sample decides on work alone.
     """
     total = docs.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for text in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(ngram_set(text.as_py()).view(np.int64))], ["h"])
+                h = ngram_set(text.as_py()).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h[h >= 0])], ["h"])
 
     some = docs.select("text").sample(min(1.0, sample / max(1, total)), seed).mapInArrow(run, "h long")
     often = some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("h").toPandas()
@@ -142,7 +152,7 @@ def prefix(members: np.ndarray, last: np.ndarray) -> np.ndarray:
     return members[:prefix_length(len(members))]
 
 
-def _profiles(docs: DataFrame, buckets: int, last: np.ndarray, hold: int = 1 << 20) -> DataFrame:
+def _profiles(docs: DataFrame, buckets: int, last: np.ndarray, hold: int = 1 << 18) -> DataFrame:
     """Rows of two kinds. bucket null: a document with its set's size, class and bitmap. Else: a block of prefix members, each with
     the number of its class in ``classes`` and ``sizes``. A task names a class once, however many copies it has.
     """
@@ -168,15 +178,16 @@ def _profiles(docs: DataFrame, buckets: int, last: np.ndarray, hold: int = 1 <<
                 if a < b:
                     some, at = np.unique(own[a:b], return_inverse=True)
                     yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(
-                        (None, None, None, None, int(where[a]), h[a:b].tobytes(), at.astype(np.uint32).tobytes(), cls[some].tobytes(), n[some].tobytes()), PROFILE)], schema=PROFILE)
+                        (None, None, None, None, None, int(where[a]), h[a:b].tobytes(), at.astype(np.uint32).tobytes(), cls[some].tobytes(), n[some].tobytes()), PROFILE)], schema=PROFILE)
 
         for some in rows(batches):
-            out: list[list] = [[] for _ in range(4)]
+            out: list[list] = [[] for _ in range(5)]
             for r in some:
                 s = ngram_set(r["text"])
                 cls = class_of(s) if len(s) else None
                 new = cls is not None and cls not in seen
-                for c, v in zip(out, (r["doc_id"], len(s), cls, bitmap(s) if new else None)):
+                bits = bitmap(s) if new else None
+                for c, v in zip(out, (r["doc_id"], len(s), cls, bits, bits and fold(bits, SHORT))):
                     c.append(v)
                 if new:
                     seen.add(cls)
@@ -184,13 +195,13 @@ def _profiles(docs: DataFrame, buckets: int, last: np.ndarray, hold: int = 1 <<
                     cs.append(cls)
                     ns.append(len(s))
                     size += len(hs[-1])
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(out, PROFILE)), *(pa.nulls(len(some), f.type) for f in list(PROFILE)[4:])], schema=PROFILE)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(out, PROFILE)), *(pa.nulls(len(some), f.type) for f in list(PROFILE)[5:])], schema=PROFILE)
             if size >= hold:
                 yield from blocks()
                 hs, cs, ns, size = [], [], [], 0
         yield from blocks()
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, bits binary, bucket int, hashes binary, owner binary, classes binary, sizes binary")
+    return docs.mapInArrow(run, "doc_id long, n long, cls long, bits binary, short binary, bucket int, hashes binary, owner binary, classes binary, sizes binary")
 
 
 def _bands(tile: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -230,11 +241,12 @@ def _tiles(blocks: DataFrame) -> DataFrame:
         first = np.zeros(len(h), np.int64)
         for a, e in _bands(h, n):
             first[a:e] = c[a:e].min()
-        several = np.ones(len(h), bool)
+        # rows stand by size: one without a neighbour near in size has no partner in its tile
+        near = np.zeros(len(h), bool)
         if len(h):
-            sizes = np.diff(np.r_[0, cuts, len(h)])
-            several = np.repeat(sizes, sizes) > 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(several.sum(), key[0].as_py(), np.int32)), pa.array(h[several].astype(np.int64)), pa.array(c[several]), pa.array(n[several]), pa.array(first[several])],
+            near[1:] = (h[1:] == h[:-1]) & (NUM * n[1:] <= DEN * n[:-1])
+            near[:-1] |= near[1:]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(near.sum(), key[0].as_py(), np.int32)), pa.array(h[near].astype(np.int64)), pa.array(c[near]), pa.array(n[near]), pa.array(first[near])],
                                          schema=schema)
 
     return blocks.groupBy("bucket").applyInArrow(run, "bucket int, tile long, cls long, n long, first long")
@@ -330,8 +342,8 @@ def _linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, salts: int =
     return written(tiles.groupBy("a", "s").applyInArrow(run, "a long, b long"), "jaccard-links")
 
 
-def _across(tiles: DataFrame, classes: DataFrame, most: int = 256) -> DataFrame:
-    """Pairs (a < b) in one tile, of different components, near in size, and allowed by bitmaps folded to ``most`` bytes."""
+def _across(tiles: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a < b) in one tile, of different components, near in size, and allowed by their short bitmaps."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
@@ -339,9 +351,9 @@ def _across(tiles: DataFrame, classes: DataFrame, most: int = 256) -> DataFrame:
         order = np.lexsort((n, tile))
         tile, cls, n, comp = tile[order], cls[order], n[order], comp[order]
         names, at = np.unique(cls, return_index=True)
-        raw = t.column("bits").take(pa.array(order[at])).to_pylist()
+        raw = t.column("short").take(pa.array(order[at])).to_pylist()
         own = np.searchsorted(names, cls)
-        size = np.array([min(most, len(x)) for x in raw])
+        size = np.array([len(x) for x in raw], np.int64)
         folded: dict[int, np.ndarray] = {}  # bitmaps of every class folded to a size, for classes of that size or more
 
         def bitmaps(width: int) -> np.ndarray:
@@ -372,7 +384,7 @@ def _across(tiles: DataFrame, classes: DataFrame, most: int = 256) -> DataFrame:
         found = np.unique(np.concatenate([found, *held]), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
-    small = classes.select("cls", "bits")
+    small = classes.select("cls", "short")
     return tiles.select("bucket", "tile", "cls", "n", "comp").join(small, "cls").groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
 
 
@@ -424,10 +436,11 @@ def _rare_first(docs: DataFrame, hot: DataFrame, buckets: int) -> DataFrame:
 def grouped(docs: DataFrame, tile: int = TILE, small: int = 32, draws: int = 2) -> DataFrame:
     """Rows (doc_id, n, cls, group) for rows (doc_id, text): the set's size and class, and the least class that links lead to; null without words."""
     spark = docs.sparkSession
+    small_batches(spark)
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     both = written(_profiles(docs, buckets, _frequent(docs)), "jaccard-profiles")
-    profiles = both.where("bucket is null").select("doc_id", "n", "cls", "bits")
-    classes = written(profiles.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.max("bits").alias("bits")), "jaccard-classes")
+    profiles = both.where("bucket is null").select("doc_id", "n", "cls", "bits", "short")
+    classes = written(profiles.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.max("bits").alias("bits"), F.max("short").alias("short")), "jaccard-classes")
     tiles = written(_tiles(both.where("bucket is not null").select("bucket", "hashes", "owner", "classes", "sizes")), "jaccard-tiles")
     links = _linked(docs, tiles.where("first <> cls").select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct(), classes)
     so_far = components(links)
