@@ -169,7 +169,7 @@ def s11(t):
     n = t.events.groupBy(F.to_date("ts").alias("report_date"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     K.publish_snapshot(n, base, "report_date", "event_type", {"view", "click", "signup", "purchase", "error"})
     dated = t.spark.read.parquet(f"{base}/dated").select(F.lit("dated").alias("copy"), "report_date", "event_type", "n")
-    return dated.unionByName(t.spark.read.parquet(f"{base}/latest").select(F.lit("latest").alias("copy"), "report_date", "event_type", "n"))
+    return dated.unionByName(K.read_latest(t.spark, base).select(F.lit("latest").alias("copy"), "report_date", "event_type", "n"))
 
 
 @query("s12_json_manifest", """

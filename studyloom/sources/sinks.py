@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -57,7 +60,11 @@ def write_with_manifest(df: DataFrame, path: str, manifest: str, caption: str) -
 
 
 def publish_snapshot(df: DataFrame, base: str, date_column: str, source: str, required: set[str]) -> None:
-    """Dated partitions plus a latest copy, only when every required source delivered rows."""
+    """Dated partitions plus a latest copy, only when every required source delivered rows.
+
+    The latest copy is written to a folder of its own, and then one row that names it is appended to ``pointer``. A reader
+    (:func:`read_latest`) follows the newest row, so it never meets half a copy, and a failed job leaves the one before in place.
+    """
     present = {r[source] for r in df.select(source).where(F.col(source).isin(*sorted(required))).distinct().collect()}
     if present != required:
         raise ValueError(f"nothing published, sources missing: {sorted(required - present)}")
@@ -67,7 +74,24 @@ def publish_snapshot(df: DataFrame, base: str, date_column: str, source: str, re
      .partitionBy(date_column).parquet(f"{base}/dated"))
     dated = spark.read.parquet(f"{base}/dated")
     newest = dated.agg(F.max(date_column).alias("d")).collect()[0]["d"]
-    dated.where(F.col(date_column) == F.lit(newest)).write.mode("overwrite").parquet(f"{base}/latest")
+    path = f"{base}/latest/{uuid.uuid4().hex}"
+    dated.where(F.col(date_column) == F.lit(newest)).write.parquet(path)
+    turn = spark.read.parquet(f"{base}/pointer").agg(F.max("turn")).first()[0] + 1 if _has_rows(spark, f"{base}/pointer") else 0
+    spark.range(1).select(F.lit(turn).cast("long").alias("turn"), F.lit(path).alias("path")).write.mode("append").parquet(f"{base}/pointer")
+
+
+def _has_rows(spark, path: str) -> bool:
+    try:
+        return bool(spark.read.schema("turn long, path string").parquet(path).take(1))
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+
+
+def read_latest(spark, base: str) -> DataFrame:
+    """The latest published copy."""
+    return spark.read.parquet(spark.read.parquet(f"{base}/pointer").orderBy(F.desc("turn"), "path").first()["path"])
 
 
 def archive_before(df: DataFrame, date_column: str, keep_from: str) -> tuple[DataFrame, DataFrame]:

@@ -124,3 +124,17 @@ def test_absent_baseline_and_few_values(spark):
     assert [r.psi for r in audit.stability_index(df, "g", "none", "v").collect()] == [0.0, 0.0]
     got = {r.g: r for r in audit.bootstrap_gini(df, ["g"], "i", "v", 50, 3).collect()}
     assert (got["a"].low, got["a"].high) == (0.0, 1.0) and got["b"].low <= got["b"].gini <= 1 and got["b"].high < 1
+
+
+def test_latest_copy_switches_whole(spark):
+    from studyloom.sources import sinks
+
+    base = scratch_dir(spark, "publish")
+    make = lambda day, n: spark.createDataFrame([(day, "a", n), (day, "b", n)], "d string, src string, n int")
+    sinks.publish_snapshot(make("2024-01-01", 1), base, "d", "src", {"a", "b"})
+    before = sinks.read_latest(spark, base)
+    sinks.publish_snapshot(make("2024-02-01", 2), base, "d", "src", {"a", "b"})
+    assert {r.n for r in before.collect()} == {1} and {r.n for r in sinks.read_latest(spark, base).collect()} == {2}
+    with pytest.raises(ValueError):
+        sinks.publish_snapshot(make("2024-03-01", 3).where("src = 'a'"), base, "d", "src", {"a", "b"})
+    assert {r.n for r in sinks.read_latest(spark, base).collect()} == {2}
