@@ -1,5 +1,3 @@
-import os
-
 import duckdb
 import pytest
 
@@ -21,6 +19,3 @@ def texts():
     """Texts every text operator must take: null, empty, odd and long ones, and repeats."""
     return [None, "", " \t\n", "!?", "a", "Grüße, señor 你好", "one two three four five six", "one two three four five six", "x" * 5000, "word " * 4000, "tab\tand\x0bline\x0cfeeds\r\nhere"]
 
-
-def ids(rows):
-    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, str(r[1:])))
