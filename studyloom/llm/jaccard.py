@@ -388,20 +388,21 @@ def _across(tiles: DataFrame, classes: DataFrame) -> DataFrame:
     return tiles.select("bucket", "tile", "cls", "n", "comp").join(small, "cls").groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
 
 
-def _drawn(tiles: DataFrame, draw: int) -> DataFrame:
-    """Pairs (a, b) of a band's first, drawn by tile and ``draw``, with the classes of other components in the band."""
+def _drawn(tiles: DataFrame, draws: int) -> DataFrame:
+    """Pairs (a, b) of a band's firsts, so many drawn by tile, with the classes of other components in the band."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
         tile, cls, n, comp = (t.column(c).to_numpy() for c in ("tile", "cls", "n", "comp"))
         order = np.lexsort((n, tile))
         tile, cls, n, comp = tile[order], cls[order], n[order], comp[order]
-        lot = mix(cls.view(np.uint64) ^ mix(tile.view(np.uint64) + np.uint64(draw)))
         held = [np.zeros((0, 2), np.int64)]
-        for a, e in _bands(tile, n):
-            k = a + int(lot[a:e].argmin())
-            other = cls[a:e][comp[a:e] != comp[k]]
-            held.append(np.stack([np.full(len(other), cls[k]), other], axis=1))
+        for draw in range(draws):
+            lot = mix(cls.view(np.uint64) ^ mix(tile.view(np.uint64) + np.uint64(draw)))
+            for a, e in _bands(tile, n):
+                k = a + int(lot[a:e].argmin())
+                other = cls[a:e][comp[a:e] != comp[k]]
+                held.append(np.stack([np.full(len(other), cls[k]), other], axis=1))
         found = np.unique(np.concatenate(held), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
@@ -455,11 +456,9 @@ def grouped(docs: DataFrame, tile: int = TILE, small: int = 32, draws: int = 2)
         return written(t.join(several, ["bucket", "tile"]), label)
 
     open_tiles = still_open(tiles.drop("first"), "jaccard-open")
-    for draw in range(draws):
-        large = open_tiles.where(F.col("held") > small)
-        if not large.take(1):
-            break
-        links = written(links.unionByName(_linked(docs, _drawn(large, draw), classes)), "jaccard-links")
+    large = open_tiles.where(F.col("held") > small)
+    if draws and large.take(1):
+        links = written(links.unionByName(_linked(docs, _drawn(large, draws), classes)), "jaccard-links")
         so_far = components(links)
         open_tiles = still_open(open_tiles.drop("comp", "held"), "jaccard-open")
     hot = written(open_tiles.where(F.col("held") > tile).select("cls").distinct().join(classes.select("cls", "rep"), "cls"), "jaccard-hot")
