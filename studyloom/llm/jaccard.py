@@ -31,6 +31,8 @@ from .links import components
 NGRAM, NUM, DEN = 5, 75, 100
 #: Tiles with more classes than this go to the rare-first order.
 TILE = 1000
+#: Bytes of an n-gram's hash that travel to its bucket, which knows the upper bits; two that share them meet for nothing, no more.
+KEY = 5
 #: Bytes of the bitmaps that travel to tiles; pairs they let pass are held against the whole ones.
 SHORT = 128
 
@@ -90,8 +92,8 @@ def class_of(members: np.ndarray) -> int:
 
 
 def bitmap(members: np.ndarray) -> bytes:
-    """The set hashed into a bitmap of at least twice its size, a thirtieth or so of its bytes."""
-    size = max(64, 1 << int(2 * len(members) - 1).bit_length())
+    """The set hashed into a bitmap of at least four times its size, a tenth or so of its bytes; few members fall on one bit."""
+    size = max(64, 1 << int(4 * len(members) - 1).bit_length())
     flags = np.zeros(size, np.uint8)
     flags[(members & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little").tobytes()
@@ -124,8 +126,9 @@ PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64
                      ("classes", pa.binary()), ("sizes", pa.binary())])
 
 
-def _frequent(docs: DataFrame, sample: int = 16_000, least: int = 4, seed: int = 3) -> np.ndarray:
-    """N-grams that ``least`` or more of about ``sample`` texts hold, sorted: at most sample / least times the mean set size.
+def _frequent(docs: DataFrame, sample: tuple[int, int] = (16_000, 64_000), least: int = 4, seed: int = 3) -> np.ndarray:
+    """N-grams that ``least`` or more texts of a sample hold, sorted. The sample is an eighth of the texts within the bounds ``sample``, so the
+    result has at most the upper bound / ``least`` times the mean set size.
 
     They are put last in the order of members, which keeps common passages out of prefixes. Only the lower half of hashes is counted, since prefixes
     take the least hashes. Any order gives the same links, so the sample decides on work alone.
@@ -138,7 +141,7 @@ def _frequent(docs: DataFrame, sample: int = 16_000, least: int = 4, seed: int =
                 h = ngram_set(text.as_py()).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h[h >= 0])], ["h"])
 
-    some = docs.select("text").sample(min(1.0, sample / max(1, total)), seed).mapInArrow(run, "h long")
+    some = docs.select("text").sample(min(1.0, min(sample[1], max(sample[0], total // 8)) / max(1, total)), seed).mapInArrow(run, "h long")
     often = some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("h").toPandas()
     return np.sort(often["h"].to_numpy().astype(np.int64).view(np.uint64))
 
@@ -178,7 +181,7 @@ def _profiles(docs: DataFrame, buckets: int, last: np.ndarray, hold: int = 1 <<
                 if a < b:
                     some, at = np.unique(own[a:b], return_inverse=True)
                     yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(
-                        (None, None, None, None, None, int(where[a]), h[a:b].tobytes(), at.astype(np.uint32).tobytes(), cls[some].tobytes(), n[some].tobytes()), PROFILE)], schema=PROFILE)
+                        (None, None, None, None, None, int(where[a]), np.ascontiguousarray(h[a:b].view(np.uint8).reshape(-1, 8)[:, :KEY]).tobytes(), at.astype(np.uint32).tobytes(), cls[some].tobytes(), n[some].tobytes()), PROFILE)], schema=PROFILE)
 
         for some in rows(batches):
             out: list[list] = [[] for _ in range(5)]
@@ -223,7 +226,9 @@ def _tiles(blocks: DataFrame) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 own = np.frombuffer(r["owner"], np.uint32)
-                hs.append(np.frombuffer(r["hashes"], np.uint64))
+                low = np.zeros((len(own), 8), np.uint8)
+                low[:, :KEY] = np.frombuffer(r["hashes"], np.uint8).reshape(-1, KEY)
+                hs.append(low.view(np.uint64)[:, 0])
                 cs.append(np.frombuffer(r["classes"], np.int64)[own])
                 ns.append(np.frombuffer(r["sizes"], np.uint32)[own])
         h, c, n = np.concatenate(hs), np.concatenate(cs), np.concatenate(ns).astype(np.int64)
