@@ -44,8 +44,8 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return body, ""
 
 
-def hashes(words: list[str]) -> np.ndarray:
-    return np.unique(ngram_hashes([w.encode() for w in words], NGRAM))
+def hashes(words: list[str], n: int = NGRAM) -> np.ndarray:
+    return np.unique(ngram_hashes([w.encode() for w in words], n))
 
 
 def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -72,6 +72,7 @@ class Index:
     block_least: np.ndarray
     questions: list[np.ndarray]
     answers: list[frozenset[str]]
+    wholes: list[tuple[int, np.ndarray] | None]  # of items with a short question: n-gram length and n-grams of the whole item
     window: int
 
     def search(self, present: np.ndarray) -> list[tuple[int, float]]:
@@ -91,6 +92,9 @@ class Index:
     def verify(self, item: int, words: list[str], grams: np.ndarray) -> tuple[float, float]:
         q, a = self.questions[item], self.answers[item]
         have = np.isin(q, grams).sum() / len(q)
+        if whole := self.wholes[item]:
+            n, w = whole
+            have = max(have, np.isin(w, grams if n == NGRAM else hashes(words, n)).sum() / len(w))
         return float(have), len(a.intersection(words)) / len(a) if a else 1.0
 
     def passages(self, words: list[str]) -> Iterator[list[str]]:
@@ -100,8 +104,8 @@ class Index:
             yield words[start:start + self.window]
 
 
-def build(items: list[tuple[int, str]], block: int = 16, passage: int = PASSAGE) -> Index:
-    """An index of (item_id, text) pairs; items without a word are left out."""
+def build(items: list[tuple[int, str]], block: int = 16, passage: int = PASSAGE, whole: bool = False) -> Index:
+    """An index of (item_id, text) pairs; items without a word are left out. ``whole`` is that of :func:`leaks`."""
     kept = [(i, t) for i, t in items if words_of(t)]
     docs = [words_of(t) for _, t in kept]
     terms: dict[str, int] = {}
@@ -118,15 +122,17 @@ def build(items: list[tuple[int, str]], block: int = 16, passage: int = PASSAGE)
     n, mean = len(docs), sum(map(len, docs)) / max(1, len(docs))
     word, item, weight = [], [], []
     least = np.zeros(n)
-    questions, answers = [], []
+    questions, answers, wholes = [], [], []
     for i, ((_, text), tf) in enumerate(zip(kept, counts)):
         idf = {k: np.log(1 + (n - df[k] + 0.5) / (df[k] + 0.5)) for k in tf}
         w = {k: idf[k] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(docs[i]) / mean)) for k, c in tf.items()}
         q, a = question_and_answer(text)
         questions.append(hashes(words_of(q)))
         answers.append(frozenset(words_of(a)))
+        k = min(NGRAM, len(docs[i]))
+        wholes.append((k, hashes(docs[i], k)) if whole and len(words_of(q)) < NGRAM else None)
         # n-grams that may be missing bound the words that may be; none counts twice
-        lost = (DEN - NUM) * len(questions[i]) // DEN + (DEN - NUM) * len(answers[i]) // DEN
+        lost = (DEN - NUM) * max(len(questions[i]), len(wholes[i][1]) if wholes[i] else 0) // DEN + (DEN - NUM) * len(answers[i]) // DEN
         least[i] = (sum(w.values()) - sum(sorted(w.values(), reverse=True)[:lost])) * (1 - 1e-6)
         word += w
         item += [i] * len(w)
@@ -137,14 +143,16 @@ def build(items: list[tuple[int, str]], block: int = 16, passage: int = PASSAGE)
     run = np.flatnonzero(np.r_[True, (word_[1:] != word_[:-1]) | (item_[1:] // block != item_[:-1] // block)]) if n else np.zeros(0, np.int64)
     blocks = -(-n // block)
     return Index([i for i, _ in kept], terms, np.searchsorted(word_[run], np.arange(len(terms) + 1)), item_[run] // block, np.maximum.reduceat(weight_, run) if n else weight_, np.r_[run, len(word_)], item_, weight_,
-                 least, block, np.array([least[b * block:(b + 1) * block].min() for b in range(blocks)]), questions, answers, max(passage, 2 * max(map(len, docs), default=0)))
+                 least, block, np.array([least[b * block:(b + 1) * block].min() for b in range(blocks)]), questions, answers, wholes, max(passage, 2 * max(map(len, docs), default=0)))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", round_items: int = 20_000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", round_items: int = 20_000, whole: bool = False) -> DataFrame:
     """Rows (doc_id, item_id, score, question_overlap, answer_overlap) for every document and item it repeats; the best of its passages.
 
     A passage repeats an item if it holds three quarters of the question's word 5-grams and of the answer's different words. Case and
     punctuation do not count. Null or empty texts, and items without a word, match nothing. Repeated rows match alike, each on its own.
+    A question of fewer than five words is one n-gram of its own length, which only a passage as short can hold. With ``whole``, the n-grams
+    of the whole item also count as those of such a question, and an item of fewer than five words is one n-gram looked for in any passage.
     ``round_items`` bounds the items indexed at a time; word statistics are those of the round and do not decide.
     """
     spark = docs.sparkSession
@@ -154,7 +162,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     out = None
     for k in range(rounds):
         mine = items if rounds == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == k)
-        held = spark.sparkContext.broadcast(build([tuple(r) for r in mine.collect()]))
+        held = spark.sparkContext.broadcast(build([tuple(r) for r in mine.collect()], whole=whole))
         found = docs.mapInArrow(_search(held), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
         out = found if out is None else out.unionByName(found)
     return out
@@ -186,6 +194,6 @@ def _search(held):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of documents that repeat no item; rows without an id are kept, since nothing names them."""
-    hit = leaks(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("_leak")).distinct()
+    """The rows of documents that repeat no item, those with short questions whole; rows without an id are kept, since nothing names them."""
+    hit = leaks(docs, benchmark, doc_id, text, whole=True).select(F.col("doc_id").alias("_leak")).distinct()
     return docs.join(hit, docs[doc_id] == F.col("_leak"), "left_anti")

@@ -50,6 +50,51 @@ def test_pruning_loses_nothing():
     assert hits > 100
 
 
+def plain_whole(text, items, window):
+    """As plain, and for a question under five words also its whole item's n-grams, of its own length if it has fewer than five words."""
+    w, out = D.words_of(text), plain(text, items, window)
+    for i, item in items:
+        q, a = (D.words_of(x) for x in D.question_and_answer(item))
+        all_ = D.words_of(item)
+        if not 0 < len(q) < 5:
+            continue
+        n = min(5, len(all_))
+        cut = lambda x: {tuple(x[k:k + n]) for k in range(len(x) - n + 1)}  # noqa: E731, B023
+        for s in range(0, max(1, len(w) - window // 2), window // 2):
+            part = w[s:s + window]
+            if len(cut(all_) & cut(part)) * 100 >= 75 * len(cut(all_)) and len(set(a) & set(part)) * 100 >= 75 * len(set(a)):
+                out.add(i)
+    return out
+
+
+def test_short_questions_are_found_whole(spark):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(150)]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.randint(1, 6))) + rng.choice([". ", "\n"]) + " ".join(rng.choices(vocab, k=rng.randint(0, 30)))) for i in range(60)]
+    index = D.build(items, block=4, passage=64, whole=True)
+    more = 0
+    for _ in range(400):
+        body = rng.choices(vocab, k=rng.randint(0, 150))
+        words = items[rng.randrange(60)][1].split()
+        for _ in range(rng.choice([0, 0, 1, 2, 4])):
+            words[rng.randrange(len(words))] = rng.choice(vocab)
+        text = " ".join([*body[:50], *words, *body[50:]]) if rng.random() < 0.8 else " ".join(body)
+        got = set()
+        for part in index.passages(D.words_of(text)):
+            present = np.array(sorted({index.terms[w] for w in part if w in index.terms}), np.int64)
+            for i, _ in index.search(present):
+                q, a = index.verify(i, part, D.hashes(part))
+                if q >= 0.75 and a >= 0.75:
+                    got.add(index.ids[i])
+        assert got == plain_whole(text, items, index.window)
+        more += got > plain(text, items, index.window)
+    assert more > 100
+    bench = spark.createDataFrame([(1, "The nt rewh. Thin onwhhe ha rest thesreti thansh in er erbleha as heat"), (2, "short item here")], "item_id long, text string")
+    fill = " ".join(f"f{i}" for i in range(900))
+    docs = spark.createDataFrame([(1, f"{fill} the nt rewh thin onwhhe ha rest thesreti thansh in er erbleha as heat {fill}"), (2, f"{fill} short item here {fill}"), (3, fill)], "doc_id long, text string")
+    assert [r.doc_id for r in D.clean(docs, bench).collect()] == [3]
+
+
 def test_rows(spark, texts):
     item = "what is the third word of this made up question here\nits answer names one"
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "??"), (5, item)], "item_id long, text string").selectExpr("*", "1 as doc_id")
