@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from ..scale import attach, average_ranks, ordered_blocks, running
+from ..scale import BLOCK, attach, average_ranks, ordered_blocks, running
 
 CRITERIA = ("phi", "omega", "psi", "p")
 
@@ -66,35 +67,86 @@ def poisson_one(u: Column) -> Column:
     return out
 
 
-def bootstrap_gini(df: DataFrame, keys: list[str], ident: str, value: str, draws: int, seed: int, alpha: float = 0.05) -> DataFrame:
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit finaliser (splitmix) of unsigned numbers; overflow is meant."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def draw_hashes(ids: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """One hash per id (row) and draw (column); ids are hashes already."""
+    lots = mixed(np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    return mixed(ids.astype(np.int64).view(np.uint64)[:, None] ^ lots[None, :])
+
+
+def poisson_table() -> np.ndarray:
+    pmf = np.exp(-1.0) / np.cumprod([1.0, *range(1, 18)])
+    return np.cumsum(pmf)
+
+
+def bootstrap_gini(df: DataFrame, keys: list[str], ident: str, value: str, draws: int = 2_000, seed: int = 7, alpha: float = 0.05) -> DataFrame:
     """The Gini with a percentile interval over Poisson resamples; fewer than three values give the interval from 0 to 1.
 
-    Every row draws its own weight from a hash, so resamples need no shuffle of rows and a rerun after
-    a lost executor gives the same numbers. Weights of equal values are added before the ordered pass.
+    Every row draws its own weights from a hash, so a rerun after a lost executor gives the same numbers. Rows are ordered once;
+    a block adds them up for all draws at a time and leaves three numbers per key and draw, which are joined in block order.
     """
-    w = df.where(F.col(value) >= 0).select(*keys, F.col(value).alias("_v"), F.col(ident).alias("_id"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    w = w.withColumn("w", poisson_one(uniform(F.lit(seed), F.col("draw"), F.col("_id")))).where("w > 0")
-    w = w.groupBy(*keys, "draw", "_v").agg(F.sum("w").alias("w"))
-    gk = [*keys, "draw"]
-    b = running(ordered_blocks(w, gk, [F.col("_v")]), gk, [F.col("_v")], upto=("sum", F.col("w")))
-    mid = F.col("upto") - F.col("w") + (F.col("w") + 1) / 2.0
-    g = b.groupBy(*gk).agg(F.sum(mid * F.col("w") * F.col("_v")).alias("c"), F.sum(F.col("w") * F.col("_v")).alias("t"), F.sum("w").alias("n"))
-    g = g.withColumn("gini", F.coalesce(F.try_divide(2 * F.col("c"), F.col("n") * F.col("t")) - (F.col("n") + 1) / F.col("n"), F.lit(0.0)))
-    # one number per draw: the sorted list is as long as the configured number of draws
-    s = g.groupBy(*keys).agg(F.sort_array(F.collect_list("gini")).alias("a"), F.count(F.lit(1)).alias("k"))
-    lo = F.element_at("a", (F.floor(F.col("k") * (alpha / 2)) + 1).cast("int"))
-    hi = F.element_at("a", F.least(F.col("k"), F.floor(F.col("k") * (1 - alpha / 2)) + 1).cast("int"))
+    v = df.where(F.col(value) >= 0).withColumn("_key", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+    names = v.groupBy("_key").agg(*[F.first(k).alias(k) for k in keys])
+    rows = v.select("_key", F.col(value).cast("double").alias("_v"), F.xxhash64(F.lit(seed), F.col(ident)).alias("_id"))
+    blocks = ordered_blocks(rows, ["_key"], [F.col("_v"), F.col("_id")]).sortWithinPartitions("_key", "_v", "_id")
+
+    def add(parts):
+        cdf, key, block = poisson_table(), None, None
+        c = t = n = None
+
+        def row():
+            return pd.DataFrame({"_key": [key], "_blk": [block], "c": [c], "t": [t], "n": [n]})
+
+        for part in parts:
+            for k, g in part.groupby("_key", sort=False):
+                if k != key:
+                    if key is not None:
+                        yield row()
+                    key, block = k, int(g[BLOCK].iloc[0])
+                    c, t, n = np.zeros(draws), np.zeros(draws), np.zeros(draws)
+                for at in range(0, len(g), 256):
+                    x, ids = g["_v"].to_numpy()[at:at + 256], g["_id"].to_numpy()[at:at + 256]
+                    u = (draw_hashes(ids, draws, seed) >> np.uint64(11)) / float(1 << 53)
+                    w = np.searchsorted(cdf, u, side="right").astype(float)
+                    upto = n + np.cumsum(w, axis=0)
+                    c += ((upto - w + (w + 1) / 2) * w * x[:, None]).sum(0)
+                    t += (w * x[:, None]).sum(0)
+                    n = upto[-1]
+        if key is not None:
+            yield row()
+
+    def join(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("_blk")
+        c, t, n = np.zeros(draws), np.zeros(draws), np.zeros(draws)
+        for bc, bt, bn in zip(g["c"], g["t"], g["n"]):
+            c, t, n = c + bc + n * bt, t + bt, n + bn
+        some = n > 0  # a resample without a row is none
+        c, t, n = c[some], t[some], n[some]
+        a = np.sort(np.where(t > 0, 2 * c / np.where(t > 0, n * t, 1) - (n + 1) / n, 0.0))
+        k = len(a)
+        low, high = (float(a[int(k * alpha / 2)]), float(a[min(k - 1, int(k * (1 - alpha / 2)))])) if k else (None, None)
+        return pd.DataFrame({"_key": [g["_key"].iloc[0]], "low": [low], "high": [high], "draws": [k]})
+
+    sums = blocks.mapInPandas(add, "_key string, _blk int, c array<double>, t array<double>, n array<double>")
+    s = sums.groupBy("_key").applyInPandas(join, "_key string, low double, high double, draws long").join(names, "_key").drop("_key")
     point = inequality(df.where(F.col(value) >= 0), keys, value).select(*keys, "gini")
     sizes = df.where(F.col(value) >= 0).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    out = attach(attach(sizes, point, keys), s.select(*keys, lo.alias("low"), hi.alias("high"), F.col("k").alias("draws")), keys)
+    out = attach(attach(sizes, point, keys), s.select(*keys, "low", "high", "draws"), keys)
     few = F.col("_n") < 3
     return out.select(*keys, "gini", F.when(few, 0.0).otherwise(F.col("low")).alias("low"), F.when(few, 1.0).otherwise(F.col("high")).alias("high"), "draws")
 
 
-def permutation_cv(candidates: DataFrame, chosen: DataFrame, keys: list[str], run: str, staff: str, iterations: int, seed: int) -> DataFrame:
+def permutation_cv(candidates: DataFrame, chosen: DataFrame, keys: list[str], run: str, staff: str, iterations: int = 1_000, seed: int = 11) -> DataFrame:
     """Share of random feasible assignments whose spread is at least the observed one.
 
-    Each iteration gives a case to the candidate with the smallest hash, an aggregate per case.
+    Each iteration gives a case to the candidate with the smallest hash. A task draws all iterations of a case at a time and keeps one row of
+    loads per member, so what is sent grows with members and iterations, not with cases.
     """
     members = candidates.select(*keys, staff).unionByName(chosen.select(*keys, staff)).groupBy(*keys, staff).agg(F.lit(1).alias("_"))
     n = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("members"))
@@ -106,12 +158,60 @@ def permutation_cv(candidates: DataFrame, chosen: DataFrame, keys: list[str], ru
         return s.withColumn("cv", F.when(F.col("members") >= 2, F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("members") - mean * mean)) / mean).otherwise(0.0))
 
     observed = cv(chosen.groupBy(*keys, staff).agg(F.count(F.lit(1)).alias("load")), keys).select(*keys, F.col("cv").alias("observed_cv"), "members")
-    it = candidates.select(*keys, run, staff).withColumn("it", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
-    pick = F.min_by(staff, F.struct(F.xxhash64(F.lit(seed), F.col("it"), F.col(run), F.col(staff)), F.col(staff)))
-    drawn = it.groupBy(*keys, "it", run).agg(pick.alias(staff)).groupBy(*keys, "it", staff).agg(F.count(F.lit(1)).alias("load"))
-    sims = cv(drawn, [*keys, "it"]).select(*keys, "it", "cv")
-    j = attach(sims, observed, keys)
-    return j.groupBy(*keys, "observed_cv", "members").agg((F.count_if(F.col("cv") >= F.col("observed_cv") - 1e-12) / F.lit(float(iterations))).alias("p_value"))
+    code = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    pools = candidates.select(*keys, run, F.col(staff).alias("_s")).groupBy(*keys, run).agg(F.collect_set("_s").alias("_pool"))
+    pools = pools.select(code.alias("_key"), F.transform("_pool", lambda s: F.struct(s.cast("string").alias("s"), F.xxhash64(F.lit(seed), F.col(run), s).alias("h"))).alias("_pool"))
+    flat = "_key string, _s string, _loads array<int>"
+
+    def deal(parts):
+        loads: dict[tuple[str, str], np.ndarray] = {}
+        for part in parts:
+            for key, pool in zip(part["_key"], part["_pool"]):
+                if len(pool):
+                    pick = draw_hashes(np.array([p["h"] for p in pool], np.int64), iterations, seed).argmin(0)
+                    for i in np.unique(pick):
+                        at = (key, pool[i]["s"])
+                        if at not in loads:
+                            loads[at] = np.zeros(iterations, np.int32)
+                        loads[at] += pick == i
+            if len(loads) > 10_000:
+                yield pd.DataFrame({"_key": [k for k, _ in loads], "_s": [m for _, m in loads], "_loads": list(loads.values())})
+                loads = {}
+        if loads:
+            yield pd.DataFrame({"_key": [k for k, _ in loads], "_s": [m for _, m in loads], "_loads": list(loads.values())})
+
+    def squares(parts):
+        """One row per key and task: sums of the members' loads and of their squares, per iteration."""
+        at, load = None, None
+        sums: dict[str, list[np.ndarray]] = {}
+
+        def close():
+            s, q = sums.setdefault(at[0], [np.zeros(iterations), np.zeros(iterations)])
+            s += load
+            q += load * load
+
+        for part in parts:
+            for key, member, mine in zip(part["_key"], part["_s"], part["_loads"]):
+                if (key, member) != at:
+                    if at:
+                        close()
+                    at, load = (key, member), np.zeros(iterations)
+                load = load + mine
+        if at:
+            close()
+        if sums:
+            yield pd.DataFrame({"_key": list(sums), "s": [x for x, _ in sums.values()], "q": [x for _, x in sums.values()]})
+
+    def total(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"_key": [g["_key"].iloc[0]], "s": [np.sum(list(g["s"]), axis=0)], "q": [np.sum(list(g["q"]), axis=0)]})
+
+    by_member = pools.mapInPandas(deal, flat).repartition("_key", "_s").sortWithinPartitions("_key", "_s")
+    sums = by_member.mapInPandas(squares, "_key string, s array<double>, q array<double>").groupBy("_key").applyInPandas(total, "_key string, s array<double>, q array<double>")
+    cases = candidates.groupBy(*keys).agg(F.lit(1).alias("_")).drop("_")
+    j = attach(attach(cases, observed, keys).withColumn("_key", code).join(sums, "_key"), n.withColumnRenamed("members", "_m"), keys)
+    spread = F.zip_with("s", "q", lambda s, q: F.when(F.col("_m") >= 2, F.sqrt(F.greatest(F.lit(0.0), q / F.col("_m") - s / F.col("_m") * (s / F.col("_m")))) / (s / F.col("_m"))).otherwise(0.0))
+    above = F.size(F.filter(spread, lambda v: v >= F.col("observed_cv") - 1e-12))
+    return j.select(*keys, "observed_cv", "members", (above / F.lit(float(iterations))).alias("p_value"))
 
 
 def drift_report(runs: DataFrame, ranked: DataFrame, outcomes: DataFrame, period: str, cfg: S.ScoreConfig = S.DEFAULT) -> DataFrame:

@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import calendar_features
 from ..scale import attach, average_ranks, exact_quantiles, running_over
 from ..session import checkpoint_dir
-from .alignment import adjusted_rand
 from .audit import uniform
 
 
@@ -66,7 +68,13 @@ def cluster_validation(df: DataFrame, columns: list[str], ks: tuple[int, ...] =
         x.unpersist()
 
 
-def stability(df: DataFrame, ident: str, columns: list[str], k: int, repeats: int, share: float = 0.8, seed: int = 7) -> DataFrame:
+def side_by_side(spark: SparkSession, fit: Callable, times: int, width: int = 5) -> list:
+    """The results of ``fit(0)`` to ``fit(times - 1)``, a few at a time."""
+    with ThreadPool(min(width, times)) as pool:
+        return pool.map(inheritable_thread_target(spark)(fit), range(times))
+
+
+def stability(df: DataFrame, ident: str, columns: list[str], k: int, repeats: int = 100, share: float = 0.8, seed: int = 7) -> DataFrame:
     """Agreement of refits on subsamples with the full fit, and pairs that stay together.
 
     Both come from contingency counts, so no pair of rows is ever formed.
@@ -74,17 +82,25 @@ def stability(df: DataFrame, ident: str, columns: list[str], k: int, repeats: in
     checkpoint_dir(df.sparkSession)
     x = with_features(df, columns).checkpoint()
     full = KMeans(k=k, seed=seed, predictionCol="full").fit(x).transform(x).select(ident, "features", "full")
-    out = None
-    for b in range(repeats):
+
+    def refit(b: int) -> list:
         part = full.where(uniform(F.lit(seed + b), F.col(ident)) < share)
-        lab = KMeans(k=k, seed=seed + b, predictionCol="part").fit(part.select("features")).transform(part).select("full", "part")
-        ari = adjusted_rand(lab, "full", "part")
-        c = lab.groupBy("full", "part").agg(F.count(F.lit(1)).alias("n"))
-        same = c.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2.0).alias("kept"))
-        whole = c.groupBy("full").agg(F.sum("n").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2.0).alias("pairs"))
-        one = attach(attach(ari, same, []), whole, []).select(F.lit(b).alias("repeat"), "n", "ari", (F.col("kept") / F.col("pairs")).alias("together"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        lab = KMeans(k=k, seed=seed + b, predictionCol="part").fit(part.select("features")).transform(part)
+        return lab.groupBy("full", "part").count().collect()
+
+    pairs = lambda ns: sum(v * (v - 1) / 2.0 for v in ns)
+    rows = []
+    for b, cells in enumerate(side_by_side(df.sparkSession, refit, repeats)):
+        of: list[dict] = [{}, {}]
+        for c in cells:
+            of[0][c["full"]] = of[0].get(c["full"], 0) + c["count"]
+            of[1][c["part"]] = of[1].get(c["part"], 0) + c["count"]
+        n = sum(of[0].values())
+        kept, whole, other = pairs(c["count"] for c in cells), pairs(of[0].values()), pairs(of[1].values())
+        chance = whole * other / pairs([n]) if n > 1 else 0.0
+        most = (whole + other) / 2.0
+        rows.append((b, n, 1.0 if most == chance else (kept - chance) / (most - chance), kept / whole if whole else None))
+    return df.sparkSession.createDataFrame(rows, "repeat int, n long, ari double, together double")
 
 
 def mixture_grid(df: DataFrame, columns: list[str], ks: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> list[tuple]:
@@ -181,7 +197,7 @@ def penalised_logistic(df: DataFrame, y: str, columns: list[str], steps: int = 2
         x.unpersist()
 
 
-def out_of_fold(df: DataFrame, ident: str, y: str, columns: list[str], folds: int = 5, seed: int = 7, depth: int = 3, rounds: int = 10) -> DataFrame:
+def out_of_fold(df: DataFrame, ident: str, y: str, columns: list[str], folds: int = 5, seed: int = 7, depth: int = 3, rounds: int = 250) -> DataFrame:
     """Each row's score from a tree ensemble that never saw its fold.
 
     Folds are stratified: the rows of a label are dealt out in a hash order, so every fold has its share of each label.
@@ -191,8 +207,9 @@ def out_of_fold(df: DataFrame, ident: str, y: str, columns: list[str], folds: in
     dealt = running_over(dealt, ["label"], [F.col("_lot"), F.col(ident)], _nth=("rows",)).withColumn("fold", ((F.col("_nth") - 1) % folds).cast("int"))
     x = with_features(dealt.drop("_lot", "_nth"), columns).checkpoint()
     out = None
-    for f in range(folds):
-        m = GBTClassifier(maxDepth=depth, maxIter=rounds, seed=seed).fit(x.where(F.col("fold") != f))
+    # a round of boosting is a few short jobs, so the folds are fitted side by side
+    models = side_by_side(df.sparkSession, lambda f: GBTClassifier(maxDepth=depth, maxIter=rounds, seed=seed).fit(x.where(F.col("fold") != f)), folds)
+    for f, m in enumerate(models):
         one = m.transform(x.where(F.col("fold") == f)).select(ident, "label", "fold", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -228,7 +245,7 @@ def unlabelled_share(scored: DataFrame, ident: str, trusted: Column | None = Non
     return attach(out, cut, []).select(ident, "label", "contaminated", (F.col("contaminated") > F.col("cut")).alias("flagged"))
 
 
-def bootstrap_mean(df: DataFrame, ident: str, value: str, draws: int = 50, seed: int = 7) -> DataFrame:
+def bootstrap_mean(df: DataFrame, ident: str, value: str, draws: int = 500, seed: int = 7) -> DataFrame:
     """Mean with a percentile interval over Poisson resamples drawn from a hash."""
     from .audit import poisson_one
 
@@ -304,10 +321,11 @@ def density_outlier(df: DataFrame, ident: str, columns: list[str], reference: Co
     return density.join(around, "_i").select(F.col("_i").alias(ident), "mean_distance", (F.col("_around") / F.col("_lrd")).alias("local_outlier_factor"))
 
 
-def permutation_importance(df: DataFrame, ident: str, y: str, columns: list[str], seed: int = 7) -> list[tuple]:
+def permutation_importance(df: DataFrame, ident: str, y: str, columns: list[str], seed: int = 7, rounds: int = 250) -> list[tuple]:
     """Drop of the area under the curve after one column is dealt out again in a hash order."""
-    base = df.select(ident, y, *columns)
-    m = GBTClassifier(maxDepth=3, maxIter=10, seed=seed, labelCol=y).fit(with_features(base, columns))
+    checkpoint_dir(df.sparkSession)
+    base = df.select(ident, y, *columns).checkpoint()
+    m = GBTClassifier(maxDepth=3, maxIter=rounds, seed=seed, labelCol=y).fit(with_features(base, columns))
 
     def score(x):
         s = m.transform(with_features(x, columns)).select(F.col(y).alias("label"), F.get(vector_to_array("probability"), F.lit(1)).alias("score"))

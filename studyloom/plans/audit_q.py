@@ -82,14 +82,14 @@ def a50(t):
 @query("a51_bootstrap_gini")
 def a51(t):
     v = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("nation"), "o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
-    return r(A.bootstrap_gini(v, ["nation"], "o_custkey", "v", 40, 7))
+    return r(A.bootstrap_gini(v, ["nation"], "o_custkey", "v", 2_000, 7))
 
 
 @query("a52_permutation_test")
 def a52(t):
     c = scored(t).join(runs(t).select("run_id", "period"), "run_id")
     best = c.groupBy("period", "run_id").agg(F.max_by("staff_id", F.struct("final_score", "cand")).alias("staff_id"))
-    return r(A.permutation_cv(c, best, ["period"], "run_id", "staff_id", 20, 11))
+    return r(A.permutation_cv(c, best, ["period"], "run_id", "staff_id", 1_000, 11))
 
 
 @query("a53_drift_report", _RK + """

@@ -54,7 +54,7 @@ def m03(t):
 
 @query("m04_cluster_stability")
 def m04(t):
-    return r(M.stability(dims(t), "vec_id", DIMS, 2, 3), 4)
+    return r(M.stability(dims(t), "vec_id", DIMS, 2, 100), 4)
 
 
 @query("m05_mixture_grid")
@@ -97,13 +97,13 @@ UF = ["n", "mean_value", "sd_value", "error_share"]
 
 @query("m09_source_classifier")
 def m09(t):
-    s = M.out_of_fold(_users(t), "user_id", "y", UF, folds=3, rounds=5)
-    return table(t, [("source", M.auc(s)), ("negative_control", M.negative_control(_users(t), "user_id", F.col("y") == 1, UF, folds=3, rounds=5))], ["target", "auc"])
+    s = M.out_of_fold(_users(t), "user_id", "y", UF, folds=5, rounds=250)
+    return table(t, [("source", M.auc(s)), ("negative_control", M.negative_control(_users(t), "user_id", F.col("y") == 1, UF, folds=5, rounds=150))], ["target", "auc"])
 
 
 @query("m10_unlabelled_share")
 def m10(t):
-    s = M.unlabelled_share(M.out_of_fold(_users(t), "user_id", "y", UF, folds=3, rounds=5), "user_id")
+    s = M.unlabelled_share(M.out_of_fold(_users(t), "user_id", "y", UF, folds=5, rounds=250), "user_id")
     return r(M.bootstrap_mean(s.where("label = 0"), "user_id", "contaminated"), 4)
 
 
