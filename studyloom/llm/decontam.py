@@ -155,36 +155,53 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     of the whole item also count as those of such a question, and an item of fewer than five words is one n-gram looked for in any passage.
     ``round_items`` bounds the items indexed at a time; word statistics are those of the round and do not decide.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("text")).where("text is not null")
-    rounds = max(1, -(-items.count() // round_items))
     out = None
-    for k in range(rounds):
-        mine = items if rounds == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == k)
-        held = spark.sparkContext.broadcast(build([tuple(r) for r in mine.collect()], whole=whole))
+    for held in _indexes(benchmark, item_id, item_text, round_items, whole):
         found = docs.mapInArrow(_search(held), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _indexes(benchmark: DataFrame, item_id: str, item_text: str, round_items: int, whole: bool) -> Iterator:
+    """A broadcast index per round; the passages of all rounds are those of the longest item of all."""
+    items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("text")).where("text is not null")
+    rounds = max(1, -(-items.count() // round_items))
+
+    def longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([max((len(words_of(t)) for t in b.column(0).to_pylist()), default=0)], pa.int64())], ["n"])
+
+    # one round sees all items itself
+    passage = PASSAGE if rounds == 1 else max(PASSAGE, 2 * (items.select("text").mapInArrow(longest, "n long").agg(F.max("n")).first()[0] or 0))
+    for k in range(rounds):
+        mine = items if rounds == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == k)
+        yield benchmark.sparkSession.sparkContext.broadcast(build([tuple(r) for r in mine.collect()], passage=passage, whole=whole))
+
+
+def repeated(index: Index, text: str | None) -> dict[int, tuple[float, float, float]]:
+    """The items a text repeats, each with question and answer overlap and score of its best passage."""
+    number = index.terms.get
+    best: dict[int, tuple[float, float, float]] = {}
+    for words in index.passages(words_of(text)):
+        present = {number(w, -1) for w in words}
+        present.discard(-1)
+        grams = None
+        for i, score in index.search(np.fromiter(sorted(present), np.int64, len(present))):
+            grams = hashes(words) if grams is None else grams
+            q, a = index.verify(i, words, grams)
+            if q * DEN >= NUM and a * DEN >= NUM:
+                best[i] = max(best.get(i, (0.0, 0.0, 0.0)), (q, a, score))
+    return best
+
+
 def _search(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = held.value
-        number = index.terms.get
         for some in rows(batches):
             out: list[list] = [[] for _ in range(5)]
             for r in some:
-                best: dict[int, tuple[float, float, float]] = {}
-                for words in index.passages(words_of(r["text"])):
-                    present = {number(w, -1) for w in words}
-                    present.discard(-1)
-                    grams = None
-                    for i, score in index.search(np.fromiter(sorted(present), np.int64, len(present))):
-                        grams = hashes(words) if grams is None else grams
-                        q, a = index.verify(i, words, grams)
-                        if q * DEN >= NUM and a * DEN >= NUM:
-                            best[i] = max(best.get(i, (0.0, 0.0, 0.0)), (q, a, score))
+                best = repeated(index, r["text"])
                 for i, (q, a, score) in sorted(best.items()):
                     for c, v in zip(out, (r["doc_id"], index.ids[i], score, q, a)):
                         c.append(v)
@@ -193,7 +210,19 @@ def _search(held):
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of documents that repeat no item, those with short questions whole; rows without an id are kept, since nothing names them."""
-    hit = leaks(docs, benchmark, doc_id, text, whole=True).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(hit, docs[doc_id] == F.col("_leak"), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", round_items: int = 20_000) -> DataFrame:
+    """The rows that repeat no item, those with short questions whole; each row is judged on its own. Rows without an id are kept, since nothing names them."""
+    id_at, text_at = docs.columns.index(doc_id), docs.columns.index(text)
+
+    def drop(held):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index: Index = held.value
+            for b in batches:
+                yield b.filter(pa.array([i is None or not repeated(index, t) for i, t in zip(b.column(id_at).to_pylist(), b.column(text_at).to_pylist())], pa.bool_()))
+
+        return run
+
+    schema = docs.schema
+    for held in _indexes(benchmark, "item_id", "text", round_items, True):
+        docs = docs.mapInArrow(drop(held), schema)
+    return docs

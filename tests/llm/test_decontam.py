@@ -113,3 +113,14 @@ def test_query(spark, duck):
     cols = [d[0] for d in cur.description]
     want = cur.fetchall()
     assert want and canonical([tuple(r) for r in df.collect()], df.columns) == canonical(want, cols)
+
+
+def test_rows_are_judged_one_by_one_and_rounds_share_the_window(spark):
+    item = "what is the third word of this made up question here\nits answer names one"
+    long = " ".join(f"l{i}" for i in range(900)) + "\nits end"
+    bench = spark.createDataFrame([(1, item), (2, long), (3, "some other item of enough words\nyes")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, item), (1, "a clean row"), (2, f"x {long}"), (3, "more")], "doc_id long, text string")
+    for size in (1, 20_000):
+        assert sorted(r.text for r in D.clean(docs, bench, round_items=size).collect()) == ["a clean row", "more"]
+    windows = [held.value.window for held in D._indexes(bench, "item_id", "text", 1, True)]
+    assert len(windows) == 3 and set(windows) == {2 * len(D.words_of(long))}
