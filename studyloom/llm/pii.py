@@ -34,7 +34,7 @@ SCHEMES = ("http://", "https://", "ftp://", "ssh://")
 CUES = ("iban", "account", "acct", "konto", "compte", "cuenta", "token", "api_key", "apikey", "api-key", "secret", "password", "passwd", "passport", "ssn")
 LOGIN = re.compile(r"[^\s/@:?#]+(?::[^\s/@?#]*)?(?=@[A-Za-z0-9-])")
 ACCOUNT = re.compile(r"(?:[ _-]?(?:no|nr|number|id))?\.?[\x20\t]{0,3}[:=#][\x20\t]{0,3}[\"']?"
-                     r"([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b|[A-Za-z0-9](?:[_-]?[A-Za-z0-9]){5,127})")
+                     r"([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b|[A-Za-z0-9](?:[_-]?[A-Za-z0-9]){5,}+)")
 
 
 def luhn(digits: str) -> bool:

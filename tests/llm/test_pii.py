@@ -64,3 +64,11 @@ def test_query(spark, duck):
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and r.spans.startswith(base)
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in spans) for k in range(4)]
     assert not got
+
+
+def test_long_identifiers_are_masked_to_their_end():
+    anchors = pii.automaton()
+    for token in ("ab12" * 100, "x" * 200 + "1234", "a1-" * 5000 + "b2"):
+        text = f"say token: {token} and go"
+        assert pii.find_spans(text, anchors)[-1:] == [(pii.KINDS.index("account"), 11, 11 + len(token))]
+        assert pii.masked(text, [(pii.KINDS.index("account"), 11, 11 + len(token))]) == "say token: <ACCOUNT> and go"
