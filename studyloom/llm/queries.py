@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_text, importance, jaccard, language, licenses, packing, pii, rules, warc
+from . import decontam, html_text, importance, jaccard, language, licenses, negatives, packing, pii, rules, vector_codes, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,45 @@ select doc_id, item_id, max(struct_pack(q := q, a := a)).q question_overlap, max
 @query("op10_benchmark_leaks", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("score")
+
+
+def _codes_sql(rounds: int = 6, entries: int = 16, parts: int = 8, scale: int = 4096) -> str:
+    """Codebooks by plain search of all entries, one pair of steps a round."""
+    most = "(1073741824 // greatest(4, 8, (len(embedding) + 7) // 8))"
+    steps = [f"""kept as materialized (select row_number() over () r, vec_id, label, list_transform(embedding, lambda x: greatest(-{most}, least({most}, floor({scale} * x::double)))::bigint) q
+  from embeddings where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as materialized (select r, vec_id, q, part, q[part * len(q) // {parts} + 1 : (part + 1) * len(q) // {parts}] v from kept, range({parts}) t(part)),
+c0 as materialized (select part, row_number() over (partition by part order by vec_id nulls last, q) - 1 entry, v from p qualify entry < {entries})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} as materialized (select r, part, arg_min(entry, (d, entry)) entry, min(d) d from (select r, part, entry,
+  list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint d from p join c{i} c using (part)) group by r, part)""")
+        if i < rounds:
+            steps.append(f"""s{i} as materialized (select part, entry, j, sum(v[j]) s, count(*) n from (select part, entry, v, unnest(range(1, len(v) + 1)) j from a{i} join p using (r, part)) group by all),
+c{i + 1} as materialized (select part, entry, coalesce(any_value(m.v), any_value(c.v)) v from c{i} c
+  left join (select part, entry, list(((s - ((s % n) + n) % n) // n)::bigint order by j) v from s{i} group by part, entry) m using (part, entry) group by part, entry)""")
+    return f"""with {", ".join(steps)},
+h as (select sha256(string_agg(array_to_string(v, ','), ',' order by part, entry)) codebooks_sha256 from c{rounds}),
+e as (select r, string_agg(printf('%02x', entry), '' order by part) code, sum(d)::bigint error from a{rounds} group by r)
+select vec_id, code, error, sum(error) over (partition by label)::bigint label_error, codebooks_sha256 from e join kept using (r), h"""
+
+
+@query("op11_vector_codes", _codes_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+#: Every anchor against every row.
+OP12_SQL = """
+with v as (select row_number() over () r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label, list_transform(embedding, lambda x: floor(256 * x::double)) q
+  from embeddings where label is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as materialized (select a.r ar, a.vec_id anchor_id, b.r br, b.vec_id id, a.label = b.label same, list_inner_product(a.q, b.q)::bigint score from v a join v b on a.r <> b.r where a.vec_id % 100 = 0),
+p as (select *, row_number() over (partition by ar order by score desc, id) k from s where same qualify k <= 5)
+select p.anchor_id, p.id positive_id, row_number() over (partition by p.ar, p.br order by n.score desc, n.id)::int rank, n.id negative_id, p.score positive_score, n.score negative_score
+from p join s n using (ar) where not n.same and 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score qualify rank <= 10
+"""
+
+
+@query("op12_hard_negatives", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", noisy))
