@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_text, importance, jaccard, language, licenses, negatives, packing, pii, rules, vector_codes, warc
+from . import decontam, grouping, html_text, importance, jaccard, language, licenses, negatives, packing, pii, rules, vector_codes, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,7 +32,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
+    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
 
 @query("op3_licenses")
@@ -162,3 +162,8 @@ from p join s n using (ar) where not n.same and 30 * p.score <= 100 * n.score an
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", noisy))
+
+
+@query("op13_best_fit")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouping.best_fit_pack(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
