@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..scale import BLOCK, attach, average_ranks, ordered_blocks, running
+from ..session import checkpoint_dir
 
 CRITERIA = ("phi", "omega", "psi", "p")
 
@@ -310,11 +314,104 @@ def _variants(df: DataFrame, table: list[list[float]]) -> DataFrame:
     return x.select(*df.columns, F.col("_w.variant").alias("variant"), sum((F.col(c) * F.col(f"_w.w_{c}") for c in CRITERIA), F.lit(0.0)).alias("variant_score"))
 
 
-def selection_stability(scored: DataFrame, samples: int = 64, cfg: S.ScoreConfig = S.DEFAULT) -> DataFrame:
-    """Share of weight draws each candidate wins; equal scores go to the smaller id."""
-    v = _variants(scored.select("run_id", "staff_id", *CRITERIA), weight_draws(cfg, samples))
-    win = v.groupBy("run_id", "variant").agg(F.max_by("staff_id", F.struct(F.col("variant_score"), -F.col("staff_id"))).alias("staff_id"))
-    return win.groupBy("run_id", "staff_id").agg((F.count(F.lit(1)) / float(samples)).alias("stability"))
+def _best_of_runs(runs: np.ndarray, parts: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows sorted by run: where runs start, and per run and draw the best score and its row; the earlier row keeps an equal score.
+
+    Sums run from left to right, as SQL adds, so equal scores are equal in both.
+    """
+    starts = np.concatenate([[0], np.flatnonzero(runs[1:] != runs[:-1]) + 1])
+    sizes = np.diff(np.append(starts, len(runs)))
+
+    def scores(at: np.ndarray) -> np.ndarray:
+        out = parts[at, 0][:, None] * table[:, 0]
+        for j in range(1, table.shape[1]):
+            out += parts[at, j][:, None] * table[:, j]
+        return np.where(np.isnan(out), -np.inf, out)
+
+    best, who = scores(starts), np.repeat(starts[:, None], len(table), 1)
+    for place in range(1, int(sizes.max(initial=0))):
+        open_ = np.flatnonzero(sizes > place)
+        new = scores(starts[open_] + place)
+        i, j = np.nonzero(new > best[open_])
+        best[open_[i], j] = new[i, j]
+        who[open_[i], j] = starts[open_[i]] + place
+    return starts, best, who
+
+
+def selection_stability(scored: DataFrame, samples: int = 2000, cfg: S.ScoreConfig = S.DEFAULT, values: int = 1 << 21) -> DataFrame:
+    """Share of weight draws each candidate wins; equal scores go to the smaller id.
+
+    Candidates are range-partitioned by run and id, and each task scores its rows against the whole table of draws as one matrix
+    of at most ``values`` numbers at a time, keeping a running best per run and draw. No row is copied per draw. Only the first and last
+    run of a partition can go on in a neighbour; for these the task hands over its best scores instead of counts, two short rows a partition,
+    so a run that holds most of all candidates is as many tasks as it has partitions. Rows without a run or an id are left out; a missing component loses
+    against any score.
+    """
+    table = np.array(weight_draws(cfg, samples))
+    kinds = {c: scored.schema[c].dataType.simpleString() for c in ("run_id", "staff_id")}
+    shape = f"run_id {kinds['run_id']}, staff_id {kinds['staff_id']}, wins long, part int, best array<double>, who array<{kinds['staff_id']}>"
+    names = ["run_id", "staff_id", "wins", "part", "best", "who"]
+
+    def play(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, first, held = TaskContext.get().partitionId(), True, None
+
+        def handed(run, best: np.ndarray, who: np.ndarray, run_type: pa.DataType, id_type: pa.DataType) -> pa.RecordBatch:
+            columns = [([run], run_type), ([None], id_type), ([None], pa.int64()), ([part], pa.int32()), ([best.tolist()], pa.list_(pa.float64())), ([who.tolist()], pa.list_(id_type))]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=names)
+
+        def counted(runs: pa.Array, ids: pa.Array, wins: np.ndarray) -> pa.RecordBatch:
+            n, id_type = len(ids), ids.type
+            return pa.RecordBatch.from_arrays([runs, ids, pa.array(wins, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.float64())), pa.nulls(n, pa.list_(id_type))], names=names)
+
+        step = max(1, values // max(1, len(table)))
+        for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
+            run_col, id_col = batch.column("run_id"), batch.column("staff_id")
+            kinds = run_col.type, id_col.type
+            runs, staff = run_col.to_pandas().to_numpy(), id_col.to_pandas().to_numpy()
+            parts = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in CRITERIA])
+            starts, best, who = _best_of_runs(runs, parts, table)
+            k, last = 0, len(starts) - 1
+            if held is not None and held[0] == runs[0]:
+                held = (held[0], np.maximum(held[1], best[0]), np.where(best[0] > held[1], staff[who[0]], held[2]))
+                k = 1
+            if k > last:
+                continue
+            if held is not None:
+                if first:
+                    yield handed(*held, *kinds)
+                else:
+                    ids, wins = np.unique(held[2], return_counts=True)
+                    yield counted(pa.array([held[0]] * len(ids), kinds[0]), pa.array(ids, kinds[1]), wins)
+                first = False
+            elif k < last:
+                yield handed(runs[0], best[0], staff[who[0]], *kinds)
+                first, k = False, 1
+            wins = np.bincount(who[k:last].ravel(), minlength=len(runs))
+            if len(at := np.flatnonzero(wins)):
+                yield counted(run_col.take(pa.array(at)), id_col.take(pa.array(at)), wins[at])
+            held = (runs[starts[last]], best[last], staff[who[last]])
+        if held is not None:
+            yield handed(*held, *kinds)
+
+    def merge(t: pa.Table) -> pa.Table:
+        t = t.sort_by("part")
+        best, who = np.array(t["best"][0].as_py()), t["who"][0].values.to_pandas().to_numpy()
+        for i in range(1, t.num_rows):
+            b, w = np.array(t["best"][i].as_py()), t["who"][i].values.to_pandas().to_numpy()
+            best, who = np.where(b > best, b, best), np.where(b > best, w, who)
+        ids, n = np.unique(who, return_counts=True)
+        return pa.table({"run_id": t["run_id"].combine_chunks().take(pa.array([0] * len(ids))), "staff_id": pa.array(ids, t["staff_id"].type), "wins": pa.array(n, pa.int64())})
+
+    # of a member's several rows in a run, the wins are added up
+    rows = scored.select("run_id", "staff_id", *[F.col(c).cast("double").alias(c) for c in CRITERIA]).where("run_id is not null and staff_id is not null")
+    blocks = rows.repartitionByRange("run_id", "staff_id").sortWithinPartitions("run_id", "staff_id")
+    checkpoint_dir(scored.sparkSession)
+    found = blocks.mapInArrow(play, shape).checkpoint()
+    whole = found.where("wins is not null").groupBy("run_id", "staff_id").agg(F.sum("wins").alias("wins"))
+    edges = found.where("wins is null").groupBy("run_id").applyInArrow(merge, f"run_id {kinds['run_id']}, staff_id {kinds['staff_id']}, wins long")
+    return whole.unionByName(edges).select("run_id", "staff_id", (F.col("wins") / float(samples)).alias("stability"))
 
 
 def calibrate_band(ranked: DataFrame, stability: DataFrame, grid: tuple[float, ...] = (0.02, 0.03, 0.04, 0.05, 0.07, 0.10, 0.15, 0.20),

@@ -162,25 +162,28 @@ def _draws(n):
     return ", ".join("(" + ", ".join([str(i), *(f"{v!r}::double" for v in w)]) + ")" for i, w in enumerate(A.weight_draws(S.DEFAULT, n)))
 
 
+#: Each run's candidates as lists in the order of their ids, every draw's first maximum, and the share of draws.
 _WINS = """
-, dr as (select * from (values {d}) v(i, w1, w2, w3, w4)),
- wn as (select run_id, i, arg_max(staff_id, (0.0::double + phi * w1 + omega * w2 + psi * w3 + p * w4, -staff_id)) staff_id from {t} cross join dr group by 1, 2), st as (select run_id, staff_id, count(*) / {n}.0::double stability from wn group by 1, 2)
+, dr as materialized (select * from (values {d}) v(i, w1, w2, w3, w4)),
+ pool as materialized (select run_id, list(phi order by staff_id) l1, list(omega order by staff_id) l2, list(psi order by staff_id) l3, list(p order by staff_id) l4, list(staff_id order by staff_id) ids from {t} group by run_id),
+ wn as (select run_id, ids, list_transform(range(1, len(ids) + 1), lambda j: 0.0::double + l1[j] * w1 + l2[j] * w2 + l3[j] * w3 + l4[j] * w4) x from pool cross join dr),
+ st as (select run_id, ids[list_position(x, list_max(x))] staff_id, count(*) / {n}.0::double stability from wn group by 1, 2)
 """
 
 
-@query("h05_selection_stability", _SC + _WINS.format(d=_draws(64), t="sc", n=64) + "select run_id, staff_id, round(stability, 6) as stability from st")
+@query("h05_selection_stability", _SC + _WINS.format(d=_draws(2000), t="sc", n=2000) + "select run_id, staff_id, round(stability, 6) as stability from st")
 def h05(t):
     return r(A.selection_stability(scored(t)))
 
 
-@query("h06_band_calibration", _RK + _WINS.format(d=_draws(32), t="rk", n=32) + """
+@query("h06_band_calibration", _RK + _WINS.format(d=_draws(400), t="rk", n=400) + """
 , de as (select gap, 1 - coalesce(stability, 0) flip from rk left join st on st.run_id = rk.run_id and st.staff_id = rk.staff_id where rn = 1 and gap is not null), e as (select unnest([0.02, 0.03, 0.04, 0.05, 0.07, 0.10, 0.15, 0.20])::double e),
  g as (select e, count(*) filter (gap >= e) outside, avg(flip) filter (gap >= e) mean_flip from de cross join e group by 1)
 select coalesce((select min(e) from g where mean_flip <= 0.1), 0.2) as chosen, e as epsilon, outside, round(mean_flip, 6) as mean_flip from g
 """)
 def h06(t):
     rk = ranked(t)
-    return r(A.calibrate_band(rk, A.selection_stability(rk, 32)))
+    return r(A.calibrate_band(rk, A.selection_stability(rk, 400)))
 
 
 _PERT = []
