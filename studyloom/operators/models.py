@@ -10,7 +10,6 @@ import numpy as np
 import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import calendar_features
 from ..scale import attach, average_ranks, exact_quantiles, running_over
 from ..session import checkpoint_dir
+from . import clusters as C
 from .audit import uniform
 
 
@@ -39,14 +39,17 @@ def with_features(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.array(*[F.col(c).cast("double") for c in columns])))
 
 
-def named_kmeans(df: DataFrame, columns: list[str], k: int, name_by: str, seed: int = 7) -> DataFrame:
-    """Clusters numbered by the mean of a naming column, largest mean first."""
-    out = KMeans(k=k, seed=seed, predictionCol="_raw").fit(with_features(df, columns)).transform(with_features(df, columns))
-    means = out.groupBy("_raw").agg(F.avg(name_by).alias("_mean"))
+def named_kmeans(df: DataFrame, columns: list[str], k: int, name_by: str, seed: int = 7, starts: int = 100, ident: str | None = None) -> DataFrame:
+    """The best of many k-means fits, its clusters numbered by the mean of a naming column, largest mean first."""
+    fit = C.kmeans_table(C.points(df, ident, columns), len(columns), (k,), starts, seed)
+    if not fit:
+        return df.withColumn("cluster", F.lit(None).cast("int"))
+    out = C.labelled(df, columns, fit[k], "_raw")
+    means = out.where("_raw is not null").groupBy("_raw").agg(F.avg(name_by).alias("_mean"))
     # k rows in all
     order = means.agg(F.reverse(F.array_sort(F.collect_list(F.struct("_mean", "_raw")))).alias("o"))
     label = F.array_position(F.transform("o", lambda x: x["_raw"]), F.col("_raw"))
-    return attach(out, order, []).withColumn("cluster", label.cast("int")).drop("_raw", "o", "features")
+    return attach(out, order, []).withColumn("cluster", F.nullif(label, F.lit(0)).cast("int")).drop("_raw", "o")
 
 
 def cluster_profile(labelled: DataFrame, columns: list[str]) -> DataFrame:
@@ -54,18 +57,14 @@ def cluster_profile(labelled: DataFrame, columns: list[str]) -> DataFrame:
     return labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in columns])
 
 
-def cluster_validation(df: DataFrame, columns: list[str], ks: tuple[int, ...] = (2, 3, 4, 5), smallest: int = 15, seed: int = 7) -> list[tuple]:
-    """(k, inertia, silhouette, smallest size, large enough) for each k; one row per fit."""
-    x = with_features(df, columns).persist()
-    try:
-        rows = []
-        for k in ks:
-            m = KMeans(k=k, seed=seed).fit(x)
-            sizes = m.summary.clusterSizes
-            rows.append((k, float(m.summary.trainingCost), float(ClusteringEvaluator().evaluate(m.transform(x))), int(min(sizes)), bool(min(sizes) >= smallest)))
-        return rows
-    finally:
-        x.unpersist()
+def cluster_validation(df: DataFrame, columns: list[str], ks: tuple[int, ...] = (2, 3, 4, 5), smallest: int = 15, seed: int = 7, starts: int = 50, ident: str | None = None) -> list[tuple]:
+    """(k, inertia, silhouette, smallest size, large enough) of the best of many fits for each k; all fits share their passes."""
+    rows = []
+    for k, fit in C.kmeans_table(C.points(df, ident, columns), len(columns), ks, starts, seed).items():
+        found = with_features(C.labelled(df, columns, fit, "prediction").where("prediction is not null"), columns)
+        silhouette = float(ClusteringEvaluator().evaluate(found)) if len(fit.centres) > 1 else None
+        rows.append((k, fit.inertia, silhouette, int(min(fit.sizes)), bool(min(fit.sizes) >= smallest)))
+    return rows
 
 
 def side_by_side(spark: SparkSession, fit: Callable, times: int, width: int = 5) -> list:
@@ -74,63 +73,28 @@ def side_by_side(spark: SparkSession, fit: Callable, times: int, width: int = 5)
         return pool.map(inheritable_thread_target(spark)(fit), range(times))
 
 
-def stability(df: DataFrame, ident: str, columns: list[str], k: int, repeats: int = 100, share: float = 0.8, seed: int = 7) -> DataFrame:
+def stability(df: DataFrame, ident: str, columns: list[str], k: int, repeats: int = 100, share: float = 0.8, seed: int = 7, starts: int = 20, full_starts: int = 100) -> DataFrame:
     """Agreement of refits on subsamples with the full fit, and pairs that stay together.
 
-    Both come from contingency counts, so no pair of rows is ever formed.
+    Both come from contingency counts, so no pair of rows is ever formed; the starts of all refits move in the same passes.
     """
-    checkpoint_dir(df.sparkSession)
-    x = with_features(df, columns).checkpoint()
-    full = KMeans(k=k, seed=seed, predictionCol="full").fit(x).transform(x).select(ident, "features", "full")
-
-    def refit(b: int) -> list:
-        part = full.where(uniform(F.lit(seed + b), F.col(ident)) < share)
-        lab = KMeans(k=k, seed=seed + b, predictionCol="part").fit(part.select("features")).transform(part)
-        return lab.groupBy("full", "part").count().collect()
-
-    pairs = lambda ns: sum(v * (v - 1) / 2.0 for v in ns)
+    x = C.points(df, ident, columns)
+    fit = C.kmeans_table(x, len(columns), (k,), full_starts, seed)
+    pairs = lambda ns: float(sum(v * (v - 1) / 2.0 for v in ns))
     rows = []
-    for b, cells in enumerate(side_by_side(df.sparkSession, refit, repeats)):
-        of: list[dict] = [{}, {}]
-        for c in cells:
-            of[0][c["full"]] = of[0].get(c["full"], 0) + c["count"]
-            of[1][c["part"]] = of[1].get(c["part"], 0) + c["count"]
-        n = sum(of[0].values())
-        kept, whole, other = pairs(c["count"] for c in cells), pairs(of[0].values()), pairs(of[1].values())
+    for b, cells in enumerate(C.subsample_agreement(x, len(columns), fit[k], repeats, share, starts, seed) if fit else []):
+        n = int(cells.sum())
+        kept, whole, other = pairs(cells.ravel()), pairs(cells.sum(1)), pairs(cells.sum(0))
         chance = whole * other / pairs([n]) if n > 1 else 0.0
         most = (whole + other) / 2.0
         rows.append((b, n, 1.0 if most == chance else (kept - chance) / (most - chance), kept / whole if whole else None))
     return df.sparkSession.createDataFrame(rows, "repeat int, n long, ari double, together double")
 
 
-def mixture_grid(df: DataFrame, columns: list[str], ks: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> list[tuple]:
-    """(k, log likelihood, AIC, BIC, relative entropy, mean top posterior) of full-covariance mixtures."""
-    x = with_features(df, columns).persist()
-    try:
-        n, d, rows = x.count(), len(columns), []
-        for k in ks:
-            p = k - 1 + k * d + k * d * (d + 1) // 2
-            if k == 1:
-                ll = _one_gaussian(x, columns, n)
-                rows.append((k, ll, 2 * p - 2 * ll, p * math.log(n) - 2 * ll, 1.0, 1.0))
-                continue
-            m = GaussianMixture(k=k, seed=seed).fit(x)
-            ll = float(m.summary.logLikelihood)
-            post = vector_to_array("probability")
-            e = F.aggregate(post, F.lit(0.0), lambda s, v: s - F.when(v > 1e-300, v * F.log(v)).otherwise(0.0))
-            g = m.transform(x).agg(F.sum(e).alias("e"), F.avg(F.array_max(post)).alias("top")).collect()[0]
-            rows.append((k, ll, 2 * p - 2 * ll, p * math.log(n) - 2 * ll, 1.0 - g["e"] / (n * math.log(k)), float(g["top"])))
-        return rows
-    finally:
-        x.unpersist()
-
-
-def _one_gaussian(x: DataFrame, columns: list[str], n: int) -> float:
-    """Log likelihood of a single full-covariance normal, from one aggregation."""
-    d = len(columns)
-    g = x.agg(*[F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)]).collect()[0]
-    cov = np.array([[g[f"c{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
-    return float(-n / 2 * (d * math.log(2 * math.pi) + np.linalg.slogdet(cov)[1] + d))
+def mixture_grid(df: DataFrame, columns: list[str], ks: tuple[int, ...] = (1, 2, 3), seed: int = 7, kinds: tuple[str, ...] = ("full",), starts: int = 20, ident: str | None = None) -> list[tuple]:
+    """(k, log likelihood, AIC, BIC, relative entropy, mean top posterior, covariance, converged) of the best of many mixtures."""
+    found = C.mixture_table(C.points(df, ident, columns), len(columns), ks, kinds, starts, seed)
+    return [tuple(m[c] for c in ("k", "log_likelihood", "aic", "bic", "entropy", "top_posterior", "covariance", "converged")) for m in found]
 
 
 def corrected_outcome(df: DataFrame, posterior: str, outcome: str, k: int) -> list[tuple]:

@@ -44,12 +44,12 @@ def m01(t):
 
 @query("m02_named_kmeans")
 def m02(t):
-    return r(M.cluster_profile(M.named_kmeans(dims(t), DIMS, 3, "d1"), DIMS), 4)
+    return r(M.cluster_profile(M.named_kmeans(dims(t), DIMS, 3, "d1", ident="vec_id"), DIMS), 4)
 
 
 @query("m03_cluster_validation")
 def m03(t):
-    return table(t, M.cluster_validation(dims(t), DIMS), ["k", "inertia", "silhouette", "smallest", "large_enough"])
+    return table(t, M.cluster_validation(dims(t), DIMS, ident="vec_id"), ["k", "inertia", "silhouette", "smallest", "large_enough"])
 
 
 @query("m04_cluster_stability")
@@ -59,7 +59,8 @@ def m04(t):
 
 @query("m05_mixture_grid")
 def m05(t):
-    return table(t, M.mixture_grid(dims(t), DIMS), ["k", "log_likelihood", "aic", "bic", "entropy", "top_posterior"])
+    rows = M.mixture_grid(dims(t), DIMS, kinds=("full", "diagonal"), ident="vec_id")
+    return table(t, rows, ["k", "log_likelihood", "aic", "bic", "entropy", "top_posterior", "covariance", "converged"])
 
 
 @query("m06_corrected_outcome")
