@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import is_filled
 from ..scale import attach, null_safe_join, require_empty, running_over
+from .smoothing import smoothed_forecast
 
 
 def roster_audit(roster: DataFrame, ident: str, raw_date: Column, parsed: Column, low: str, high: str) -> DataFrame:
@@ -142,30 +143,6 @@ def seasonal_forecast(train: DataFrame, future: DataFrame, keys: list[str]) -> D
     return j.withColumn("yhat", F.coalesce("_s", "_o")).drop("_m", "_s", "_o")
 
 
-def smoothed_forecast(train: DataFrame, future: DataFrame, keys: list[str], alpha: float = 0.3, gamma: float = 0.2, season: int = 12) -> DataFrame:
-    """Level plus additive season, updated along each series' ordered months.
-
-    A series is one array of calendar months; series run side by side. Short series use the mean.
-    """
-    s = train.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("month", "n"))).alias("a"), F.avg("n").alias("mean"),
-                                 F.min("month").alias("first"), F.count(F.lit(1)).alias("m"))
-    start = F.struct(F.col("mean").cast("double").alias("level"), F.transform(F.sequence(F.lit(1), F.lit(season)), lambda i: F.lit(0.0)).alias("seas"), F.lit(0).alias("i"))
-
-    def step(st, x):
-        pos = F.pmod(st["i"], F.lit(season)) + 1
-        old = F.element_at(st["seas"], pos)
-        level = F.lit(alpha) * (x["n"] - old) + F.lit(1 - alpha) * st["level"]
-        new = F.lit(gamma) * (x["n"] - level) + F.lit(1 - gamma) * old
-        seas = F.transform(st["seas"], lambda v, k: F.when(k == pos - 1, new).otherwise(v))
-        return F.struct(level.alias("level"), seas.alias("seas"), (st["i"] + 1).alias("i"))
-
-    fit = s.select(*keys, "mean", "first", "m", F.aggregate("a", start, step).alias("st"))
-    j = future.join(fit, keys)
-    pos = F.pmod(F.months_between("month", "first").cast("int"), F.lit(season)) + 1
-    return j.withColumn("yhat", F.greatest(F.lit(0.0), F.when(F.col("m") >= 2 * season, F.col("st.level") + F.element_at("st.seas", pos))
-                                           .otherwise(F.col("mean")))).drop("mean", "first", "m", "st")
-
-
 # Name -> function(train, future, keys) -> future with yhat
 REGISTRY: dict[str, Callable[[DataFrame, DataFrame, list[str]], DataFrame]] = {
     "mean": mean_forecast, "seasonal_mean": seasonal_forecast, "smoothed": smoothed_forecast}
