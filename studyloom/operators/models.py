@@ -22,6 +22,7 @@ from ..scale import attach, average_ranks, exact_quantiles, running_over
 from ..session import checkpoint_dir
 from . import clusters as C
 from .audit import uniform
+from .neighbours import nearest_rows
 
 
 def standardise(df: DataFrame, ident: str, columns: list[str], reference: Column) -> DataFrame:
@@ -239,37 +240,6 @@ def mahalanobis(df: DataFrame, ident: str, columns: list[str], reference: Column
     return attach(out, cut, []).select(ident, "distance", (F.col("distance") > F.col("cut")).alias("is_outlier"))
 
 
-def nearest_rows(df: DataFrame, ident: str, columns: list[str], reference: Column, k: int, chunk: int = 2_000) -> DataFrame:
-    """The k nearest other reference rows of every row as (d, id), exact; equal distances go by id.
-
-    Rows and reference rows are cut into chunks of bounded size; a task holds one of each and returns k
-    rows per row, which are then merged. No pair of rows leaves a task.
-    """
-    x = df.select(F.col(ident).alias("_id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("v"), reference.alias("_ref"))
-    n = x.agg(F.count(F.lit(1)).alias("n"), F.count_if("_ref").alias("m")).collect()[0]
-    na, nb = max(1, -(-n["n"] // chunk)), max(1, -(-n["m"] // chunk))
-    rows = x.withColumn("a", F.pmod(F.xxhash64("_id"), F.lit(na))).select("_id", "v", "a", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("b"), F.lit(False).alias("_ref"))
-    refs = x.where("_ref").withColumn("b", F.pmod(F.xxhash64(F.lit(1), "_id"), F.lit(nb))).select("_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(na - 1).cast("long"))).alias("a"), F.col("b").cast("int").alias("b"), F.lit(True).alias("_ref"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, r = pdf[~pdf["_ref"]], pdf[pdf["_ref"]]
-        if q.empty or r.empty:
-            return pd.DataFrame({"_id": pd.Series(dtype="int64"), "d": pd.Series(dtype=object), "o": pd.Series(dtype=object)})
-        r = r.sort_values("_id")
-        a, b, ids = np.vstack(q["v"].to_numpy()), np.vstack(r["v"].to_numpy()), r["_id"].to_numpy()
-        d2 = ((a[:, None, :] - b[None, :, :]) ** 2).sum(2) if len(a) * len(b) * a.shape[1] < 1e6 else np.vstack([((b - row) ** 2).sum(1) for row in a])
-        d2[q["_id"].to_numpy()[:, None] == ids[None, :]] = np.inf
-        near = np.argsort(d2, axis=1, kind="stable")[:, :k]
-        d = np.sqrt(np.take_along_axis(d2, near, axis=1))
-        return pd.DataFrame({"_id": q["_id"].to_numpy(), "d": [[float(v) for v in row if np.isfinite(v)] for row in d], "o": [[int(ids[j]) for j, v in zip(n, row) if np.isfinite(v)] for n, row in zip(near, d)]})
-
-    part = rows.select("_id", "v", "a", F.col("b").cast("int").alias("b"), "_ref").unionByName(refs).groupBy("a", "b").applyInPandas(compare, "_id long, d array<double>, o array<long>")
-    # at most k rows per chunk of the reference
-    pairs = F.arrays_zip("d", "o")
-    best = part.groupBy("_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list(pairs))), 1, k).alias("near"))
-    return best.select(F.col("_id").alias(ident), "near")
-
-
 def density_outlier(df: DataFrame, ident: str, columns: list[str], reference: Column, k: int = 10) -> DataFrame:
     """Local outlier factor against the reference rows: the mean density around a row's neighbours over the density around the row.
 
