@@ -10,8 +10,8 @@ their first, near in size. Then
 3. in tiles still open, pairs across components are compared. A tile with more classes than a bound is not paired up: its n-gram is frequent, so its classes are put in tiles anew by an order that
    starts with their rarest n-grams, where a frequent one counts only for texts made of little else.
 
-A comparison looks at hashed bitmaps first: bits set in one and not in the other bound the overlap from above. Only pairs
-that can still reach the threshold have their sorted arrays intersected.
+A comparison looks at hashed bitmaps first: bits set in one and not in the other bound the overlap from above. To tiles travel smaller ones, of
+parities, whose differing bits bound it too and do not fill up as sets grow. Only pairs that can still reach the threshold have their sorted arrays intersected.
 """
 
 from __future__ import annotations
@@ -33,8 +33,6 @@ NGRAM, NUM, DEN = 5, 75, 100
 TILE = 1000
 #: Bytes of an n-gram's hash that travel to its bucket, which knows the upper bits; two that share them meet for nothing, no more.
 KEY = 5
-#: Bytes of the bitmaps that travel to tiles; pairs they let pass are held against the whole ones.
-SHORT = 128
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -106,6 +104,16 @@ def fold(bits: bytes, most: int) -> bytes:
     return np.bitwise_or.reduce(np.frombuffer(bits, np.uint8).reshape(-1, most), axis=0).tobytes()
 
 
+def parity(members: np.ndarray) -> bytes:
+    """A bitmap of one to two bits a member, each the parity of the members that fall on it.
+
+    A member of one of two sets alone turns one bit, so differing bits are at most as many as the members not shared. Unlike set bits they don't fill up.
+    """
+    size = max(64, 1 << int(len(members) - 1).bit_length())
+    flags = np.bincount((members & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(flags.astype(np.uint8), bitorder="little").tobytes()
+
+
 def overlap_bound(a: bytes, b: bytes, na: int, nb: int) -> int:
     """The overlap is at most each set's size less the bits it sets alone; the larger bitmap is folded onto the smaller."""
     x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
@@ -190,7 +198,7 @@ def _profiles(docs: DataFrame, buckets: int, last: np.ndarray, hold: int = 1 <<
                 cls = class_of(s) if len(s) else None
                 new = cls is not None and cls not in seen
                 bits = bitmap(s) if new else None
-                for c, v in zip(out, (r["doc_id"], len(s), cls, bits, bits and fold(bits, SHORT))):
+                for c, v in zip(out, (r["doc_id"], len(s), cls, bits, parity(s) if new else None)):
                     c.append(v)
                 if new:
                     seen.add(cls)
@@ -348,7 +356,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, salts: int =
 
 
 def _across(tiles: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a < b) in one tile, of different components, near in size, and allowed by their short bitmaps."""
+    """Pairs (a < b) in one tile, of different components, near in size, and allowed by the parities of their bitmaps."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
@@ -359,13 +367,13 @@ def _across(tiles: DataFrame, classes: DataFrame) -> DataFrame:
         raw = t.column("short").take(pa.array(order[at])).to_pylist()
         own = np.searchsorted(names, cls)
         size = np.array([len(x) for x in raw], np.int64)
-        folded: dict[int, np.ndarray] = {}  # bitmaps of every class folded to a size, for classes of that size or more
+        folded: dict[int, np.ndarray] = {}  # parities of every class folded to a size, for classes of that size or more
 
         def bitmaps(width: int) -> np.ndarray:
             if width not in folded:
                 m = np.zeros((len(names), width // 8), np.uint64)
                 for k in np.flatnonzero(size >= width):
-                    m[k] = np.bitwise_or.reduce(np.frombuffer(raw[k], np.uint64).reshape(-1, width // 8), axis=0)
+                    m[k] = np.bitwise_xor.reduce(np.frombuffer(raw[k], np.uint64).reshape(-1, width // 8), axis=0)
                 folded[width] = m
             return folded[width]
 
@@ -379,8 +387,7 @@ def _across(tiles: DataFrame, classes: DataFrame) -> DataFrame:
             if len(j):
                 m = bitmaps(int(size[own[i]]))
                 x, y = m[own[i]], m[own[j]]
-                both = np.bitwise_count(x & y).sum(axis=1, dtype=np.int64)
-                bound = np.minimum(n[i] - int(np.bitwise_count(x).sum()) + both, n[j] - np.bitwise_count(y).sum(axis=1, dtype=np.int64) + both)
+                bound = (n[i] + n[j] - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)) // 2
                 other = cls[j[bound >= needed(n[i] + n[j])]]
                 held.append(np.stack([np.minimum(cls[i], other), np.maximum(cls[i], other)], axis=1))
                 waiting += len(other)
