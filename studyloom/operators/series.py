@@ -241,27 +241,31 @@ def annual_totals(plan: DataFrame, keys: list[str]) -> DataFrame:
     return plan.groupBy(*keys, F.year("month").alias("yr")).agg(F.sum("planning").alias("planning"))
 
 
-def poisson_quantile(rate: Column, p: float) -> Column:
-    """Smallest count whose Poisson cumulative probability reaches p; null for a null or negative rate.
+def poisson_quantile(rate: Column, p: float, exact_to: float = 1e10) -> Column:
+    """Smallest count whose Poisson cumulative probability reaches p, as a long; null for a null, negative or infinite rate and for rates beyond a long.
 
-    One rule for every rate: probabilities start in log space thirteen deviations under the rate, where less than any double can tell
-    is left out, and are added up from there. It runs in Arrow batches; apply it to a table of rates, not to the rows behind them.
+    Probabilities are products of neighbours' ratios from thirteen deviations under the rate to thirteen over it, outside of which there is less than a double can tell,
+    scaled by their sum, so no logarithm of a factorial is rounded. Above ``exact_to``, where one count is less than 1e-5 deviations, the normal
+    quantile with the skewness term gives the count. It runs in Arrow batches; apply it to a table of rates, not to the rows behind them.
     """
-    from math import lgamma, log, sqrt
+    from math import ceil, isfinite, sqrt
+    from statistics import NormalDist
 
-    @F.pandas_udf(T.IntegerType())
+    z = NormalDist().inv_cdf(p)
+
+    @F.pandas_udf(T.LongType())
     def quantile(rates: pd.Series) -> pd.Series:
         def one(x):
-            if x is None or not x >= 0:
+            if not x >= 0 or not isfinite(x) or x > 9e18:
                 return None
-            if x == 0:
-                return 0
-            lo, hi = max(0, int(x - 13 * sqrt(x) - 13)), int(x + 13 * sqrt(x) + 13)
-            k = np.arange(lo + 1, hi + 1)
-            logs = np.concatenate([[lo * log(x) - x - lgamma(lo + 1)], np.log(x / k)]).cumsum()
-            return lo + int(np.searchsorted(np.exp(logs).cumsum(), p))
-
-        return rates.map(one, na_action="ignore").astype("Int32")
+            if x > exact_to:
+                return ceil(x + z * sqrt(x) + (z * z - 1) / 6 - 0.5)
+            lo, hi = max(0, int(x - 13 * sqrt(x) - 13)), int(x + 13 * sqrt(x) + 40)
+            logs = np.concatenate([[0.0], np.log(np.maximum(x, 1e-300) / np.arange(lo + 1, hi + 1)).cumsum()])
+            mass = np.exp(logs - logs.max()).cumsum()
+            return lo + int(np.searchsorted(mass, p * mass[-1]))
+
+        return pd.Series([None if pd.isna(x) else one(x) for x in rates], dtype="Int64")
 
     return quantile(rate.cast("double"))
 

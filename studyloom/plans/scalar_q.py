@@ -250,7 +250,7 @@ def _vec(t, *extra):
 @query("x18_row_mean", f"""
 with v as (select vec_id, {_VEC} a from embeddings),
      s as (select vec_id, list_filter(a[1:7], lambda x: x is not null) p, list_filter(a[9:18], lambda x: x is not null) q,
-                  list_filter(a[1:18], lambda x: x is not null) w from v)
+                  list_filter(a, lambda x: x is not null) w from v)
 select vec_id, round(case when len(p) >= 7 then list_avg(p) end, 6) as domain_1,
        round(case when len(q) >= 9 then list_avg(q) end, 6) as domain_2, round(list_avg(w), 6) as overall from s
 """)
@@ -258,7 +258,7 @@ def x18(t):
     a = F.col("a")
     return _vec(t).select("vec_id", r6(A.row_mean(F.slice(a, 1, 7), 7)).alias("domain_1"),
                           r6(A.row_mean(F.slice(a, 9, 10), 9)).alias("domain_2"),
-                          r6(A.row_mean(F.slice(a, 1, 18), 1)).alias("overall"))
+                          r6(A.row_mean(a, 1)).alias("overall"))
 
 
 @query("x19_row_statistics", f"""

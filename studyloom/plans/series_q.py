@@ -206,7 +206,7 @@ def a37c(t):
 @query("a38_poisson_interval", _SER + """
 , mr as (select priority, month(month) month_no, avg(n) rate from s group by 1, 2), k as (select unnest(range(0, 400)) k),
  c as (select priority, month_no, rate, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) over (partition by priority, month_no order by k) cdf from mr cross join k)
-select priority, cast(month_no as integer) as month_no, round(any_value(rate), 6) as rate, cast(min(k) filter (cdf >= 0.1) as integer) as low, cast(min(k) filter (cdf >= 0.9) as integer) as high from c group by 1, 2
+select priority, cast(month_no as integer) as month_no, round(any_value(rate), 6) as rate, min(k) filter (cdf >= 0.1) as low, min(k) filter (cdf >= 0.9) as high from c group by 1, 2
 """)
 def a38(t):
     m = series(t).groupBy("priority", F.month("month").alias("month_no")).agg(F.avg("n").alias("rate"))

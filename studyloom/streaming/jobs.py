@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,20 +34,30 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
 def ingest_unseen(stream: DataFrame, content: Column, store: str, checkpoint: str, ident: str) -> StreamingQuery:
     """Keep the first row of every content hash ever seen, however late it comes; rows without content are left out.
 
-    ``store`` holds one folder per batch with the new rows and their hashes. A batch is compared with the batches before it, and written over
-    under its own number, so a batch repeated after a failure, and a restart, add nothing twice. In a batch the least ``ident`` wins.
+    The store is its own record of what is known: one folder per query, batch and first digit of the hash. A query's id lives in its checkpoint, so a batch repeated
+    after a failure writes over its own folder, while a query with a new or lost checkpoint has a folder of its own and can write over nobody's rows.
+    Every batch, the first one too, is compared with all the store holds but its own folder; only the hashes are read, and only
+    those of the digits that the batch has. In a batch the least ``ident`` wins.
     """
     spark = stream.sparkSession
     rows = stream.where(content.isNotNull()).withColumn("content_hash", F.sha2(content, 256))
     schema = rows.schema
+    # an empty folder, so that there is something to read from the start
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{store}/query=none/batch=-1/bucket=0")
+    own: list[str] = []
 
     def add(batch: DataFrame, number: int) -> None:
+        if not own:
+            own.append(json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"])
         cols = batch.columns
-        first = batch.groupBy("content_hash").agg(F.min_by(F.struct(*cols), ident).alias("r")).select("r.*")
-        if number:
-            known = stored(spark, store, schema).where(F.col("batch") < number).select("content_hash")
-            first = first.join(known, "content_hash", "left_anti").select(*cols)
-        first.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        first = batch.groupBy("content_hash").agg(F.min_by(F.struct(*cols), ident).alias("r")).select("r.*").withColumn("bucket", F.substr("content_hash", F.lit(1), F.lit(1)))
+        first = first.persist()
+        try:
+            digits = [r["bucket"] for r in first.select("bucket").distinct().collect()]
+            known = stored(spark, store, schema).where(F.col("bucket").isin(digits) & ~((F.col("query") == own[0]) & (F.col("batch") == number))).select("content_hash")
+            first.join(known, "content_hash", "left_anti").select(*cols, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/query={own[0]}/batch={number}")
+        finally:
+            first.unpersist()
 
     q = rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -54,8 +65,9 @@ def ingest_unseen(stream: DataFrame, content: Column, store: str, checkpoint: st
 
 
 def stored(spark: SparkSession, store: str, schema) -> DataFrame:
-    """Rows of an inbox store with their batch number."""
-    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).option("basePath", store).parquet(store)
+    """Rows of an inbox store with the id of the query, the batch number and the hash's first digit."""
+    own = [T.StructField("query", T.StringType()), T.StructField("batch", T.LongType()), T.StructField("bucket", T.StringType())]
+    return spark.read.schema(T.StructType([*schema.fields, *own])).option("basePath", store).parquet(store)
 
 
 def windowed_volume(stream: DataFrame, at: str, keys: list[str], size: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
