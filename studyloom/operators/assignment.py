@@ -7,10 +7,12 @@ pool, sorted by Spark and streamed through a small state, so no pool is held in
 
 from __future__ import annotations
 
+import pickle
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,32 +111,105 @@ def _pick(seed: int, case, member: str) -> int:
     return zlib.crc32(f"{seed}|{case}|{member}".encode())
 
 
+class _Edge:
+    """What a block's rows of one pool come to: picks per member, and the members that could be picked. ``entry`` are the loads they were made from."""
+
+    def __init__(self, entry: dict[str, int], picks: dict[str, int], members: list[str]):
+        self.entry, self.picks, self.members = entry, picks, members
+
+    def holds_for(self, entry: dict[str, int]) -> bool:
+        """Choices compare loads, so loads that are higher by one number for everybody leave them as they are."""
+        return len({entry.get(m, 0) - self.entry.get(m, 0) for m in self.members}) <= 1
+
+
 def workload_fold(cases: DataFrame, choices: DataFrame, pool: list[str], order: list[str], seed: int) -> DataFrame:
     """In case order, ties go to the member with the fewest assignments so far, then to a seeded hash.
 
-    Every case of a pool, decided or not, adds to the workload. The hash stands for a random draw.
+    Every case of a pool, decided or not, adds to the workload. The hash stands for a random draw. ``order`` ends in a unique column.
+
+    Sorted cases are cut into blocks, whatever their pool. A pool inside a block is folded there. For pools that go on in the next block, all blocks are folded side by side
+    from a guessed workload; then each is handed the loads its predecessors end with, and only blocks in which these favour other members than the guess
+    did run again, until nothing changes. Each round settles at least one more block of a pool. The driver holds the loads at block edges, one number per member.
     """
-    df = cases.select("case_id", *pool, *order).join(choices, "case_id").select(*pool, "case_id", *[o for o in order if o != "case_id"], "stage", "tied")
-    names = df.columns
-    ci, si, ti = names.index("case_id"), names.index("stage"), names.index("tied")
-    np_ = len(pool)
+    from ..scale import BLOCK
+    from ..session import checkpoint_dir
 
-    def step(load: dict, row: tuple) -> list[tuple]:
-        tied = list(row[ti])
-        if len(tied) == 1 and row[si] != "BLANK":
-            who, rule = tied[0], row[si]
+    spark = cases.sparkSession
+    checkpoint_dir(spark)
+    df = cases.select("case_id", *pool, *order).join(choices, "case_id").select(*pool, "case_id", *[o for o in order if o != "case_id"], "stage", "tied")
+    by = [*pool, *order]
+    key = F.struct(*pool)
+    named = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_pool", F.to_json(key))
+    blocks = named.select(*pool, "case_id", "_pool", "stage", "tied", F.spark_partition_id().alias(BLOCK)).checkpoint()
+    bounds = {r[BLOCK]: (r["lo"], r["hi"]) for r in blocks.groupBy(BLOCK).agg(F.min_by("_pool", key).alias("lo"), F.max_by("_pool", key).alias("hi")).collect()}
+    line = sorted(bounds)
+    follows = {b: a for a, b in zip(line, line[1:]) if bounds[a][1] == bounds[b][0]}  # block -> the one whose last pool goes on in it
+
+    def choose(row: dict, load: dict[str, int]) -> tuple[str, str, int]:
+        tied = row["tied"]
+        if len(tied) == 1 and row["stage"] != "BLANK":
+            who, rule = tied[0], row["stage"]
         else:
             low = min(load.get(m, 0) for m in tied)
             left = [m for m in tied if load.get(m, 0) == low]
-            who = min(left, key=lambda m: (_pick(seed, row[ci], m), m))
-            rule = f"{row[si]} {'random' if len(left) > 1 else 'workload'}"
+            who = min(left, key=lambda m: (_pick(seed, row["case_id"], m), m))
+            rule = f"{row['stage']} {'random' if len(left) > 1 else 'workload'}"
         before = load.get(who, 0)
         load[who] = before + 1
-        return [(*row[:np_], row[ci], who, rule, before)]
+        return who, rule, before
+
+    def edge_folds(todo: dict[tuple[int, str], dict[str, int]]) -> dict[tuple[int, str], _Edge]:
+        """Fold the rows of the given blocks and pools from the given loads."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            done: dict[tuple[int, str], tuple[dict, dict, set]] = {}
+            for batch in batches:
+                for row in batch.to_pylist():
+                    at = (row[BLOCK], row["_pool"])
+                    if at in todo:
+                        load, picks, members = done.setdefault(at, (dict(todo[at]), {}, set()))
+                        who, _, _ = choose(row, load)
+                        picks[who] = picks.get(who, 0) + 1
+                        members.update(row["tied"])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((at, picks, sorted(members))) for at, (_, picks, members) in done.items()], pa.binary())], names=["edge"])
+
+        wanted = F.col(BLOCK).isin(sorted({b for b, _ in todo})) & F.col("_pool").isin(sorted({k for _, k in todo}))
+        found = [pickle.loads(r["edge"]) for r in blocks.where(wanted).mapInArrow(run, "edge binary").collect()]
+        return {at: _Edge(todo[at], picks, members) for at, picks, members in found}
+
+    # every pool that crosses an edge, in every block it has rows in
+    crossing = {at for b, a in follows.items() for at in ((a, bounds[a][1]), (b, bounds[b][0]))}
+    entry: dict[int, dict[str, int]] = {}
+    edges = edge_folds({at: {} for at in crossing}) if crossing else {}
+    while crossing:
+        again = {}
+        for b in line:
+            if b not in follows:
+                continue
+            before = edges[follows[b], bounds[b][0]]
+            # a block that is one pool from end to end adds to the loads it was handed
+            start = entry.get(follows[b], {}) if bounds[follows[b]][0] == bounds[b][0] else {}
+            entry[b] = {m: start.get(m, 0) + before.picks.get(m, 0) for m in {*start, *before.picks}}
+            if not edges[b, bounds[b][0]].holds_for(entry[b]):
+                again[b, bounds[b][0]] = entry[b]
+        if not again:
+            break
+        edges |= edge_folds(again)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, load = None, {}
+        for batch in batches:
+            made = []
+            for row in batch.to_pylist():
+                at = (row[BLOCK], row["_pool"])
+                if at != current:
+                    current, load = at, dict(entry.get(at[0], {})) if at[1] == bounds[at[0]][0] else {}
+                made.append(choose(row, load))
+            who, rule, before = zip(*made) if made else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(pool) + 1], pa.array(who, pa.string()), pa.array(rule, pa.string()), pa.array(before, pa.int64())],
+                                             names=[*pool, "case_id", "member", "rule", "load_before"])
 
     kinds = dict(df.dtypes)
-    schema = ", ".join([f"{p} {kinds[p]}" for p in pool] + [f"case_id {kinds['case_id']}", "member string", "rule string", "load_before long"])
-    return ordered_fold(df, pool, [F.col(o) for o in order], schema, dict, step)
+    return blocks.mapInArrow(assign, ", ".join([f"`{p}` {kinds[p]}" for p in pool] + [f"case_id {kinds['case_id']}", "member string", "rule string", "load_before long"]))
 
 
 def assignment_checks(cases: DataFrame, trace: DataFrame, assigned: DataFrame, choices: DataFrame, pool: list[str], order: list[str]) -> DataFrame:
