@@ -45,10 +45,53 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return j.where((F.col("start_a") < F.col("end_b")) & (F.col("start_b") < F.col("end_a")) & (F.col("_day") == first)).drop("_day")
 
 
+def _there(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Intervals with a key and an end that is not before the start; others meet nothing."""
+    out = F.col("start") <= F.col("end")
+    for k in keys:
+        out = out & F.col(k).isNotNull()
+    return df.where(out)
+
+
+def overlap_counts(windows: DataFrame, busy: DataFrame, keys: list[str], ident: str) -> DataFrame:
+    """How many busy intervals each window overlaps, as (keys, ident, n), without a pair.
+
+    What overlaps a window has started before its end and not ended by its start: the starts before the one less the ends up to the other. Both are
+    running counts along one order of all edges, cut into blocks, so neither a crowded key nor a crowded day is one task.
+    """
+    w, b = _there(windows, keys), _there(busy, keys)
+    none, zero = F.lit(None).cast(dict(windows.dtypes)[ident]), F.lit(0).cast("long")
+    one = F.lit(1).cast("long")
+
+    def edge(df: DataFrame, at: str, rank: Column, who: Column, starts: Column, ends: Column) -> DataFrame:
+        return df.select(*keys, F.col(at).alias("_at"), rank.alias("_rank"), who.alias("_who"), starts.alias("_starts"), ends.alias("_ends"))
+
+    empty = F.col("start") == F.col("end")
+    # at one time: ends, windows' starts, windows' ends, starts of empty intervals, ends of empty windows, starts
+    line = (edge(b, "end", F.lit(0), none, zero, one).unionByName(edge(w, "start", F.lit(1), F.col(ident), zero, zero))
+            .unionByName(edge(w, "end", F.when(empty, 4).otherwise(2), F.col(ident), zero, zero)).unionByName(edge(b, "start", F.when(empty, 3).otherwise(5), none, one, zero)))
+    order = [F.col("_at"), F.col("_rank"), F.col("_who")]
+    run = running(ordered_blocks(line, keys, order), keys, order, _started=("sum", F.col("_starts")), _ended=("sum", F.col("_ends")))
+    seen = F.when(F.col("_rank") == 1, -F.col("_ended")).otherwise(F.col("_started"))
+    return run.where(F.col("_rank").isin(1, 2, 4)).groupBy(*keys, F.col("_who").alias(ident)).agg(F.sum(seen).alias("n"))
+
+
 def contained(a: DataFrame, merged: DataFrame, keys: list[str], ident: str) -> DataFrame:
-    """Ids of windows wholly inside the union, given its merged intervals."""
-    j = overlap_join(a.select(*keys, ident, "start", "end"), merged.select(*keys, "start", "end"), keys)
-    return j.where((F.col("start_b") <= F.col("start_a")) & (F.col("end_a") <= F.col("end_b"))).select(*keys, ident)
+    """Ids of windows wholly inside the union, given its merged intervals.
+
+    Merged intervals end in the order of their starts, so of all that start by a window's start the latest end decides; it is a running maximum.
+    """
+    w, m = _there(a, keys), _there(merged, keys)
+    end = dict(a.dtypes)["end"]
+    none = F.lit(None).cast(dict(a.dtypes)[ident])
+    # an empty window must lie strictly inside, so it stands before a start at its time
+    rank = F.when(F.col("end") > F.col("start"), 1).otherwise(-1)
+    line = m.select(*keys, F.col("start").alias("_at"), F.lit(0).alias("_rank"), none.alias("_who"), F.lit(None).cast(end).alias("_until"), F.col("end").cast(end).alias("_reach")).unionByName(
+        w.select(*keys, F.col("start").alias("_at"), rank.alias("_rank"), F.col(ident).alias("_who"), F.col("end").alias("_until"), F.lit(None).cast(end).alias("_reach")))
+    order = [F.col("_at"), F.col("_rank"), F.col("_who"), F.col("_until")]
+    run = running(ordered_blocks(line, keys, order), keys, order, _latest=("max", F.col("_reach")))
+    inside = (F.col("_rank") != 0) & (F.col("_until") <= F.col("_latest")) & (F.col("_at") < F.col("_latest"))
+    return run.where(inside).select(*keys, F.col("_who").alias(ident))
 
 
 def working_days(keys_df: DataFrame, keys: list[str], first_day: str, last_day: str, start_hour: float = WORK_START_HOUR,
@@ -93,7 +136,7 @@ def latest_snapshot(snapshots: DataFrame, people: DataFrame, key: str, at: str,
 
 def evidence(windows: DataFrame, busy: DataFrame, snapshot: DataFrame, keys: list[str], ident: str, inside_hours: Column) -> DataFrame:
     """Conflict, clear or insufficient for each person and window; no evidence is never free."""
-    hit = overlap_join(windows.select(*keys, ident, "start", "end"), busy.select(*keys, "start", "end"), keys).groupBy(*keys, ident).agg(F.count(F.lit(1)).alias("conflicts"))
+    hit = overlap_counts(windows, busy, keys, ident).withColumnRenamed("n", "conflicts")
     j = windows.join(snapshot.select(*keys, "sync_ok"), keys, "left").join(hit, [*keys, ident], "left")
     state = (F.when(~F.coalesce("sync_ok", F.lit(False)), "insufficient").when(F.col("conflicts") > 0, "conflict")
              .when(~inside_hours, "insufficient").otherwise("clear"))
@@ -112,7 +155,7 @@ def resource_checks(visits: DataFrame, offered: DataFrame, shifts: DataFrame, la
     for name, cal in (("offered", offered), ("shift", shifts)):
         inside = contained(visits, cal, [key], ident).select(key, ident, F.lit(True).alias(f"_in_{name}"))
         out = out.join(inside, [key, ident], "left")
-    taken = overlap_join(visits.select(key, ident, "start", "end"), lab.select(key, "start", "end"), [key]).groupBy(key, ident).agg(F.lit(True).alias("_taken"))
+    taken = overlap_counts(visits, lab, [key], ident).where("n > 0").select(key, ident, F.lit(True).alias("_taken"))
     out = out.join(taken, [key, ident], "left")
 
     def verdict(skip, has, ok):
