@@ -46,5 +46,13 @@ def batch(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def free(name: str, columns: list[str]) -> str:
+    """The name, with underscores until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(col: str) -> Column:
     return F.coalesce(F.col(f"`{col}`").cast("string"), F.lit(""))

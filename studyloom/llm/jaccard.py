@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows, small_batches, written
+from .common import free, rows, small_batches, written
 from .links import components
 
 #: N-gram length, and the threshold 100 * intersection >= 75 * union.
@@ -497,18 +497,19 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", til
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
-    """Whole rows, one of each group of near copies: that with the least doc_id, null last, then the least class. Texts without words all stay."""
+    """Whole rows, one of each group of near copies: that with the least doc_id, null last, then the least class. Texts without words all stay. Columns of any name may stand beside."""
+    cls, best_id, best_cls = (free(n, docs.columns) for n in ("_class", "_best_id", "_best"))
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     blank = F.btrim(body, F.lit(" \t\n\x0b\x0c\r")) == ""
     spoken = docs.where(~blank)
     rows_ = grouped(spoken.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")), tile)
-    best = rows_.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "cls")).alias("b")).select(F.col("b.doc_id").alias("_best_id"), F.col("b.cls").alias("_best"))
+    best = rows_.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "cls")).alias("b")).select(F.col("b.doc_id").alias(best_id), F.col("b.cls").alias(best_cls))
     at = spoken.columns.index(text)
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([class_of(ngram_set(t.as_py())) for t in b.column(at)], pa.int64())], names=[*b.schema.names, "_class"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([class_of(ngram_set(t.as_py())) for t in b.column(at)], pa.int64())], names=[*b.schema.names, cls])
 
-    tagged = spoken.mapInArrow(tag, T.StructType([*spoken.schema.fields, T.StructField("_class", T.LongType())]))
-    kept = tagged.join(best, (tagged["_class"] == F.col("_best")) & tagged[doc_id].cast("long").eqNullSafe(F.col("_best_id")), "left_semi")
-    return kept.dropDuplicates(["_class"]).drop("_class").unionByName(docs.where(blank))
+    tagged = spoken.mapInArrow(tag, T.StructType([*spoken.schema.fields, T.StructField(cls, T.LongType())]))
+    kept = tagged.join(best, (tagged[cls] == F.col(best_cls)) & tagged[doc_id].cast("long").eqNullSafe(F.col(best_id)), "left_semi")
+    return kept.dropDuplicates([cls]).drop(cls).unionByName(docs.where(blank))

@@ -47,3 +47,14 @@ def test_odd_rows(spark, texts):
         assert stage(spark, docs, SF).columns == docs.columns
         assert stage(spark, docs.where("false"), SF).collect() == []
     assert P.near_copies(spark, docs.where("false"), SF).collect() == []
+
+
+def test_clashing_columns_keep_their_values(spark, texts):
+    """Input columns named like those that stages make for themselves."""
+    rows = [(i, t, "en", "s", 0, 7.0 + i, "mine", 5, -i, "x") for i, t in enumerate([*texts, "one two three four five six seven"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, _class long, _best_id long, _best string")
+    for stage in (P.language, P.near_copies, P.decontamination, P.personal_data):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all((r.score, r.lang_pred, r["_class"], r["_best_id"], r["_best"]) == (7.0 + r.doc_id, "mine", 5, -r.doc_id, "x") for r in got)
