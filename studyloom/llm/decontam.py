@@ -146,13 +146,13 @@ def build(items: list[tuple[int, str]], block: int = 16, passage: int = PASSAGE,
                  least, block, np.array([least[b * block:(b + 1) * block].min() for b in range(blocks)]), questions, answers, wholes, max(passage, 2 * max(map(len, docs), default=0)))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", round_items: int = 20_000, whole: bool = False) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", round_items: int = 20_000, whole: bool = True) -> DataFrame:
     """Rows (doc_id, item_id, score, question_overlap, answer_overlap) for every document and item it repeats; the best of its passages.
 
     A passage repeats an item if it holds three quarters of the question's word 5-grams and of the answer's different words. Case and
     punctuation do not count. Null or empty texts, and items without a word, match nothing. Repeated rows match alike, each on its own.
-    A question of fewer than five words is one n-gram of its own length, which only a passage as short can hold. With ``whole``, the n-grams
-    of the whole item also count as those of such a question, and an item of fewer than five words is one n-gram looked for in any passage.
+    A question of fewer than five words is one n-gram of its own length, which only a passage as short can hold. So the n-grams
+    of the whole item also count as those of such a question, and an item of fewer than five words is one n-gram looked for in any passage; not so without ``whole``.
     ``round_items`` bounds the items indexed at a time; word statistics are those of the round and do not decide.
     """
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -210,15 +210,15 @@ def _search(held):
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", round_items: int = 20_000) -> DataFrame:
-    """The rows that repeat no item, those with short questions whole; each row is judged on its own. Rows without an id are kept, since nothing names them."""
-    id_at, text_at = docs.columns.index(doc_id), docs.columns.index(text)
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", round_items: int = 20_000) -> DataFrame:
+    """The rows that repeat no item, those with short questions whole; each row is judged on its own text, also without an id. Null and empty texts stay."""
+    text_at = docs.columns.index(text)
 
     def drop(held):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index: Index = held.value
             for b in batches:
-                yield b.filter(pa.array([i is None or not repeated(index, t) for i, t in zip(b.column(id_at).to_pylist(), b.column(text_at).to_pylist())], pa.bool_()))
+                yield b.filter(pa.array([not repeated(index, t.as_py()) for t in b.column(text_at)], pa.bool_()))
 
         return run
 

@@ -97,22 +97,25 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
 
 
-#: Question and answer of each item, windows of each document, and the share of both that a window holds.
+#: Question and answer of each item, windows of each document, and the share of both that a window holds. An item with a question
+#: of fewer than five words is also looked for whole, by n-grams of five words or, if it is shorter, of its own length.
 OP10_SQL = r"""
 with b as (select item_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) t from benchmark where text is not null),
-cut as (select *, case when contains(t, chr(10)) then chr(10) else '. ' end mark from b),
-qa as (select item_id, case when pos > 0 then left(t, (length(t) - pos - length(mark) + 1)::int) else t end q, case when pos > 0 then right(t, (pos - 1)::int) else '' end a
-  from (select *, instr(reverse(t), reverse(mark)) pos from cut)),
-qw as (select item_id, regexp_extract_all(lower(q), '[\p{L}\p{N}_]+') w, list_distinct(regexp_extract_all(lower(a), '[\p{L}\p{N}_]+')) a from qa),
-qg as (select item_id, a, list_distinct(list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(w[i:i+4], ' '))) g from qw where len(w) > 0),
+c as (select *, instr(reverse(t), reverse(mark)) pos from b, (values (1, chr(10)), (2, '. '), (3, '? '), (4, '! ')) x(k, mark)),
+hq as (select item_id, k, left(t, (length(t) - pos - length(mark) + 1)::int) q, right(t, (pos - 1)::int) a from c where pos > 0),
+cut as (select item_id, arg_min(q, k) q, arg_min(a, k) a from hq where regexp_matches(q, '[\p{L}\p{N}_]') and regexp_matches(a, '[\p{L}\p{N}_]') group by item_id),
+qa as (select b.item_id, b.t, coalesce(q, t) q, coalesce(a, '') a from b left join cut using (item_id)),
+qw as (select item_id, regexp_extract_all(lower(q), '[\p{L}\p{N}_]+') w, regexp_extract_all(lower(t), '[\p{L}\p{N}_]+') whole, list_distinct(regexp_extract_all(lower(a), '[\p{L}\p{N}_]+')) a from qa),
+parts as (select item_id, 'question' part, 5 n, w from qw where len(w) > 0 union all select item_id, 'whole', least(5, len(whole)), whole from qw where len(w) between 1 and 4),
+ig as (select item_id, part, n, len(g) size, unnest(g) g from (select *, list_distinct(list_transform(range(1, greatest(2, len(w) - n + 2)), lambda i: array_to_string(w[i:i+n-1], ' '))) g from parts)),
 big as (select greatest(1024, 2 * max(len(regexp_extract_all(lower(t), '[\p{L}\p{N}_]+')))) w from b),
 d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') w, big.w size from documents, big where text is not null),
 p as (select doc_id, unnest(range(0, greatest(1, len(w) - size // 2), size // 2)) s, w, size from d),
 pw as (select doc_id, s, w[s+1:s+size] w from p),
-pg as (select distinct doc_id, s, unnest(list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(w[i:i+4], ' '))) g from pw),
-ig as (select item_id, len(g) n, unnest(g) g from qg),
-h as (select doc_id, s, item_id, count(*) / any_value(n) q from pg join ig using (g) group by all having 100 * count(*) >= 75 * any_value(n)),
-v as (select doc_id, item_id, q, case when len(a) = 0 then 1.0::double else len(list_intersect(a, pw.w)) / len(a) end a from h join pw using (doc_id, s) join qg using (item_id))
+pg as (select distinct doc_id, s, n, unnest(list_transform(range(1, greatest(2, len(w) - n + 2)), lambda i: array_to_string(w[i:i+n-1], ' '))) g from pw, (select distinct n from ig)),
+h as (select doc_id, s, item_id, part, count(*) / any_value(size) q from pg join ig using (n, g) group by all having 100 * count(*) >= 75 * any_value(size)),
+best as (select doc_id, s, item_id, max(q) q from h group by doc_id, s, item_id),
+v as (select doc_id, item_id, q, case when len(a) = 0 then 1.0::double else len(list_intersect(a, pw.w)) / len(a) end a from best join pw using (doc_id, s) join qw using (item_id))
 select doc_id, item_id, max(struct_pack(q := q, a := a)).q question_overlap, max(struct_pack(q := q, a := a)).a answer_overlap from v where 100 * a >= 75 group by doc_id, item_id
 """
 

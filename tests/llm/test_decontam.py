@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 from check import canonical
 
@@ -104,7 +105,7 @@ def test_rows(spark, texts):
     assert got == sorted([("100", 1), ("100", 5)] * 2 + [("None", 1), ("None", 5)])
     assert sorted((str(r.doc_id), r.item_id) for r in D.leaks(docs, bench, round_items=1).collect()) == got
     assert D.leaks(docs, bench.where("false")).collect() == [] and D.leaks(docs.where("false"), bench).collect() == []
-    assert D.clean(docs, bench).count() == len(rows) - 2
+    assert D.clean(docs, bench).count() == len(rows) - 3  # the leak without an id goes too
 
 
 def test_query(spark, duck):
@@ -115,6 +116,45 @@ def test_query(spark, duck):
     assert want and canonical([tuple(r) for r in df.collect()], df.columns) == canonical(want, cols)
 
 
+def test_query_and_twin_on_hand_made_items(spark):
+    """Short questions, items under five words and cuts at question and exclamation marks, against the plain version."""
+    items = [(1, "The nt rewh. Thin onwhhe ha rest thesreti thansh in er"), (2, "short item here"), (3, "alpha beta gamma delta epsilon zeta? Paris"), (4, "one two three four five six seven! yes indeed"),
+             (5, "what is asked in this line\nthe answer. With two ends"), (6, "... \n tail words of an item without a head"), (7, "lone")]
+    fill = " ".join(f"f{i}" for i in range(700))
+    docs = [(1, f"{fill} the nt rewh thin onwhhe ha rest thesreti thansh in er {fill}"), (2, f"{fill} short item here"), (3, "alpha beta gamma delta epsilon zeta something Paris"), (4, "alpha beta gamma delta epsilon zeta"),
+            (5, "one two three four five six seven yes indeed"), (6, f"{fill} What is asked in this line: the answer, with two ends {fill}"), (7, "tail words of an item without a head"), (8, "a lone word"), (9, None), (10, ""), (11, fill), (12, "the nt rewh")]
+    got = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).drop("score")
+    con = duckdb.connect()
+    for name, ident, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", items)):
+        con.execute(f"create table {name} ({ident} bigint, text varchar)")
+        con.executemany(f"insert into {name} values (?, ?)", rows)
+    cur = con.execute(SQL["op10_benchmark_leaks"])
+    cols = [d[0] for d in cur.description]
+    found = [tuple(r) for r in got.collect()]
+    assert canonical(found, got.columns) == canonical(cur.fetchall(), cols)
+    assert {r[:2] for r in found} == {(i, k) for i, t in docs for k in plain_whole(t, items, D.PASSAGE)} == {(1, 1), (2, 2), (3, 3), (5, 4), (6, 5), (7, 6), (8, 7)}
+
+
+def test_skipped_blocks_are_not_read():
+    """Weights of blocks under their bound are poisoned; the search neither reads nor needs them."""
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choices(vocab, k=30))) for i in range(200)]
+    index = D.build(items, block=4, passage=64, whole=True)
+    kept, skipped = index.weights.copy(), 0
+    for i in range(50):
+        words = D.words_of(items[i * 4][1]) + rng.choices(vocab, k=20)
+        present = np.array(sorted({index.terms[w] for w in words}), np.int64)
+        want = index.search(present)
+        runs = D.ranges(index.word_starts[present], index.word_starts[present + 1])
+        closed = np.bincount(index.run_block[runs], index.run_max[runs], len(index.block_least)) < index.block_least
+        index.weights[closed[index.items // index.block]] = np.nan
+        assert index.search(present) == want and want
+        skipped += int(closed.sum())
+        index.weights[:] = kept
+    assert skipped > 50 * 40
+
+
 def test_rows_are_judged_one_by_one_and_rounds_share_the_window(spark):
     item = "what is the third word of this made up question here\nits answer names one"
     long = " ".join(f"l{i}" for i in range(900)) + "\nits end"
