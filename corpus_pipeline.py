@@ -6,7 +6,7 @@
 4. ``personal_data`` replaces personal data in the texts and sets n_chars anew.
 5. ``packing`` packs the texts' tokens into sequences, one row per piece.
 
-Nulls: a null text has no letter, so stage 1 drops it; a null doc_id passes all stages. Empty tables pass as such.
+Nulls: a null text has no letter, so stage 1 drops it; a row without doc_id is judged by its text like any other. Empty tables pass as such.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that repeat no benchmark item anywhere in their text; each row is judged by itself, repeated ones alike. Null and empty texts stay."""
+    """Rows that repeat no benchmark item anywhere in their text; each row is judged by itself, repeated ones and those without an id alike. Null and empty texts stay."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
