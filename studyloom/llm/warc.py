@@ -127,42 +127,117 @@ def members(content: bytes, step: int = 1 << 16) -> Iterator[bytes]:
         yield b"".join(out)
 
 
+def _number(fields: dict[str, str], name: str) -> int | None:
+    value = fields.get(name, "")
+    return int(value) if re.fullmatch("[0-9]+", value) else None
+
+
+def _fields(lines: list[bytes]) -> dict[str, str]:
+    """Header fields by lower-case name; a line that starts with white space goes on with the one before."""
+    out: dict[str, str] = {}
+    name = ""
+    for line in lines:
+        if line[:1] in (b" ", b"\t") and name:
+            out[name] += " " + line.strip().decode("utf-8", "replace")
+        else:
+            key, _, value = line.partition(b":")
+            name = key.strip().lower().decode("utf-8", "replace")
+            out[name] = value.strip().decode("utf-8", "replace")
+    return out
+
+
+def _agrees(stated: str, data: bytes) -> bool | None:
+    """Whether a stated digest is that of the data; None for an algorithm or spelling that is not checked."""
+    kind, _, value = stated.partition(":")
+    name = {"sha1": "sha1", "sha-1": "sha1", "sha256": "sha256", "sha-256": "sha256", "md5": "md5"}.get(kind.lower())
+    if name is None:
+        return None
+    raw = hashlib.new(name, data).digest()
+    if len(value) == 2 * len(raw):
+        return value.lower() == raw.hex()
+    return value.upper().rstrip("=") == base64.b32encode(raw).decode().rstrip("=")
+
+
+def _bare(stated: str | None) -> str | None:
+    """A stated SHA-1 as bare base32, or None."""
+    kind, _, value = (stated or "").partition(":")
+    if kind.lower() not in ("sha1", "sha-1"):
+        return None
+    return base64.b32encode(bytes.fromhex(value)).decode() if re.fullmatch("[0-9a-fA-F]{40}", value) else value.upper()
+
+
 def parse_record(data: bytes) -> dict:
-    """Fields of one record; Content-Length frames the block, digests are computed anew and compared."""
+    """Fields of one record of any type; Content-Length frames the block, digests are computed anew and compared.
+
+    HTTP blocks are cut into head and payload; of other blocks all is payload. ``digest_ok`` is null if the record states nothing
+    that could be checked. Without a stated SHA-1 the computed one is given. A revisit's size and digest are those it states, or null.
+    """
     head, sep, rest = data.partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
     if not sep or not lines[0].startswith(b"WARC/1."):
         raise ValueError("not a WARC record")
-    fields = {k.strip().lower().decode(): v.strip().decode("utf-8") for k, _, v in (x.partition(b":") for x in lines[1:])}
-    length = int(fields["content-length"])
+    fields = _fields(lines[1:])
+    length = _number(fields, "content-length")
+    if length is None:
+        raise ValueError("record without Content-Length")
     block = rest[:length]
     if len(block) != length or rest[length:] != b"\r\n\r\n":
         raise ValueError("record does not end where Content-Length says")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    claimed = fields["warc-payload-digest"].removeprefix("sha1:")
-    ok = fields["warc-block-digest"] == f"sha1:{sha1_base32(block)}"
-    size = int(re.search(rb"(?mi)^content-length: *([0-9]+)", http)[1])
-    revisit = fields["warc-type"] == "revisit"
+    kind = fields.get("warc-type", "unknown").lower()
+    revisit, size, payload = kind == "revisit", None, block
+    if block.startswith(b"HTTP/") or fields.get("content-type", "").lower().startswith("application/http"):
+        http, _, payload = block.partition(b"\r\n\r\n")
+        http_fields = _fields(http.split(b"\r\n")[1:])
+        # a coded transfer has no length of its own
+        size = None if "transfer-encoding" in http_fields else _number(http_fields, "content-length")
+    stated = fields.get("warc-payload-digest")
+    found = [_agrees(fields["warc-block-digest"], block) if "warc-block-digest" in fields else None]
     if not revisit:
-        ok = ok and size == len(payload) and claimed == sha1_base32(payload)
-    return {"page_id": _page_of(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "payload": None if revisit else payload, "payload_bytes": size,
-            "payload_digest": claimed, "record_type": fields["warc-type"], "refers_to": _page_of(fields["warc-refers-to"]) if revisit else None, "digest_ok": ok}
+        found += [_agrees(stated, payload) if stated else None, size == len(payload) if size is not None and kind == "response" else None]
+    found = [x for x in found if x is not None]
+    return {"page_id": _page_of(fields.get("warc-record-id", "")), "url": fields.get("warc-target-uri"), "payload": None if revisit else payload,
+            "payload_bytes": size if revisit else len(payload), "payload_digest": _bare(stated) or (None if revisit else sha1_base32(payload)),
+            "record_type": kind, "refers_to": _page_of(fields.get("warc-refers-to", "")) if revisit else None, "digest_ok": all(found) if found else None}
+
+
+def _damaged(data: bytes | None) -> dict:
+    return {n: None for n in RECORD_SCHEMA.names} | {"payload": data, "payload_bytes": len(data) if data is not None else None, "record_type": "damaged", "digest_ok": False}
+
+
+def records_of(content: bytes, strict: bool = True) -> Iterator[tuple[int, dict]]:
+    """The records of an archive with their inflated sizes; see :func:`read_archives` for ``strict``."""
+    try:
+        for member in members(content):
+            try:
+                record = parse_record(member)
+            except ValueError:
+                if strict:
+                    raise
+                record = _damaged(member)
+            yield len(member), record
+    except (ValueError, zlib.error):
+        if strict:
+            raise
+        yield 0, _damaged(None)
+
 
+def read_archives(archives: DataFrame, strict: bool = True) -> DataFrame:
+    """Read archive rows in sequence, records of any WARC type. A wrong digest shows in ``digest_ok``.
 
-def read_archives(archives: DataFrame) -> DataFrame:
-    """Read archive rows in sequence. Damaged framing fails the task; a wrong digest shows in ``digest_ok``.
+    Damaged framing fails the task; with ``strict`` off, such a record is a row of type ``damaged`` with its bytes as payload, and an archive
+    whose compression breaks off gives what stands before the break and one ``damaged`` row without payload for the rest.
 
     A revisit has no payload of its own: its size and digest are those its record states for the response;
-    :func:`revisit_faults` compares them with the response itself.
+    :func:`revisit_faults` compares them with the response itself. Null and empty archives have no record.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(0):
                 held, size = [], 0
-                for member in members(content.as_py()):
-                    held.append(parse_record(member))
-                    size += len(member)
+                for inflated, record in records_of(content.as_py() or b"", strict):
+                    held.append(record)
+                    size += inflated
                     if size >= 4 << 20:
                         yield batch(RECORD_SCHEMA, [[r[n] for r in held] for n in RECORD_SCHEMA.names])
                         held, size = [], 0
@@ -179,6 +254,6 @@ def revisit_faults(records: DataFrame) -> DataFrame:
     return claims.join(there, ["refers_to", "payload_digest", "payload_bytes"], "left_anti")
 
 
-def read_files(spark, paths: str) -> DataFrame:
-    """Records of ``.warc.gz`` files at a path or glob, one file per row as Spark's binary source reads it."""
-    return read_archives(spark.read.format("binaryFile").load(paths).select("content"))
+def read_files(spark, paths: str, strict: bool = True) -> DataFrame:
+    """Records of ``.warc.gz`` files at a path or glob, one file per row as Spark's binary source reads it (2 GB a file at most)."""
+    return read_archives(spark.read.format("binaryFile").load(paths).select("content"), strict)

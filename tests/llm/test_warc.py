@@ -64,6 +64,46 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in got] == [(1, "response"), (2, "revisit")]
 
 
+def foreign(kind, block, *head):
+    lines = [b"WARC/1.0", b"WARC-Type: " + kind, b"WARC-Record-ID: <urn:uuid:0>", *head, b"Content-Length: %d" % len(block)]
+    return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_foreign_records():
+    sha = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+    info = warc.parse_record(foreign(b"warcinfo", b"software: x\r\n", b"Content-Type: application/warc-fields"))
+    assert (info["record_type"], info["digest_ok"], info["payload"], info["payload_digest"], info["page_id"]) == ("warcinfo", None, b"software: x\r\n", sha(b"software: x\r\n"), None)
+    http = [b"Content-Type: application/http; msgtype=response", b"WARC-Target-URI: http://a/", b"X-Long: one", b"  two"]
+    bare = warc.parse_record(foreign(b"response", b"HTTP/1.1 200 OK\r\nServer: s\r\n\r\nbody", *http))
+    assert (bare["payload"], bare["payload_bytes"], bare["digest_ok"], bare["payload_digest"], bare["url"]) == (b"body", 4, None, sha(b"body"), "http://a/")
+    for stated, ok in ((f"sha1:{sha(b'body')}", True), (f"sha1:{hashlib.sha1(b'body').hexdigest()}", True), (f"sha256:{hashlib.sha256(b'body').hexdigest()}", True), (f"sha1:{sha(b'other')}", False), ("blake3:00", None)):
+        got = warc.parse_record(foreign(b"response", b"HTTP/1.1 200 OK\r\n\r\nbody", *http, f"WARC-Payload-Digest: {stated}".encode()))
+        assert got["digest_ok"] is ok, stated
+        assert got["payload_digest"] == (sha(b"other") if ok is False else sha(b"body"))
+    short = warc.parse_record(foreign(b"response", b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n\r\nbody", *http))
+    chunked = warc.parse_record(foreign(b"response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4\r\nbody\r\n0\r\n\r\n", *http))
+    assert short["digest_ok"] is False and chunked["digest_ok"] is None
+    again = warc.parse_record(foreign(b"revisit", b"", b"WARC-Refers-To: <urn:uuid:1>", b"WARC-Payload-Digest: sha1:ABC"))
+    assert (again["payload"], again["payload_bytes"], again["payload_digest"], again["refers_to"]) == (None, None, "ABC", None)
+    asked = warc.parse_record(foreign(b"request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", b"Content-Type: application/http; msgtype=request"))
+    assert asked["payload"] == b"" and asked["record_type"] == "request"
+    with pytest.raises(ValueError):
+        warc.parse_record(b"WARC/1.0\r\nWARC-Type: metadata\r\n\r\n\r\n\r\n")
+
+
+def test_damaged_archives(spark):
+    good, broken = warc._record(1, "u", b"a", 1, "d"), gzip.compress(b"WARC/1.0\r\nContent-Length: 9\r\n\r\nshort\r\n\r\n")
+    info = gzip.compress(foreign(b"warcinfo", b"x: y"))
+    bad = bytearray(good)
+    bad[20:24] = b"\xff\xff\xff\xff"
+    rows = [(bytearray(info + good + broken + good),), (bytearray(good + good[:-4]),), (bad + good,), (None,), (bytearray(),)]
+    df = spark.createDataFrame(rows, "content binary")
+    got = warc.read_archives(df, strict=False).groupBy("record_type").count().collect()
+    assert dict(map(tuple, got)) == {"warcinfo": 1, "response": 3, "damaged": 3}
+    with pytest.raises(Exception, match="Content-Length|inside|decompress"):
+        warc.read_archives(df).collect()
+
+
 def test_query(spark, duck):
     got = {r.page_id: r for r in QUERIES["op9_warc"](spark, SF).collect()}
     pages = duck.execute("select page_id, html from pages").fetchall()
