@@ -155,34 +155,51 @@ def cronbach_alpha(items: DataFrame, columns: list[str]) -> DataFrame:
     return g.select("n", F.lit(k).alias("items"), (F.lit(k / (k - 1)) * (1 - F.try_divide(spread, "_t"))).alias("alpha"))
 
 
-def spearman_matrix(df: DataFrame, columns: list[str], ident: str) -> DataFrame:
-    """Rank correlation of every pair of columns; the pairs are of columns, not of rows.
+def rank_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Rank correlation ``a, b, n, rho`` of the named pairs of columns over rows where all of them are present.
 
-    Ranks of all columns come from one ordered pass over the counted values of the long form.
+    All pairs go through the same steps in long form: equal (pair, x, y) are counted first, ranks come from one ordered pass
+    over the counted values of every column, and a weighted correlation is summed per pair. So the shuffles are as many for fifty
+    columns as for two. ``rho`` is null where a column has one value only; without rows ``n`` is 0.
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).cast("double").alias("v")) for c in columns])
-    whole = df.where(sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0)) == 0)
-    ranks = average_ranks(whole.select(F.inline(cells)), ["item"], "v")
-    # the value is its own key: each column looks its rank up by value
-    out = whole.select(ident, *[F.col(c).cast("double").alias(c) for c in columns])
-    for c in columns:
-        table = ranks.where(F.col("item") == c).select(F.col("v").alias(c), F.col("avg_rank").alias(f"_r_{c}"))
-        out = out.join(table, c)
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    one = out.agg(*[F.corr(f"_r_{a}", f"_r_{b}").alias(f"c{i}") for i, (a, b) in enumerate(pairs)], F.count(F.lit(1)).alias("n"))
-    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("rho")) for i, (a, b) in enumerate(pairs)])
-    return one.select("n", F.inline(rows))
-
+    from ..session import checkpoint_dir
 
-def item_total(items: DataFrame, columns: list[str], ident: str) -> DataFrame:
+    checkpoint_dir(df.sparkSession)
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    at = {c: i for i, c in enumerate(columns)}
+    present = F.lit(True)
+    for c in columns:
+        present = present & F.col(c).isNotNull()
+    whole = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).where(present)
+    cells = F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(at[a]).alias("ix"), F.lit(at[b]).alias("iy"), F.col(a).alias("x"), F.col(b).alias("y")) for i, (a, b) in enumerate(pairs)])
+    joint = whole.select(F.inline(cells)).groupBy("pair", "ix", "iy", "x", "y").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    # a column's values are taken from the first pair that has it
+    first = {c: min(i for i, pair in enumerate(pairs) if c in pair) for c in columns}
+    of_x = [first[a] == i for i, (a, _) in enumerate(pairs)]
+    of_y = [first[b] == i and a != b for i, (a, b) in enumerate(pairs)]
+    sides = F.array(*[F.struct(F.element_at(F.lit(own), F.col("pair") + 1).alias("own"), F.col(i).alias("item"), F.col(v).alias("v"), "n") for own, i, v in ((of_x, "ix", "x"), (of_y, "iy", "y"))])
+    ranks = average_ranks(joint.select(F.inline(sides)).where("own"), ["item"], "v", "n").select("item", "v", "avg_rank")
+    j = joint.join(ranks.select(F.col("item").alias("ix"), F.col("v").alias("x"), F.col("avg_rank").alias("rx")), ["ix", "x"])
+    j = j.join(ranks.select(F.col("item").alias("iy"), F.col("v").alias("y"), F.col("avg_rank").alias("ry")), ["iy", "y"])
+    j = attach(j, joint.where("pair = 0").agg(F.sum("n").alias("_rows")), [])
+    # ranks have the mean (rows + 1) / 2 in every column; taking it off first keeps the sums small
+    cx, cy = (F.col(c) - (F.col("_rows") + 1) / 2.0 for c in ("rx", "ry"))
+    sums = j.groupBy("pair").agg(F.sum("n").alias("n"), F.sum(F.col("n") * cx * cy).alias("xy"), F.sum(F.col("n") * cx * cx).alias("xx"), F.sum(F.col("n") * cy * cy).alias("yy"))
+    names = F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate(pairs)])
+    named = df.sparkSession.range(1).select(F.inline(names)).join(sums, "pair", "left")
+    return named.select("a", "b", F.coalesce("n", F.lit(0)).alias("n"), F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy"))).alias("rho"))
+
+
+def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rank correlation of every pair of columns; the pairs are of columns, not of rows."""
+    return rank_correlations(df, [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]).select("n", "a", "b", "rho")
+
+
+def item_total(items: DataFrame, columns: list[str]) -> DataFrame:
     """Rank correlation of each item with the sum of the others."""
     total = sum((F.col(c) for c in columns), F.lit(0.0))
-    df = items.select(ident, *columns, *[F.round(total - F.col(c), 9).alias(f"rest_{c}") for c in columns])
-    out = None
-    for c in columns:
-        one = spearman_matrix(df, [c, f"rest_{c}"], ident).select(F.lit(c).alias("item"), "rho")
-        out = one if out is None else out.unionByName(one)
-    return out
+    df = items.select(*columns, *[F.round(total - F.col(c), 9).alias(f"rest_{c}") for c in columns])
+    return rank_correlations(df, [(c, f"rest_{c}") for c in columns]).select(F.col("a").alias("item"), "rho")
 
 
 def expectation_gate(metrics: DataFrame, expected: DataFrame) -> DataFrame:

@@ -113,7 +113,7 @@ def a44(t):
     f"rank() over (order by {c}{i}) + (count(*) over (partition by {c}{i}) - 1) / 2.0 {c}k{i}" for i in range(1, 9) for c in "dr") + " from f) " + " union all ".join(
     f"select 'd{i}' as item, round(corr(dk{i}, rk{i}), 6) as rho from k" for i in range(1, 9)))
 def a44b(t):
-    return r(S.item_total(_dims(t), _DIM, "vec_id"))
+    return r(S.item_total(_dims(t), _DIM))
 
 
 @query("a45_spearman_matrix", """
@@ -122,7 +122,7 @@ with k as (select rank() over (order by l_quantity) + (count(*) over (partition
 select count(*) as n, 'l_quantity' as a, 'l_discount' as b, round(corr(q, d), 6) as rho from k union all select count(*), 'l_quantity', 'l_tax', round(corr(q, x), 6) from k union all select count(*), 'l_discount', 'l_tax', round(corr(d, x), 6) from k
 """)
 def a45(t):
-    return r(S.spearman_matrix(t.lineitem, ["l_quantity", "l_discount", "l_tax"], "l_orderkey"))
+    return r(S.spearman_matrix(t.lineitem, ["l_quantity", "l_discount", "l_tax"]))
 
 
 @query("a66_expectation_gate", """

@@ -132,12 +132,13 @@ def running_over(df: DataFrame, keys: list[str], order: list[Column], **specs: t
     return running(ordered_blocks(df, keys, order), keys, order, **specs).drop(BLOCK)
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def average_ranks(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
     """Tie-averaged ranks as one row per distinct (keys, value): ``n``, ``avg_rank``.
 
-    Equal values are counted before anything is ordered, so a value shared by most rows is one row.
+    Equal values are counted before anything is ordered, so a value shared by most rows is one row. With ``weight``, a row
+    stands for that many.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
     upto = running_over(counts, keys, [F.col(value)], upto=("sum", F.col("n")))
     return upto.withColumn("avg_rank", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2.0).drop("upto")
 
