@@ -7,7 +7,7 @@ are deleted. Pages with equal lines that stand together are copies: they are ali
 Lines inside ``article`` or ``main`` are the page's own even if another page repeats them.
 
 Pages are dealt to blocks of neighbouring paths, with bounds from a bounded sample of URLs, so that a host with many pages
-is spread; the first and last page of a block have one neighbour.
+is spread. A block's first and last run have their other neighbour in another block; a copy of that page is sent along, so blocks change no text.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -158,11 +160,43 @@ def own_text(lines: list[tuple[int, str]], *neighbours: list[tuple[int, str]]) -
     return "\n".join(t for i, (z, t) in enumerate(lines) if z == OWN or i not in gone)
 
 
+def _placed(url: str | None, page_id: int | None, lines: list[tuple[int, str]]) -> str:
+    """A page's place among all pages; pages of one place have equal lines, so their order is nothing to a neighbour."""
+    digest = blake2b("\n".join(t for _, t in lines).encode(), digest_size=16).hexdigest()
+    return f"{_key(url, page_id)}\x01{digest}"
+
+
+def _host(place: str) -> str:
+    return place.split("\x01")[0]
+
+
+def _same_run(a: str, b: str) -> bool:
+    return _host(a) == _host(b) and a[-32:] == b[-32:]
+
+
+def _beyond(edges: list[tuple[int, str, str | None, str, str | None]]) -> list[tuple[str, int]]:
+    """Places of the pages that stand before the first run of a block, in the same host, with the block: going through the blocks in order.
+
+    An edge is (block, a place in its first run, in the run after it, in its last run, in the run before that), runs of other hosts being null.
+    """
+    out, last, before = [], None, None
+    for block, first, _, end, inside in edges:
+        other = None
+        if last is not None and _host(last) == _host(first):
+            other = before if _same_run(last, first) else last
+        if other is not None:
+            out.append((other, block))
+        before = inside if inside is not None else other if _same_run(first, end) else None
+        last = end
+    return out
+
+
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", sample: int = 20_000, least: int = 50) -> DataFrame:
     """One row per page: page_id, url, text, n_chars. Null or empty html gives an empty text; a page without a neighbour keeps its lines.
 
     A null URL counts as a host of its own. Copies keep the same text; if a host's pages are all equal, they keep their lines. ``sample``
-    bounds the URLs that set the blocks, ``least`` is the pages a block should have. Other columns are not read.
+    bounds the URLs that set the blocks, ``least`` is the pages a block should have; neither changes a text. Pages are parsed twice, first to find
+    what stands beside each block. Other columns are not read.
     """
     spark = pages.sparkSession
     src = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{html}`").cast("string").alias("html"))
@@ -172,24 +206,61 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     keys = sorted(_key(r["url"], r["page_id"]) for r in some)
     bounds = sorted({keys[i * len(keys) // n] for i in range(1, n)}) if keys else []
 
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            order = [_placed(u, i, read(h.as_py())) for i, u, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2))]
+            yield pa.RecordBatch.from_arrays([pa.array([bisect_right(bounds, k) for k in order], pa.int32()), pa.array(order, pa.string())], ["block", "place"])
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((b, p) for batch in batches for b, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        for block, some in groupby(rows, key=lambda r: r[0]):
+            first = second = end = inside = None
+            alone = True
+            for _, here in some:
+                if end is None:
+                    first = here
+                elif not _same_run(end, here):
+                    if alone:
+                        second = here if _host(here) == _host(first) else None
+                        alone = False
+                    inside = end if _host(here) == _host(end) else None
+                end = here
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([v], pa.string()) for v in (first, second, end, inside))], ["block", "first", "second", "last", "inside"])
+
+    # one row per block comes to the driver: the places of its outer runs
+    guests: dict[str, list[int]] = {}
+    if bounds:
+        placed = src.mapInArrow(places, "block int, place string").repartition(n, "block").sortWithinPartitions("block", "place")
+        outer = sorted(tuple(r) for r in placed.mapInArrow(edges, "block int, first string, second string, last string, inside string").collect())
+        for page, block in _beyond(outer) + _beyond([(b, end, inside, first, second) for b, first, second, end, inside in reversed(outer)]):
+            guests.setdefault(page, []).append(block)
+
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[str] = set()
         for b in batches:
             for start in range(0, b.num_rows, 256):
                 part = b.slice(start, 256)
                 ids, urls = part.column(0).to_pylist(), part.column(1).to_pylist()
-                order = [_key(u, i) for i, u in zip(ids, urls)]
                 lines = [read(h.as_py()) for h in part.column(2)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([bisect_right(bounds, k) for k in order], pa.int32()), pa.array(order, pa.string()),
-                                                  pa.array([[z for z, _ in x] for x in lines], pa.list_(pa.int8())), pa.array([[t for _, t in x] for x in lines], pa.list_(pa.string()))],
-                                                 ["page_id", "url", "block", "place", "zones", "lines"])
+                order = [_placed(u, i, x) for i, u, x in zip(ids, urls, lines)]
+                block, at, guest = [bisect_right(bounds, k) for k in order], list(range(len(order))), [False] * len(order)
+                for k, page in enumerate(order):
+                    if page in guests and page not in sent:
+                        sent.add(page)
+                        block += guests[page]
+                        at += [k] * len(guests[page])
+                        guest += [True] * len(guests[page])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int32())), part.column(1).take(pa.array(at, pa.int32())), pa.array(block, pa.int32()), pa.array([order[k] for k in at], pa.string()),
+                                                  pa.array([[z for z, _ in lines[k]] for k in at], pa.list_(pa.int8())), pa.array([[t for _, t in lines[k]] for k in at], pa.list_(pa.string())), pa.array(guest, pa.bool_())],
+                                                 ["page_id", "url", "block", "place", "zones", "lines", "guest"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def stream() -> Iterator[tuple]:
             for b in batches:
                 for start in range(0, b.num_rows, 64):
                     for r in b.slice(start, 64).to_pylist():
-                        yield (r["block"], r["place"].split("\x01")[0]), r["page_id"], r["url"], list(zip(r["zones"], r["lines"]))
-            yield None, None, None, None
+                        yield (r["block"], _host(r["place"])), r["page_id"], r["url"], list(zip(r["zones"], r["lines"])), r["guest"]
+            yield None, None, None, None, True
 
         # pages with equal lines that stand together are one run: all have the same neighbours, the runs beside it
         before = here = None
@@ -210,10 +281,11 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
                         out = [[], [], [], []]
                 before, run = here, []
             here = after
-            run.append((after[1], after[2], tuple(z for z, _ in after[3] or ())))
+            if not after[4]:
+                run.append((after[1], after[2], tuple(z for z, _ in after[3])))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, TYPES)], NAMES)
 
-    lines = src.mapInArrow(extract, "page_id long, url string, block int, place string, zones array<tinyint>, lines array<string>")
+    lines = src.mapInArrow(extract, "page_id long, url string, block int, place string, zones array<tinyint>, lines array<string>, guest boolean")
     near = lines.repartition(n, "block").sortWithinPartitions("block", "place")
     return near.mapInArrow(compare, "page_id long, url string, text string, n_chars long")
 

@@ -58,6 +58,25 @@ def test_copies_are_not_emptied(spark):
     assert got == {i: f"story {i // 4}" for i in range(40)} | {100 + i: "Site name\nonly\nCall us now" for i in range(3)}
 
 
+def test_blocks_change_no_text(spark):
+    """Each page meets both neighbours wherever blocks are cut, inside runs of copies and hosts as well."""
+    rng = random.Random(4)
+    rows, story = [], 0
+    for i in range(240):
+        story += rng.random() < (0.1 if 60 <= i < 140 else 0.7)
+        page = f"<div>part {story // 2}</div><div>story {story}</div><div>part {(story + 1) // 2}</div><div>site</div>"
+        rows.append((i if i % 9 else i // 2 * 2, f"http://h{i // 100}.org/a/{i // 3}", page))
+    rows += [(None, None, f"<p>{i % 2}</p><p>x</p>") for i in range(20)] + rows[:30]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+
+    def texts(least):
+        return sorted((str(r.page_id), str(r.url), r.text) for r in H.main_text(df, least=least).collect())
+
+    whole = texts(10_000)
+    assert len(whole) == len(rows) and not any("site" in t for _, _, t in whole)
+    assert texts(3) == texts(20) == whole
+
+
 def test_copies_keep_their_own_zones(spark):
     rows = [(0, "http://a/1", "<div>top</div><article><p>x</p></article>"), (1, "http://a/1?b", "<article><div>top</div></article><p>x</p>"), (2, "http://a/2", "<div>top</div><p>y</p>")]
     got = {r.page_id: r.text for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
