@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,9 +74,12 @@ def poisson_one(u: Column) -> Column:
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser (splitmix) of unsigned numbers; overflow is meant."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def draw_hashes(ids: np.ndarray, draws: int, seed: int) -> np.ndarray:
@@ -146,14 +150,57 @@ def bootstrap_gini(df: DataFrame, keys: list[str], ident: str, value: str, draws
     return out.select(*keys, "gini", F.when(few, 0.0).otherwise(F.col("low")).alias("low"), F.when(few, 1.0).otherwise(F.col("high")).alias("high"), "draws")
 
 
-def permutation_cv(candidates: DataFrame, chosen: DataFrame, keys: list[str], run: str, staff: str, iterations: int = 1_000, seed: int = 11) -> DataFrame:
+def _count_picks(loads: np.ndarray, codes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, lots: np.ndarray) -> None:
+    """Add 1 to ``loads`` (member, draw) for the candidate with the smallest hash of each run and draw; of equal hashes the first counts.
+
+    ``codes`` and ``ids`` hold the candidates' rows in ``loads`` and hashes, run after run; ``sizes`` the candidates a run has.
+    """
+    starts = np.cumsum(sizes) - sizes
+    # of the loads' own type: with any other, add.at casts number by number
+    flat, at, one = loads.reshape(-1), np.arange(len(lots)), loads.dtype.type(1)
+    order = np.argsort(-sizes, kind="stable")
+    order = order[sizes[order] > 0]
+
+    def hashes(some: np.ndarray) -> np.ndarray:
+        return mixed(ids[some][:, None] ^ lots[None, :])
+
+    wide = int(np.searchsorted(-sizes[order], -64))  # so many runs have more than 64 candidates; these go one by one
+    for r in order[:wide]:
+        best = who = None
+        for lo in range(starts[r], starts[r] + sizes[r], 512):
+            x = hashes(np.arange(lo, min(lo + 512, starts[r] + sizes[r])))
+            first = x.argmin(0)
+            x = x[first, at]
+            new = codes[lo + first]
+            best, who = (x, new) if best is None else (np.minimum(best, x), np.where(x < best, new, who))
+        np.add.at(flat, who * len(lots) + at, one)
+    for lo in range(wide, len(order), 256):
+        part = order[lo:lo + 256]
+        first, n = starts[part], sizes[part]
+        best, who = hashes(first), np.repeat(codes[first][:, None], len(lots), 1)
+        for place in range(1, int(n[0])):
+            k = int(np.searchsorted(-n, -place))  # runs with more candidates than that stand first
+            x = hashes(first[:k] + place)
+            less = x < best[:k]
+            np.copyto(best[:k], x, where=less)
+            np.copyto(who[:k], codes[first[:k] + place][:, None], where=less)
+        np.add.at(flat, (who * len(lots) + at).reshape(-1), one)
+
+
+def permutation_cv(candidates: DataFrame, chosen: DataFrame, keys: list[str], run: str, staff: str, iterations: int = 1_000, seed: int = 11,
+                   cells: int = 1 << 24, spread: int = 4) -> DataFrame:
     """Share of random feasible assignments whose spread is at least the observed one.
 
-    Each iteration gives a case to the candidate with the smallest hash. A task draws all iterations of a case at a time and keeps one row of
-    loads per member, so what is sent grows with members and iterations, not with cases.
+    Each iteration gives a case to the candidate with the smallest hash. Iterations are cut into ``spread`` ranges, or more if members times iterations
+    of a range would be over ``cells``. A task streams the cases of a key through the loads of one range, so it holds ``cells`` numbers at most, and what
+    is sent are the candidates of each case, once per range, and one row of sums per key and range.
     """
-    members = candidates.select(*keys, staff).unionByName(chosen.select(*keys, staff)).groupBy(*keys, staff).agg(F.lit(1).alias("_"))
-    n = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("members"))
+    checkpoint_dir(candidates.sparkSession)
+    held = chosen.groupBy(*keys, staff).agg(F.count(F.lit(1)).alias("load")).checkpoint()
+    members = candidates.select(*keys, staff).unionByName(held.select(*keys, staff)).groupBy(*keys, staff).agg(F.lit(1).alias("_"))
+    n = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("members")).checkpoint()
+    most = n.agg(F.max("members")).collect()[0][0] or 1
+    ranges = np.array_split(np.arange(1, iterations + 1, dtype=np.uint64), min(iterations, max(spread, -(-most * iterations // cells))))
 
     def cv(loads, by):
         s = loads.groupBy(*by).agg(F.sum("load").alias("s"), F.sum(F.col("load") * F.col("load")).alias("q"))
@@ -161,60 +208,56 @@ def permutation_cv(candidates: DataFrame, chosen: DataFrame, keys: list[str], ru
         mean = F.col("s") / F.col("members")
         return s.withColumn("cv", F.when(F.col("members") >= 2, F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("members") - mean * mean)) / mean).otherwise(0.0))
 
-    observed = cv(chosen.groupBy(*keys, staff).agg(F.count(F.lit(1)).alias("load")), keys).select(*keys, F.col("cv").alias("observed_cv"), "members")
+    observed = cv(held, keys).select(*keys, F.col("cv").alias("observed_cv"), "members")
     code = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
-    pools = candidates.select(*keys, run, F.col(staff).alias("_s")).groupBy(*keys, run).agg(F.collect_set("_s").alias("_pool"))
-    pools = pools.select(code.alias("_key"), F.transform("_pool", lambda s: F.struct(s.cast("string").alias("s"), F.xxhash64(F.lit(seed), F.col(run), s).alias("h"))).alias("_pool"))
-    flat = "_key string, _s string, _loads array<int>"
-
-    def deal(parts):
-        loads: dict[tuple[str, str], np.ndarray] = {}
-        for part in parts:
-            for key, pool in zip(part["_key"], part["_pool"]):
-                if len(pool):
-                    pick = draw_hashes(np.array([p["h"] for p in pool], np.int64), iterations, seed).argmin(0)
-                    for i in np.unique(pick):
-                        at = (key, pool[i]["s"])
-                        if at not in loads:
-                            loads[at] = np.zeros(iterations, np.int32)
-                        loads[at] += pick == i
-            if len(loads) > 10_000:
-                yield pd.DataFrame({"_key": [k for k, _ in loads], "_s": [m for _, m in loads], "_loads": list(loads.values())})
-                loads = {}
-        if loads:
-            yield pd.DataFrame({"_key": [k for k, _ in loads], "_s": [m for _, m in loads], "_loads": list(loads.values())})
-
-    def squares(parts):
-        """One row per key and task: sums of the members' loads and of their squares, per iteration."""
-        at, load = None, None
-        sums: dict[str, list[np.ndarray]] = {}
-
-        def close():
-            s, q = sums.setdefault(at[0], [np.zeros(iterations), np.zeros(iterations)])
-            s += load
-            q += load * load
+    pools = candidates.select(*keys, run, F.col(staff).alias("_s")).groupBy(*keys, run).agg(F.collect_set("_s").alias("_pool")).where(F.size("_pool") > 0)
+    copies = pools.select(code.alias("_key"), F.col(run).alias("_run"), "_pool", F.explode(F.array(*[F.lit(i) for i in range(len(ranges))])).alias("_range"))
+    # hashes are made after the shuffle, since they don't compress
+    dealt = copies.repartition("_key", "_range").sortWithinPartitions(F.xxhash64("_key"), "_key", "_range")
+    whole = dict(candidates.dtypes)[staff] in ("bigint", "int", "smallint", "tinyint")
+    dealt = dealt.select("_key", "_range", F.transform("_pool", lambda s: s.cast("long" if whole else "string")).alias("_s"),
+                         F.transform("_pool", lambda s: F.xxhash64(F.lit(seed), F.col("_run"), s)).alias("_h"))
+
+    def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per key and range: sums of the members' loads and of their squares, per iteration."""
+        at, cases, loads, known, lots = None, 0, None, None, None
+
+        def row() -> pa.RecordBatch:
+            q = np.zeros(len(lots))
+            for lo in range(0, len(known), 4096):
+                x = loads[lo:min(lo + 4096, len(known))].astype(float)
+                q += (x * x).sum(0)
+            return pa.RecordBatch.from_arrays([pa.array([at[0]]), pa.array([[float(cases)] * len(lots)]), pa.array([q.tolist()])], names=["_key", "s", "q"])
+
+        for batch in batches:
+            of = pd.DataFrame({"k": batch.column("_key").to_pandas(), "r": batch.column("_range").to_pandas()})
+            cuts = [0, *(np.flatnonzero((of != of.shift()).any(axis=1).to_numpy()[1:]) + 1).tolist(), len(of)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi == lo:
+                    continue
+                if (mine := (of["k"].iloc[lo], int(of["r"].iloc[lo]))) != at:
+                    if at is not None:
+                        yield row()
+                    at, cases, known = mine, 0, pd.Index([])
+                    # the finaliser's input of each draw, as in draw_hashes; pages of loads that are not met are never touched
+                    lots = mixed(ranges[at[1]] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+                    loads = np.zeros((most, len(lots)), np.int32)
+                part = batch.slice(lo, hi - lo)
+                who, ids = part.column("_s").flatten().to_pandas(), part.column("_h").flatten().to_numpy().view(np.uint64)
+                codes = known.get_indexer(who)
+                if (codes < 0).any():
+                    known = known.append(pd.Index(who[codes < 0].unique())) if len(known) else pd.Index(who.unique())
+                    codes = known.get_indexer(who)
+                _count_picks(loads, codes, ids, pc.list_value_length(part.column("_s")).to_numpy(), lots)
+                cases += hi - lo
+        if at is not None:
+            yield row()
 
-        for part in parts:
-            for key, member, mine in zip(part["_key"], part["_s"], part["_loads"]):
-                if (key, member) != at:
-                    if at:
-                        close()
-                    at, load = (key, member), np.zeros(iterations)
-                load = load + mine
-        if at:
-            close()
-        if sums:
-            yield pd.DataFrame({"_key": list(sums), "s": [x for x, _ in sums.values()], "q": [x for _, x in sums.values()]})
-
-    def total(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"_key": [g["_key"].iloc[0]], "s": [np.sum(list(g["s"]), axis=0)], "q": [np.sum(list(g["q"]), axis=0)]})
-
-    by_member = pools.mapInPandas(deal, flat).repartition("_key", "_s").sortWithinPartitions("_key", "_s")
-    sums = by_member.mapInPandas(squares, "_key string, s array<double>, q array<double>").groupBy("_key").applyInPandas(total, "_key string, s array<double>, q array<double>")
-    cases = candidates.groupBy(*keys).agg(F.lit(1).alias("_")).drop("_")
-    j = attach(attach(cases, observed, keys).withColumn("_key", code).join(sums, "_key"), n.withColumnRenamed("members", "_m"), keys)
-    spread = F.zip_with("s", "q", lambda s, q: F.when(F.col("_m") >= 2, F.sqrt(F.greatest(F.lit(0.0), q / F.col("_m") - s / F.col("_m") * (s / F.col("_m")))) / (s / F.col("_m"))).otherwise(0.0))
-    above = F.size(F.filter(spread, lambda v: v >= F.col("observed_cv") - 1e-12))
+    sums = dealt.mapInArrow(squares, "_key string, s array<double>, q array<double>").groupBy("_key").agg(
+        F.flatten(F.collect_list("s")).alias("s"), F.flatten(F.collect_list("q")).alias("q"))
+    j = attach(observed.withColumn("_key", code).join(sums, "_key"), n.withColumnRenamed("members", "_m"), keys)
+    spread_of = F.zip_with("s", "q", lambda s, q: F.when(F.col("_m") >= 2, F.sqrt(F.greatest(F.lit(0.0), q / F.col("_m") - s / F.col("_m") * (s / F.col("_m")))) / (s / F.col("_m"))).otherwise(0.0))
+    above = F.size(F.filter(spread_of, lambda v: v >= F.col("observed_cv") - 1e-12))
     return j.select(*keys, "observed_cv", "members", (above / F.lit(float(iterations))).alias("p_value"))
 
 
