@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from ..scale import BLOCK, attach, average_ranks, ordered_blocks, running
+from ..scale import BLOCK, attach, average_ranks, broadcast_if_small, ordered_blocks, running
 from ..session import checkpoint_dir
 
 CRITERIA = ("phi", "omega", "psi", "p")
@@ -475,22 +475,92 @@ def perturbed(weights: dict[str, float], criterion: str, delta: float) -> list[f
     return [new if c == criterion else weights[c] * ((1.0 - new) / rest if rest > 0 else 0.0) for c in CRITERIA]
 
 
-def weight_sensitivity(scored: DataFrame, delta: float = 0.05, cfg: S.ScoreConfig = S.DEFAULT) -> DataFrame:
+def _overtaken(v: np.ndarray, starts: np.ndarray, cand: pa.Array) -> np.ndarray:
+    """Per row and column of ``v``, how many later rows of its run pass it: those with a larger value, or an equal one and a smaller ``cand``."""
+    after = np.repeat(np.append(starts[1:], len(v)), np.diff(np.append(starts, len(v)))) - 1 - np.arange(len(v))
+    out = np.zeros(v.shape, np.int64)
+    for d in range(1, int(after.max(initial=0)) + 1):
+        i = np.flatnonzero(after >= d)
+        mine, other = v[i], v[i + d]
+        passes, level = other > mine, other == mine
+        if len(t := np.flatnonzero(level.any(axis=1))):
+            a, b = cand.take(pa.array(i[t])).to_pylist(), cand.take(pa.array(i[t] + d)).to_pylist()
+            lower = np.array([y is None and x is not None or x is not None and y is not None and y < x for x, y in zip(a, b)])
+            passes[t] |= level[t] & lower[:, None]
+        out[i] += passes
+    return out
+
+
+def _order_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole runs in base order, one column per variant: per variant and pool size the runs, swapped pairs and runs with a new first."""
+    found: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+    held: pa.Table | None = None
+    width = 0
+
+    def add(t: pa.Table, starts: np.ndarray) -> None:
+        columns = [t.column(i).combine_chunks() for i in range(2, t.num_columns)]
+        v = np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns])
+        gone = np.column_stack([c.is_null().to_numpy(zero_copy_only=False) for c in columns])
+        # as Spark sorts down: not a number first, null last
+        v = np.where(gone, -np.inf, np.where(np.isnan(v), np.inf, v))
+        passed = _overtaken(v, starts, t.column("cand").combine_chunks())
+        swapped, flips, sizes = np.add.reduceat(passed, starts), passed[starts] > 0, np.diff(np.append(starts, len(v)))
+        for n in np.unique(sizes[sizes > 1]).tolist():
+            k, s, f = found.get(n, (0, 0, 0))
+            found[n] = (k + int((sizes == n).sum()), s + swapped[sizes == n].sum(0), f + flips[sizes == n].sum(0))
+
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t])
+        held, width = t, t.num_columns - 2
+        run = t.column("run_id").combine_chunks()
+        starts = np.append(0, np.flatnonzero(pc.not_equal(run[1:], run[:-1]).to_numpy(zero_copy_only=False)) + 1)
+        if len(starts) > 1:
+            add(t.slice(0, int(starts[-1])), starts[:-1])
+            held = t.slice(int(starts[-1]))  # may go on in the next batch
+    if held is not None and held.num_rows:
+        add(held, np.zeros(1, np.int64))
+    rows = [(i, n, k, int(s[i]), int(f[i])) for n, (k, s, f) in found.items() for i in range(width)]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.int64()] * 4))], names=["variant", "_n", "runs", "swapped", "flips"])
+
+
+def weight_sensitivity(scored: DataFrame, delta: float = 0.05, cfg: S.ScoreConfig = S.DEFAULT, pool: int = 256) -> DataFrame:
     """Reversal rate and mean Kendall tau for every weight moved up and down.
 
-    Order changes are counted bit by bit: two candidates that swap differ first at one bit of their new
-    rank, so running counts per bit and prefix give the number of swapped pairs without forming pairs.
+    Runs of up to ``pool`` candidates are sorted once, and their swapped pairs are counted for all variants at a time where they lie. In larger runs order
+    changes are counted bit by bit: two candidates that swap differ first at one bit of their new rank, so running counts per bit and prefix give
+    the number of swapped pairs without forming pairs.
     """
+    checkpoint_dir(scored.sparkSession)
     names = [(c, d) for c in CRITERIA for d in (delta, -delta)]
+    table = [perturbed(cfg.weights, c, d) for c, d in names]
+    base = scored.where("run_id is not null").select("run_id", "cand", *CRITERIA)
+    score = F.round(S.weighted_total({c: F.col(c) for c in CRITERIA}, cfg), 9)
+    large = base.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > pool).checkpoint()
+    largest = large.agg(F.max("_n")).collect()[0][0]
+    small = base if largest is None else base.join(broadcast_if_small(large.select("run_id")), "run_id", "left_anti")
+    # scores are made after the shuffle
+    dealt = small.repartition("run_id").withColumn("_s", score).sortWithinPartitions("run_id", F.desc("_s"), "cand")
+    moved = [F.round(sum((F.col(c) * F.lit(w) for c, w in zip(CRITERIA, weights)), F.lit(0.0)), 9).alias(f"v{i}") for i, weights in enumerate(table)]
+    found = dealt.select("run_id", "cand", *moved).mapInArrow(_order_changes, "variant int, _n long, runs long, swapped long, flips long")
+    if largest is not None:
+        found = found.unionByName(_large_order_changes(base.join(broadcast_if_small(large), "run_id").withColumn("_s", score), table, largest))
+    tau = 1 - 4.0 * F.sum(F.col("swapped") / (F.col("_n") * (F.col("_n") - 1))) / F.sum("runs")
+    g = found.groupBy("variant").agg((F.sum("flips") / F.sum("runs")).alias("reversal_rate"), tau.alias("mean_tau"), F.sum("runs").alias("runs"))
+    word = F.element_at(F.array(*[F.lit(c) for c, _ in names]), F.col("variant") + 1)
+    step = F.element_at(F.array(*[F.lit(d) for _, d in names]), F.col("variant") + 1)
+    return g.select(word.alias("criterion"), step.alias("delta"), "reversal_rate", "mean_tau", "runs")
+
+
+def _large_order_changes(base: DataFrame, table: list[list[float]], largest: int) -> DataFrame:
+    """The rows of :func:`_order_changes` for runs that no task should hold."""
     cols = ["run_id", "cand", *CRITERIA]
-    base = scored.withColumn("_s", F.round(S.weighted_total({c: F.col(c) for c in CRITERIA}, cfg), 9))
-    sizes = base.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2")
     order = [F.desc("_s"), F.col("cand")]
-    b = running(ordered_blocks(base.join(sizes, "run_id").select(*cols, "_s", "_n"), ["run_id"], order), ["run_id"], order, base_rank=("rows",)).drop("_blk")
-    v = _variants(b.select(*cols, "base_rank", "_n"), [perturbed(cfg.weights, c, d) for c, d in names]).withColumn("variant_score", F.round("variant_score", 9))
+    b = running(ordered_blocks(base.select(*cols, "_s", "_n"), ["run_id"], order), ["run_id"], order, base_rank=("rows",)).drop("_blk")
+    v = _variants(b.select(*cols, "base_rank", "_n"), table).withColumn("variant_score", F.round("variant_score", 9))
     vk, vo = ["run_id", "variant"], [F.desc("variant_score"), F.col("cand")]
     v = running(ordered_blocks(v.select(*vk, "cand", "variant_score", "base_rank", "_n"), vk, vo), vk, vo, new_rank=("rows",)).drop("_blk")
-    largest = sizes.agg(F.max("_n")).collect()[0][0] or 2
     bits = max(1, int(largest - 1).bit_length())
     lv = v.select(*vk, "base_rank", "new_rank", "_n", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("level"))
     lv = lv.withColumns({"prefix": F.expr("shiftright(new_rank - 1, level + 1)"), "bit": F.expr("cast(shiftright(new_rank - 1, level) & 1 as long)")})
@@ -498,11 +568,7 @@ def weight_sensitivity(scored: DataFrame, delta: float = 0.05, cfg: S.ScoreConfi
     c = running(ordered_blocks(lv, lk, [F.col("base_rank")]), lk, [F.col("base_rank")], ones=("sum", F.col("bit")))
     swaps = c.groupBy(*vk).agg(F.sum(F.when(F.col("bit") == 0, F.col("ones")).otherwise(0)).alias("swapped"), F.max("_n").alias("_n"),
                                F.max(F.when((F.col("base_rank") == 1) & (F.col("new_rank") != 1), 1).otherwise(0)).alias("flip"))
-    tau = 1 - 4.0 * F.col("swapped") / (F.col("_n") * (F.col("_n") - 1))
-    g = swaps.groupBy("variant").agg(F.avg("flip").alias("reversal_rate"), F.avg(tau).alias("mean_tau"), F.count(F.lit(1)).alias("runs"))
-    word = F.element_at(F.array(*[F.lit(c) for c, _ in names]), F.col("variant") + 1)
-    step = F.element_at(F.array(*[F.lit(d) for _, d in names]), F.col("variant") + 1)
-    return g.select(word.alias("criterion"), step.alias("delta"), "reversal_rate", "mean_tau", "runs")
+    return swaps.groupBy("variant", "_n").agg(F.count(F.lit(1)).alias("runs"), F.sum("swapped").alias("swapped"), F.sum("flip").alias("flips"))
 
 
 def flip_distance(scored: DataFrame, limit: float = 0.5, cfg: S.ScoreConfig = S.DEFAULT) -> DataFrame:
