@@ -13,11 +13,10 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import nearest_gap
-
 
 def ordered_fold(df: DataFrame, keys: list[str], order: list[Column], schema: str, new_state: Callable[[], object],
                  step: Callable[[object, tuple], list[tuple]], finish: Callable[[object, tuple], list[tuple]] | None = None) -> DataFrame:
@@ -77,14 +76,39 @@ def stage_candidates(cases: DataFrame, contacts: DataFrame, roster: list[str]) -
     """One trace row per case and eligible member with contact count and nearest gap in days.
 
     ``cases`` holds ``case_id, family, eval_date, own_members`` (array). The roster is configuration, so
-    a case meets a fixed number of members.
+    a case meets a fixed number of members. A family's contact days are lists beside its cases, as long as the calendar at most. The rows of a case
+    come out side by side, so choices need no further shuffle. Rows that share a case id each meet the gaps of all of them.
     """
-    pool = F.array_except(F.array(*[F.lit(m) for m in roster]), F.col("own_members"))
-    trace = cases.select("case_id", "family", "eval_date", "examiner_blank", F.explode(pool).alias("member"))
-    counts = contacts.groupBy("family", "member").agg(F.count(F.lit(1)).alias("contacts"))
-    keyed = trace.withColumn("_row", F.concat_ws("|", F.col("case_id").cast("string"), "member"))
-    gaps = nearest_gap(keyed, contacts, ["family", "member"], "_row", "eval_date", "contact_date").select("_row", "gap_days")
-    return keyed.join(counts, ["family", "member"], "left").join(gaps, "_row", "left").withColumn("contacts", F.coalesce("contacts", F.lit(0))).drop("_row")
+    names = list(dict.fromkeys(roster))
+    places = F.array(*[F.lit(i) for i in range(len(names))])
+    listed = F.array(*[F.lit(m) for m in names])
+    # contacts are distinct, so no family has more rows than members times days
+    met = contacts.select("family", F.array_position(listed, F.col("member")).cast("int").alias("_m"), F.unix_date(F.to_date("contact_date")).alias("_day")).where("_m > 0")
+    met = met.repartition("family").groupBy("family").agg(
+        F.array(*[F.count_if(F.col("_m") == i + 1) for i in range(len(names))]).alias("_counts"),
+        F.array(*[F.array_sort(F.collect_list(F.when(F.col("_m") == i + 1, F.col("_day")))) for i in range(len(names))]).alias("_days"))
+    own = cases.select("case_id", "family", "eval_date", "examiner_blank", F.array_except(listed, F.col("own_members")).alias("_pool")).where(F.size("_pool") > 0)
+    day = F.unix_date(F.to_date("eval_date"))
+
+    def nearest(days: Column) -> Column:
+        """Of sorted days only the 32 from the last of each 32nd that is not later, and the one behind them, are looked at."""
+        begun = F.size(F.filter(F.sequence(F.lit(0), F.shiftright(F.size(days) - 1, 5)), lambda k: F.get(days, k * 32) <= day))
+        part = F.slice(days, F.greatest((begun - 1) * 32, F.lit(0)) + 1, F.lit(33))
+        return F.when(F.size(days) > 0, F.array_min(F.transform(part, lambda d: F.abs(d - day))))
+
+    row = F.struct("family", "eval_date", "examiner_blank", F.transform(listed, lambda m: F.array_contains("_pool", m)).alias("open"), F.col("_counts").alias("contacts"), F.transform("_days", nearest).alias("gaps"))
+    rows = own.join(met, "family", "left").select("case_id", row.alias("r")).repartition("case_id").groupBy("case_id").agg(F.collect_list("r").alias("rs"))
+
+    def gaps(k: Column) -> Column:
+        dated = F.filter("rs", lambda o: o["eval_date"].isNotNull() & F.get(o["open"], k))
+        return F.when(F.size(dated) > 0, F.transform(dated, lambda o: F.get(o["gaps"], k))).otherwise(F.array(F.lit(None).cast("int")))
+
+    def traced(c: Column) -> Column:
+        return F.flatten(F.transform(F.filter(places, lambda k: F.get(c["open"], k)), lambda k: F.transform(gaps(k), lambda g: F.struct(
+            c["family"].alias("family"), F.get(listed, k).alias("member"), c["eval_date"].alias("eval_date"), c["examiner_blank"].alias("examiner_blank"),
+            F.coalesce(F.get(c["contacts"], k), F.lit(0)).alias("contacts"), g.alias("gap_days")))))
+
+    return rows.select("case_id", F.inline(F.flatten(F.transform("rs", traced)))).select("family", "member", "case_id", "eval_date", "examiner_blank", "contacts", "gap_days")
 
 
 def stage_choice(trace: DataFrame) -> DataFrame:
