@@ -154,6 +154,7 @@ def workload_fold(cases: DataFrame, choices: DataFrame, pool: list[str], order:
     Sorted cases are cut into blocks, whatever their pool. A pool inside a block is folded there. For pools that go on in the next block, all blocks are folded side by side
     from a guessed workload; then each is handed the loads its predecessors end with, and only blocks in which these favour other members than the guess
     did run again, until nothing changes. Each round settles at least one more block of a pool. The driver holds the loads at block edges, one number per member.
+    Blocks are pinned as packed batches, which are a small part of their rows.
     """
     from ..scale import BLOCK
     from ..session import checkpoint_dir
@@ -164,8 +165,25 @@ def workload_fold(cases: DataFrame, choices: DataFrame, pool: list[str], order:
     by = [*pool, *order]
     key = F.struct(*pool)
     named = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_pool", F.to_json(key))
-    blocks = named.select(*pool, "case_id", "_pool", "stage", "tied", F.spark_partition_id().alias(BLOCK)).checkpoint()
-    bounds = {r[BLOCK]: (r["lo"], r["hi"]) for r in blocks.groupBy(BLOCK).agg(F.min_by("_pool", key).alias("lo"), F.max_by("_pool", key).alias("hi")).collect()}
+    rows = named.select(*pool, "case_id", "_pool", "stage", "tied", F.spark_partition_id().alias(BLOCK))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per batch: block, place in it, first and last pool, and the rows."""
+        for place, batch in enumerate(b for b in batches if b.num_rows):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch)
+            last, names = batch.num_rows - 1, batch.column("_pool")
+            values = [batch.column(BLOCK)[0].as_py()], [place], [names[0].as_py()], [names[last].as_py()], [sink.getvalue().to_pybytes()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.int64(), pa.string(), pa.string(), pa.binary()))], names=[BLOCK, "place", "lo", "hi", "rows"])
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in batch.column("rows"):
+                yield from pa.ipc.open_stream(rows.as_buffer())
+
+    blocks = rows.mapInArrow(pack, f"{BLOCK} int, place long, lo string, hi string, rows binary").checkpoint()
+    bounds = {r[BLOCK]: (r["lo"], r["hi"]) for r in blocks.groupBy(BLOCK).agg(F.min_by("lo", "place").alias("lo"), F.max_by("hi", "place").alias("hi")).collect()}
     line = sorted(bounds)
     follows = {b: a for a, b in zip(line, line[1:]) if bounds[a][1] == bounds[b][0]}  # block -> the one whose last pool goes on in it
 
@@ -186,8 +204,8 @@ def workload_fold(cases: DataFrame, choices: DataFrame, pool: list[str], order:
         """Fold the rows of the given blocks and pools from the given loads."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             done: dict[tuple[int, str], tuple[dict, dict, set]] = {}
-            for batch in batches:
-                for row in batch.to_pylist():
+            for batch in unpacked(batches):
+                for row in batch.filter(pc.is_in(batch.column("_pool"), pools)).to_pylist():
                     at = (row[BLOCK], row["_pool"])
                     if at in todo:
                         load, picks, members = done.setdefault(at, (dict(todo[at]), {}, set()))
@@ -196,7 +214,8 @@ def workload_fold(cases: DataFrame, choices: DataFrame, pool: list[str], order:
                         members.update(row["tied"])
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((at, picks, sorted(members))) for at, (_, picks, members) in done.items()], pa.binary())], names=["edge"])
 
-        wanted = F.col(BLOCK).isin(sorted({b for b, _ in todo})) & F.col("_pool").isin(sorted({k for _, k in todo}))
+        pools = pa.array(sorted({k for _, k in todo}), pa.string())
+        wanted = F.col(BLOCK).isin(sorted({b for b, _ in todo}))
         found = [pickle.loads(r["edge"]) for r in blocks.where(wanted).mapInArrow(run, "edge binary").collect()]
         return {at: _Edge(todo[at], picks, members) for at, picks, members in found}
 
@@ -221,7 +240,7 @@ def workload_fold(cases: DataFrame, choices: DataFrame, pool: list[str], order:
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, load = None, {}
-        for batch in batches:
+        for batch in unpacked(batches):
             made = []
             for row in batch.to_pylist():
                 at = (row[BLOCK], row["_pool"])

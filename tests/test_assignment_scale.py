@@ -53,3 +53,20 @@ def test_trace_pins_nothing_and_choice_shuffles_nothing(spark, monkeypatch):
     trace = H.stage_candidates(c, k, roster)
     exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
     assert exchanges(H.stage_choice(trace)) == exchanges(trace)
+
+
+def test_blocks_are_pinned_packed(many_blocks):
+    """What the fold pins is a small part of its rows."""
+    import os
+
+    from studyloom.session import checkpoint_dir
+
+    spark = many_blocks
+    top = checkpoint_dir(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(top) for f in names if f.startswith("part-"))
+    before, n = size(), 20_000
+    cases = spark.range(n).select(F.col("id").alias("case_id"), F.lit("hot").alias("pool"))
+    choices = spark.range(n).select(F.col("id").alias("case_id"), F.lit("NS").alias("stage"), F.array(F.lit("C0"), F.lit("C1")).alias("tied"))
+    done = H.workload_fold(cases, choices, ["pool"], ["case_id"], 7)
+    assert size() - before < 40 * n
+    assert {r.member: r.n for r in done.groupBy("member").agg(F.count("*").alias("n")).collect()} == {"C0": n // 2, "C1": n // 2}
