@@ -257,19 +257,16 @@ def workload_fold(cases: DataFrame, choices: DataFrame, pool: list[str], order:
 
 def assignment_checks(cases: DataFrame, trace: DataFrame, assigned: DataFrame, choices: DataFrame, pool: list[str], order: list[str]) -> DataFrame:
     """Failures per independent check of an assignment run; every count should be zero."""
-    from ..scale import ordered_blocks, running
-
     one = assigned.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
     c1 = cases.select("case_id").join(one, "case_id", "left").agg(F.count_if(F.coalesce("n", F.lit(0)) != 1).alias("n"))
-    c2 = assigned.join(trace.select("case_id", "member"), ["case_id", "member"], "left_anti").agg(F.count(F.lit(1)).alias("n"))
+    # the members of a case are at most the configured roster
+    eligible = trace.groupBy("case_id").agg(F.collect_set("member").alias("_members"))
+    c2 = assigned.join(eligible, "case_id", "left").agg(F.count_if(~F.coalesce(F.array_contains("_members", F.col("member")), F.lit(False))).alias("n"))
     j = assigned.join(choices, "case_id")
     c3 = j.agg(F.count_if(~F.array_contains("tied", F.col("member"))).alias("n"))
     c4 = j.agg(F.count_if(~F.startswith("rule", "stage")).alias("n"))
-    keys = [*pool, "member"]
     a = assigned.join(cases.select("case_id", *[o for o in order if o != "case_id"]), "case_id")
-    o = [F.col(x) for x in order]
-    replay = running(ordered_blocks(a.select(*keys, "case_id", *[x for x in order if x != "case_id"], "load_before"), keys, o), keys, o, n=("rows",))
-    c5 = replay.agg(F.count_if(F.col("load_before") != F.col("n") - 1).alias("n"))
+    c5 = _replayed(a, pool, order).agg(F.coalesce(F.sum("failures"), F.lit(0)).alias("n"))
     out = None
     for name, df in (("one_member_per_case", c1), ("member_was_eligible", c2), ("member_survived_stages", c3), ("rule_matches_stage", c4), ("workload_replays", c5)):
         row = df.select(F.lit(name).alias("check"), F.col("n").alias("failures"))
@@ -277,6 +274,42 @@ def assignment_checks(cases: DataFrame, trace: DataFrame, assigned: DataFrame, c
     return out
 
 
+def _replayed(assigned: DataFrame, pool: list[str], order: list[str]) -> DataFrame:
+    """Rows whose ``load_before`` is not the number of earlier rows of their pool and member, as counts (``failures``).
+
+    A block of sorted rows leaves, per pool and member, how far the stated loads are ahead of its own count and for how many rows; what the blocks before
+    it counted is what they should be ahead.
+    """
+    from ..scale import BLOCK
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, block, seen, ahead = None, None, {}, {}
+
+        def closed() -> pa.RecordBatch:
+            rows = [(current, m, block, a, n) for (m, a), n in ahead.items()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["_pool", "member", BLOCK, "ahead", "n"])
+
+        for batch in batches:
+            for key, member, load, block in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != current:
+                    if ahead:
+                        yield closed()
+                    current, seen, ahead = key, {}, {}
+                at = seen[member] = seen.get(member, -1) + 1
+                if load is not None:  # a load that is not stated is not judged, but its row counts
+                    ahead[member, load - at] = ahead.get((member, load - at), 0) + 1
+                else:
+                    ahead[member, None] = ahead.get((member, None), 0) + 1
+        if ahead:
+            yield closed()
+
+    by = [*pool, *order]
+    rows = assigned.repartitionByRange(*by).sortWithinPartitions(*by).select(F.to_json(F.struct(*pool)).alias("_pool"), "member", "load_before", F.spark_partition_id().alias(BLOCK))
+    counted = rows.mapInArrow(count, f"_pool string, member string, {BLOCK} int, ahead long, n long")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("_pool", "member").orderBy(BLOCK).rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counted.withColumn("_before", before).select(F.when(F.col("ahead") != F.col("_before"), F.col("n")).otherwise(0).alias("failures"))
+
+
 def greedy_plan(options: DataFrame, group: list[str], visits: DataFrame | None = None) -> DataFrame:
     """Hardest visit first; each takes its best option that fits capacity and overlaps nothing booked.
 

@@ -70,3 +70,22 @@ def test_blocks_are_pinned_packed(many_blocks):
     done = H.workload_fold(cases, choices, ["pool"], ["case_id"], 7)
     assert size() - before < 40 * n
     assert {r.member: r.n for r in done.groupBy("member").agg(F.count("*").alias("n")).collect()} == {"C0": n // 2, "C1": n // 2}
+
+
+def test_checks_count_every_failure(many_blocks):
+    spark = many_blocks
+    roster, _, _, c, k = made(spark)
+    c = c.where("family is not null and size(own_members) < 4 and own_members is not null").dropDuplicates(["case_id"])
+    trace = H.stage_candidates(c, k, roster)
+    choice = H.stage_choice(trace)
+    done = H.workload_fold(c, choice, ["pool"], ["case_id"], 7).checkpoint()
+    found = lambda d: {r["check"]: r["failures"] for r in H.assignment_checks(c, trace, d, choice, ["pool"], ["case_id"]).collect()}
+    assert set(found(done).values()) == {0}
+    n = done.count()
+    # one load is off by one
+    at = done.orderBy("case_id").first().case_id
+    assert found(done.withColumn("load_before", F.col("load_before") + F.when(F.col("case_id") == at, 1).otherwise(0)))["workload_replays"] == 1
+    assert found(done.withColumn("load_before", F.col("load_before") + 1))["workload_replays"] == n
+    assert found(done.withColumn("member", F.lit("nobody")))["member_was_eligible"] == n
+    assert found(done.where(F.col("case_id") != at))["one_member_per_case"] == 1
+    assert found(done.where("false"))["workload_replays"] == 0
